@@ -1,6 +1,8 @@
 """Joins and top-k shapes that hold up under one very hot key."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,21 +34,35 @@ def attach_to_best(rows: DataFrame, details: DataFrame, on: Sequence[str],
     comes first: only ``limit`` rows are broadcast to the details, which are never shuffled,
     and a key with very many details does not multiply the other rows. ``order`` must be
     total up to identical rows.
+
+    The cut is used twice, to find details and to keep rows without any. It ends in an exchange
+    and both uses need the same columns of it, so Spark runs it once.
     """
     on = list(on)
+    extra = [c for c in details.columns if c not in on]
     place = F.row_number().over(Window.orderBy(*order))
-    best = rows.orderBy(*order).limit(limit).withColumn("_place", place)
+    best = rows.orderBy(*order).limit(limit).withColumn("_place", place).repartition(1)
+    known = details.where(" AND ".join(f"{c} IS NOT NULL" for c in on)).withColumnsRenamed(
+        {c: f"_on_{c}" for c in on}
+    )
+    # Null-safe equality adds no filter to the cut; null keys are already gone from the details.
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
     found = (
-        details.join(F.broadcast(best.select(*on, "_place")), on)
-        .drop(*on)
+        known.join(F.broadcast(best), match)
+        .select(*best.columns, *extra, F.lit(False).alias("_alone"))
         .orderBy("_place", *details_order)
         .limit(limit)
     )
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in details.schema if f.name in extra}
+    alone = best.select("*", *[missing[c].alias(c) for c in extra], F.lit(True).alias("_alone"))
+    matched = F.min("_alone").over(Window.partitionBy("_place"))  # at most 2 * limit rows
     return (
-        best.join(F.broadcast(found), "_place", "left")
+        found.union(alone)
+        .withColumn("_matched", matched)
+        .where("_alone = _matched")
         .orderBy("_place", *details_order)
         .limit(limit)
-        .drop("_place")
+        .drop("_place", "_alone", "_matched")
     )
 
 

@@ -83,9 +83,10 @@ def _aggregate(registry: DataFrame, indicators: DataFrame, by_year: bool,
     if deviations:
         for name, c in MEANS.items():
             count = total("c", c)
-            spread = F.greatest(total("q", c) - count * mean(c) * mean(c), F.lit(0.0))
+            spread = total("q", c) - count * mean(c) * mean(c)
+            variance = spread / F.nullif(F.greatest(count - 1, F.lit(0)), F.lit(0))
             figures.append(
-                F.sqrt(spread / F.nullif(count - 1, F.lit(0))).alias(
+                F.sqrt(F.when(variance > 0, variance).when(variance <= 0, 0.0)).alias(
                     name.replace("media_", "desvio_padrao_"))
             )
     return rows.groupBy(*group).agg(*figures)

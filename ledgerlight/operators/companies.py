@@ -46,20 +46,21 @@ def company_profile(tables: FilingTables, cnpj: str | None = None) -> dict[str,
     if cnpj is not None and len(cnpj) != CNPJ_LENGTH:
         raise ValueError(f"a company key has {CNPJ_LENGTH} digits: {cnpj!r}")
 
-    def pick(df: DataFrame) -> DataFrame:
-        return df if cnpj is None else df.where(F.col("cnpj") == cnpj)
-
     def newest(df: DataFrame, *order: str) -> DataFrame:
         # One company's rows are sorted for reading; a sort of whole tables is left to the user.
-        return df if cnpj is None else df.orderBy(*[F.desc_nulls_first(c) for c in order])
+        if cnpj is None:
+            return df
+        return df.where(F.col("cnpj") == cnpj).orderBy(*[F.desc_nulls_first(c) for c in order])
 
-    registry = pick(tables.registry).where(F.length("cnpj") == CNPJ_LENGTH)
+    registry = tables.registry.where(
+        F.length("cnpj") == CNPJ_LENGTH if cnpj is None else F.col("cnpj") == cnpj
+    )
     return {
         "registry": latest_rows(registry, ["cnpj"], ["ano_referencia"]),
-        "indicators": newest(pick(tables.indicators), "ano_referencia"),
-        "balance": newest(pick(tables.balance), "ano_referencia", "data_fim_periodo"),
-        "income": newest(pick(tables.income), "ano_referencia", "data_fim_periodo"),
-        "risk": newest(pick(tables.risk), "ano_referencia"),
+        "indicators": newest(tables.indicators, "ano_referencia"),
+        "balance": newest(tables.balance, "ano_referencia", "data_fim_periodo"),
+        "income": newest(tables.income, "ano_referencia", "data_fim_periodo"),
+        "risk": newest(tables.risk, "ano_referencia"),
     }
 
 

@@ -398,13 +398,14 @@ def oracle_sql() -> dict[str, str]:
                 WHEN abs(desvio_perc) > 25 THEN 'Atenção (>25% de desvio)'
                 ELSE 'Levemente diferente' END AS status FROM deviations"""),
         "company_profile_radar": _q("""
-            WITH b AS (SELECT *, LEAST(valor_empresa, media_setor, 0) AS lo,
-                         GREATEST(valor_empresa, media_setor, ideal_max) AS hi FROM compared_base)
             SELECT cnpj, ano_referencia, setor, indicador,
               CASE WHEN lo = hi THEN CAST(50 AS DOUBLE)
                 ELSE (valor_empresa - lo) / (hi - lo) * 100 END AS empresa_norm,
               CASE WHEN lo = hi THEN CAST(50 AS DOUBLE)
-                ELSE (media_setor - lo) / (hi - lo) * 100 END AS setor_norm FROM b"""),
+                ELSE (media_setor - lo) / (hi - lo) * 100 END AS setor_norm
+            FROM (SELECT *, LEAST(valor_empresa, media_setor, 0) AS lo,
+                    GREATEST(valor_empresa, media_setor, ideal_max) AS hi
+                  FROM compared_base)"""),
         "high_risk": _q("SELECT * FROM risk_list"),
         "risk_fallback": _q("SELECT * FROM fallback_list"),
         "source_fallback": _q("""

@@ -11,7 +11,7 @@ from ledgerlight.operators import (
 )
 from ledgerlight.schemas import SCHEMAS, BENCHMARK
 from ledgerlight.sources import sinks
-from ledgerlight.sources.orders import OrderFilings
+from ledgerlight.sources.orders import OrderFilings, order_filings
 
 YEAR = 1998
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,7 @@ def plain(df: DataFrame, digits: int | None = None) -> DataFrame:
 
 def _over(build: Callable[[OrderFilings], DataFrame], digits: int | None = None) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return plain(build(OrderFilings(spark, folder)), digits)
+        return plain(build(order_filings(spark, folder)), digits)
 
     return query
 
@@ -129,13 +129,13 @@ def _clean_table(t):
 
 
 def _export_csv(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _sectors(OrderFilings(spark, folder))
+    rows = _sectors(order_filings(spark, folder))
     path = sinks.export_csv(rows, sinks.scratch_path(spark, "export"), "Setores")
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
 def _build_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    t = OrderFilings(spark, folder)
+    t = order_filings(spark, folder)
     rows = B.build_benchmark(t.registry(), t.indicators())
     path = sinks.write_partitioned(rows, sinks.scratch_path(spark, "benchmark"))
     deviations = [n.replace("media_", "desvio_padrao_") for n in B.MEANS]
@@ -317,4 +317,4 @@ def queries() -> dict[str, Query]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return _sectors(OrderFilings(spark, folder))
+    return _sectors(order_filings(spark, folder))

@@ -100,4 +100,6 @@ SCHEMAS = {
 
 def conform(df, table: str):
     """Select a table's columns in schema order, cast to the declared types."""
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[table]])
+    return df.selectExpr(*[
+        f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in SCHEMAS[table]
+    ])

@@ -6,6 +6,7 @@ order tables.
 """
 
 from decimal import Decimal
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,15 +32,45 @@ def _year_end(period: str):
     return F.make_date(F.expr(f"{period} div 100"), F.lit(12), F.lit(31))
 
 
+# Declared, so that reading starts no job to infer them.
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
+def once(method):
+    """Build a frame's plan on first use and hand out the same plan after that."""
+    name = method.__name__
+
+    @wraps(method)
+    def planned(self):
+        if name not in self.plans:
+            self.plans[name] = method(self)
+        return self.plans[name]
+
+    return planned
+
+
 class OrderFilings:
-    """Lazy derivations; every method returns a new frame."""
+    """Lazy derivations: plans are kept, data is not."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.plans = spark, folder, {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(RAW[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    @once
     def _orders(self) -> DataFrame:
         """Orders with the buyer's key and a December period of the order year."""
         period = F.year("o_orderdate") * 100 + 12
@@ -48,6 +79,7 @@ class OrderFilings:
             "o_orderstatus", "o_orderpriority", _money(F.col("o_totalprice")).alias("preco"),
         )
 
+    @once
     def registry(self) -> DataFrame:
         filed = self._orders().select("o_custkey", "ano_referencia").distinct()
         place = self.raw("nation").join(
@@ -81,6 +113,7 @@ class OrderFilings:
             F.lit(None).alias("sn_simples_nacional_rfb"),
         ), S.REGISTRY)
 
+    @once
     def balance(self) -> DataFrame:
         def total(condition):
             part = F.sum(F.when(condition, F.col("preco"))) * SCALE
@@ -110,6 +143,7 @@ class OrderFilings:
             _year_end("ano_referencia").alias("data_fim_periodo"),
         ), S.BALANCE)
 
+    @once
     def income(self) -> DataFrame:
         price = _money(F.col("l_extendedprice"))
         discount = F.round(price * _money(F.abs("l_discount")), 2)
@@ -138,9 +172,11 @@ class OrderFilings:
             _year_end("ano_referencia").alias("data_fim_periodo"),
         ), S.INCOME)
 
+    @once
     def indicators(self) -> DataFrame:
         return builders.build_indicators(self.balance(), self.income())
 
+    @once
     def _accounts(self) -> DataFrame:
         return self.raw("part").select(
             "p_partkey", F.concat("p_brand", F.lit("."), "p_type").alias("cd_conta"),
@@ -158,11 +194,13 @@ class OrderFilings:
             F.col("l_orderkey") == F.col("o_orderkey"),
         ).join(self._accounts(), F.col("l_partkey") == F.col("p_partkey")).select(*columns)
 
+    @once
     def chart(self) -> DataFrame:
         names = [c for c in S.SCHEMAS[S.CHART].fieldNames() if c != "cnpj"]
         used = self._posted("o_custkey", *names).distinct()
         return S.conform(used.select(_cnpj("o_custkey"), *names), S.CHART)
 
+    @once
     def account_balances(self) -> DataFrame:
         posted = self._posted(
             "o_custkey", "cd_conta", "ano_referencia",
@@ -176,6 +214,7 @@ class OrderFilings:
             _year_end("ano_referencia").alias("data_fim_periodo"),
         ), S.ACCOUNT_BALANCES)
 
+    @once
     def neaf_indications(self) -> DataFrame:
         lines = self.raw("lineitem").select(*SALE_KEYS, "l_returnflag")
         # The supplier side leaves out every twentieth line.
@@ -192,23 +231,29 @@ class OrderFilings:
             .alias("complemento_indicio"),
         ), S.NEAF_INDICATIONS)
 
+    @once
     def neaf_scores(self) -> DataFrame:
         return S.conform(neaf.build_neaf_scores(self.neaf_indications()), S.NEAF_SCORES)
 
+    @once
     def equation(self) -> DataFrame:
         return builders.build_equation_check(self.balance())
 
+    @once
     def variations(self) -> DataFrame:
         return builders.build_variations(self.account_balances())
 
+    @once
     def risk(self) -> DataFrame:
         return builders.build_risk_scores(
             self.indicators(), self.equation(), self.neaf_scores()
         )
 
+    @once
     def benchmark(self) -> DataFrame:
         return S.conform(build_benchmark(self.registry(), self.indicators()), S.BENCHMARK)
 
+    @once
     def tables(self) -> FilingTables:
         return FilingTables(
             registry=self.registry(), indicators=self.indicators(), balance=self.balance(),
@@ -259,3 +304,8 @@ class OrderFilings:
             _cnpj("o_custkey"), "ano_referencia",
             _year_end("ano_referencia").alias("data_fim_periodo"), entries.alias("e"),
         ).select("cnpj", "ano_referencia", "data_fim_periodo", "e.*").where("valor IS NOT NULL")
+
+
+@lru_cache(maxsize=8)
+def order_filings(spark: SparkSession, folder: str) -> OrderFilings:
+    return OrderFilings(spark, folder)
