@@ -29,9 +29,9 @@ def money_mean(money: Column) -> Column:
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
-    """Mean of ``value`` with each row counted ``weight`` times."""
+    """Mean of ``value`` with each row counted ``weight`` times; decimals stay exact."""
     used = F.sum(F.when(value.isNotNull(), weight))
-    return F.sum(value * weight).cast("double") / F.nullif(used, F.lit(0))
+    return F.sum(value * weight) / F.nullif(used, F.lit(0))
 
 
 def to_number(value: Column) -> Column:

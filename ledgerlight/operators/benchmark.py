@@ -72,7 +72,7 @@ def _aggregate(registry: DataFrame, indicators: DataFrame, by_year: bool,
         return F.sum(F.col(f"{prefix}_{c}") * n)
 
     def mean(c):
-        return total("s", c).cast("double") / F.nullif(total("c", c), F.lit(0))
+        return total("s", c) / F.nullif(total("c", c), F.lit(0))
 
     group = [*KEYS, "ano_referencia"] if by_year else KEYS
     figures = [F.countDistinct("cnpj").alias("qtd_empresas_setor")]
@@ -82,8 +82,8 @@ def _aggregate(registry: DataFrame, indicators: DataFrame, by_year: bool,
                     N.round2(F.max(f"max_{c}")).alias(f"max_{name}")]
     if deviations:
         for name, c in MEANS.items():
-            count = total("c", c)
-            spread = total("q", c) - count * mean(c) * mean(c)
+            count, centre = total("c", c), mean(c).cast("double")
+            spread = total("q", c) - count * centre * centre
             variance = spread / F.nullif(F.greatest(count - 1, F.lit(0)), F.lit(0))
             figures.append(
                 F.sqrt(F.when(variance > 0, variance).when(variance <= 0, 0.0)).alias(

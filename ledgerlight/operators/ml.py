@@ -22,6 +22,7 @@ CONTAMINATION = 0.1
 CLUSTERS = 4
 STARTS = 10
 SEED = 42
+POINTS_PER_TASK = 50_000
 
 
 class NotEnoughRows(ValueError):
@@ -52,11 +53,12 @@ class Scaler:
 SCALED = [f"{c}_padronizado" for c in FEATURES]
 
 
-def fit_scaler(points: DataFrame, weight: str) -> tuple[Scaler, int]:
-    """Scaler and row count of points that stand for ``weight`` rows each."""
+def fit_scaler(points: DataFrame, weight: str) -> tuple[Scaler, int, int]:
+    """Scaler, row count and point count of points that stand for ``weight`` rows each."""
     w = F.col(weight)
     first = points.agg(
-        F.sum(w).alias("n"), *[F.sum(F.col(c) * w).alias(c) for c in FEATURES]
+        F.sum(w).alias("n"), F.count("*").alias("points"),
+        *[F.sum(F.col(c) * w).alias(c) for c in FEATURES],
     ).first()
     n = first.n or 0
     if n < MIN_ROWS:
@@ -65,17 +67,19 @@ def fit_scaler(points: DataFrame, weight: str) -> tuple[Scaler, int]:
     second = points.agg(
         *[F.sum(F.pow(F.col(c) - m, F.lit(2.0)) * w).alias(c) for c, m in zip(FEATURES, mean)]
     ).first()
-    return Scaler(mean, [(second[c] / n) ** 0.5 for c in FEATURES]), n
+    return Scaler(mean, [(second[c] / n) ** 0.5 for c in FEATURES]), n, first.points
 
 
-def fit_clusters(points: DataFrame, weight: str, k: int = CLUSTERS, starts: int = STARTS,
-                 seed: int = SEED, parallelism: int = 4) -> list[list[float]]:
+def fit_clusters(points: DataFrame, scaler: Scaler, weight: str, k: int = CLUSTERS,
+                 starts: int = STARTS, seed: int = SEED,
+                 parallelism: int = 5) -> list[list[float]]:
     """Centres of the cheapest of several k-means runs, in ascending order.
 
     The runs share one cached input and are submitted side by side.
     """
-    vectors = VectorAssembler(inputCols=SCALED, outputCol="features").transform(points).select(
-        "features", F.col(weight).cast("double").alias("weight")
+    scaled = points.select(*scaler.columns(), F.col(weight).cast("double").alias("weight"))
+    vectors = VectorAssembler(inputCols=SCALED, outputCol="features").transform(scaled).select(
+        "features", "weight"
     ).persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(start: int):
@@ -86,7 +90,7 @@ def fit_clusters(points: DataFrame, weight: str, k: int = CLUSTERS, starts: int
     try:
         vectors.count()
         with ThreadPool(parallelism) as pool:
-            runs = pool.map(inheritable_thread_target(run), range(starts))
+            runs = pool.map(inheritable_thread_target(points.sparkSession)(run), range(starts))
     finally:
         vectors.unpersist()
     return min(runs)[1]
@@ -99,7 +103,9 @@ def _complete() -> Column:
 
 @dataclass(frozen=True)
 class AnomalyModel:
-    scaler: Scaler
+    """Works on the features as they are: random splits between a feature's extremes do not
+    change with its scale, and unscaled values carry no rounding from the scaler's sums."""
+
     forest: Forest
     cut: float
 
@@ -108,13 +114,12 @@ class AnomalyModel:
 
         Each row is labelled on its own, with no join back.
         """
-        score = F.when(_complete(), self.forest.score(SCALED))
-        scored = rows.select("*", *self.scaler.columns()).withColumn("score_anomalia", score)
-        return scored.withColumn(
+        score = F.when(_complete(), self.forest.score(FEATURES))
+        return rows.withColumn("score_anomalia", score).withColumn(
             "anomalia",
             F.when(F.col("score_anomalia") > self.cut, -1)
             .when(F.col("score_anomalia").isNotNull(), 1),
-        ).drop(*SCALED)
+        )
 
 
 @dataclass(frozen=True)
@@ -148,43 +153,43 @@ def _training_points(rows: DataFrame):
         *[F.col(c).cast("double").alias(c) for c in FEATURES]
     ).groupBy(*FEATURES).agg(F.count("*").alias("peso")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scaler, n = fit_scaler(points, "peso")
-        yield points.select(*scaler.columns(), "peso"), scaler, n
+        scaler, n, count = fit_scaler(points, "peso")
+        # Training passes over the points many times: no more tasks than they fill.
+        yield points.coalesce(-(-count // POINTS_PER_TASK)), scaler, n
     finally:
         points.unpersist()
 
 
-def _fit_anomaly(scaled: DataFrame, scaler: Scaler, n: int, seed: int,
-                 contamination: float) -> AnomalyModel:
-    forest = fit_forest(scaled, SCALED, "peso", n, seed=seed)
-    scored = scaled.select(forest.score(SCALED).alias("s"), "peso").persist(
+def _fit_anomaly(points: DataFrame, n: int, seed: int, contamination: float) -> AnomalyModel:
+    forest = fit_forest(points, FEATURES, "peso", n, seed=seed)
+    scored = points.select(forest.score(FEATURES).alias("s"), "peso").persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
         cut = exact_quantile(scored, "s", "peso", 1 - contamination)
     finally:
         scored.unpersist()
-    return AnomalyModel(scaler, forest, cut)
+    return AnomalyModel(forest, cut)
 
 
 def fit_anomaly_model(rows: DataFrame, seed: int = SEED,
                       contamination: float = CONTAMINATION) -> AnomalyModel:
-    with _training_points(rows) as (scaled, scaler, n):
-        return _fit_anomaly(scaled, scaler, n, seed, contamination)
+    with _training_points(rows) as (points, _, n):
+        return _fit_anomaly(points, n, seed, contamination)
 
 
-def fit_cluster_model(rows: DataFrame, seed: int = SEED) -> ClusterModel:
-    with _training_points(rows) as (scaled, scaler, _):
-        return ClusterModel(scaler, fit_clusters(scaled, "peso", seed=seed))
+def fit_cluster_model(rows: DataFrame, seed: int = SEED) -> "ClusterModel":
+    with _training_points(rows) as (points, scaler, _):
+        return ClusterModel(scaler, fit_clusters(points, scaler, "peso", seed=seed))
 
 
 def fit_priority_model(rows: DataFrame, seed: int = SEED,
                        contamination: float = CONTAMINATION) -> "PriorityModel":
     """Both models from one set of training points."""
-    with _training_points(rows) as (scaled, scaler, n):
+    with _training_points(rows) as (points, scaler, n):
         return PriorityModel(
-            _fit_anomaly(scaled, scaler, n, seed, contamination),
-            ClusterModel(scaler, fit_clusters(scaled, "peso", seed=seed)),
+            _fit_anomaly(points, n, seed, contamination),
+            ClusterModel(scaler, fit_clusters(points, scaler, "peso", seed=seed)),
         )
 
 

@@ -93,8 +93,24 @@ BENCHMARK_MEANS = {
     "liquidez_corrente_setor": "liquidez_corrente", "endividamento_setor": "endividamento_geral",
     "margem_liquida_setor": "margem_liquida_perc", "roe_setor": "roe_retorno_patrimonio_perc",
 }
+
+
+def _money_mean(column: str) -> str:
+    """Mean of a decimal rounded half up to cents, in whole cents."""
+    total = f"SUM(CAST({column} * 100 AS HUGEINT))"
+    count = f"COUNT({column})"
+    return (f"CAST(CASE WHEN {total} < 0 THEN -1 ELSE 1 END * "
+            f"((2 * abs({total}) + {count}) // NULLIF(2 * {count}, 0)) AS DOUBLE) / 100")
+
+
+def _benchmark_mean(column: str) -> str:
+    if column in ("ativo_total", "receita_liquida", "resultado_liquido"):
+        return _money_mean(f"ind.{column}")
+    return f"ROUND(AVG(ind.{column}), 2)"
+
+
 BENCHMARK_FIGURES = "COUNT(DISTINCT ec.cnpj) AS qtd_empresas_setor, " + ", ".join(
-    f"ROUND(AVG(ind.{c}), 2) AS media_{n}" for n, c in BENCHMARK_MEANS.items()
+    f"{_benchmark_mean(c)} AS media_{n}" for n, c in BENCHMARK_MEANS.items()
 ) + """,
       ROUND(MIN(ind.liquidez_corrente), 2) AS min_liquidez_setor,
       ROUND(MAX(ind.liquidez_corrente), 2) AS max_liquidez_setor,
