@@ -15,14 +15,19 @@ def best_rows(rows: DataFrame, order: Sequence[Column], limit: int | None) -> Da
 
 
 def best_rows_per(rows: DataFrame, group: Sequence[str], order: Sequence[Column],
-                  limit: int) -> DataFrame:
+                  limit: int, salts: int = SALTS) -> DataFrame:
     """First ``limit`` rows of every group.
 
-    Spark cuts each group to ``limit`` rows inside every map task before the shuffle, so a
-    hot group sends at most ``limit`` rows per task.
+    Each group is cut in ``salts`` parts first, and Spark cuts every part once more inside the
+    map tasks, so no task ever sorts more than ``salts * limit`` rows of a finished group.
     """
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
+    parted = Window.partitionBy(*group, "_part").orderBy(*order)
+    whole = Window.partitionBy(*group).orderBy(*order)
+    rows = rows.withColumn("_part", part).withColumn("_place", F.row_number().over(parted))
+    rows = rows.where(F.col("_place") <= limit).drop("_part", "_place")
+    rows = rows.withColumn("_place", F.row_number().over(whole))
+    return rows.where(F.col("_place") <= limit).drop("_place")
 
 
 def attach_to_best(rows: DataFrame, details: DataFrame, on: Sequence[str],
@@ -40,7 +45,7 @@ def attach_to_best(rows: DataFrame, details: DataFrame, on: Sequence[str],
     """
     on = list(on)
     extra = [c for c in details.columns if c not in on]
-    place = F.row_number().over(Window.orderBy(*order))
+    place = F.rank().over(Window.orderBy(*order))
     best = rows.orderBy(*order).limit(limit).withColumn("_place", place).repartition(1)
     known = details.where(" AND ".join(f"{c} IS NOT NULL" for c in on)).withColumnsRenamed(
         {c: f"_on_{c}" for c in on}
@@ -81,3 +86,30 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, on: Sequence[str], sprea
         .join(stats.withColumn("_part", parts), [*on, "_part"], how)
         .drop("_part")
     )
+
+
+def fan_out_left_join(rows: DataFrame, details: DataFrame, on: str, salts: int = SALTS,
+                      hot_rows: int = 100_000) -> DataFrame:
+    """``rows LEFT JOIN details ON on`` where one key may hold a large share of the details.
+
+    Adaptive execution cannot split the right side of a left join. Keys with more than
+    ``hot_rows`` details and more than a thousandth of them all are fewer than a thousand, so
+    their list is broadcast; their details are spread over ``salts`` parts by a hash of the row,
+    and their rows are repeated once for each part that has details. Other keys stay whole.
+    """
+    part = F.pmod(F.xxhash64(*details.columns), F.lit(salts)).cast("int")
+    counts = details.groupBy(on).agg(
+        F.count("*").alias("_n"), F.collect_set(part).alias("_parts")  # at most ``salts`` values
+    )
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.where((F.col("_n") > hot_rows) & (F.col("_n") * 1000 > total)).select(
+        on, "_parts"
+    )
+    spread = details.withColumn("_hash", part).join(F.broadcast(hot), on, "left").withColumn(
+        "_part", F.when(F.col("_parts").isNotNull(), F.col("_hash")).otherwise(0)
+    ).drop("_hash", "_parts")
+    parts = F.coalesce("_parts", F.array(F.lit(0)))
+    repeated = rows.join(F.broadcast(hot), on, "left").withColumn(
+        "_part", F.explode(parts)
+    ).drop("_parts")
+    return repeated.join(spread, [on, "_part"], "left").drop("_part")

@@ -5,16 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.functions import numeric as N, rules as R
-from ledgerlight.functions.joins import attach_to_best
+from ledgerlight.functions.joins import attach_to_best, fan_out_left_join
 from ledgerlight.operators.companies import latest_rows
 
-COLUMNS = [
-    "cnpj", "nm_razao_social", "nm_fantasia", "cd_uf", "setor", "empresa_grande_porte",
-    "score_risco_total", "classificacao_risco", "score_equacao_contabil", "score_neaf",
-    "score_risco_financeiro", "qtd_indicios_neaf", "ativo_milhoes", "receita_milhoes",
-    "liquidez", "endividamento", "margem_liquida", "prioridade_fiscalizacao",
-    "ano_referencia", "periodo_cadastro",
-]
 MEASURES = ["ativo_total", "receita_liquida", "liquidez_corrente", "endividamento_geral",
             "margem_liquida_perc"]
 
@@ -36,7 +29,7 @@ def _with_registry(rows: DataFrame, registry: DataFrame, grain: str, order: list
     """Left join on the company alone: every registry period of a company gives a row."""
     details = _registry_details(registry, grain)
     if limit is None:
-        joined = rows.join(details, "cnpj", "left")
+        joined = fan_out_left_join(rows, details, "cnpj")
     else:
         rest = [F.asc_nulls_last(c) for c in rows.columns]
         details_order = [F.asc_nulls_last(c) for c in details.columns if c != "cnpj"]

@@ -131,7 +131,8 @@ def suspicious_companies(registry: DataFrame, indicators: DataFrame, risk: DataF
         rest = [F.asc_nulls_last(c) for c in rows.columns]
         rows = attach_to_best(rows, scores, keys, order + rest, limit,
                               [F.asc_nulls_last("score_risco_total")])
-        rows = F.broadcast(rows).join(means, "setor")  # at most ``limit`` rows
+        # At most ``limit`` rows are broadcast to the sector means.
+        rows = F.broadcast(rows).join(means, "setor").orderBy(*order)
     return rows.select(
         "cnpj", "nm_razao_social", "cd_uf", "setor", "valor_indicador",
         N.millions(F.col("ativo_total")).alias("ativo_milhoes"),

@@ -20,8 +20,12 @@ KEYS = ["cnpj", "ano_referencia"]
 SALE_KEYS = ["l_orderkey", "l_linenumber", "l_suppkey"]
 
 
-def _money(column):
-    return column.cast(S.MONEY)
+# One line's price. Sums of it are DECIMAL(18,2), which Spark adds up as long integers.
+PRICE = "decimal(8,2)"
+
+
+def _price(column):
+    return column.cast(PRICE)
 
 
 def _cnpj(column: str):
@@ -76,7 +80,7 @@ class OrderFilings:
         period = F.year("o_orderdate") * 100 + 12
         return self.raw("orders").select(
             "o_orderkey", "o_custkey", period.cast("int").alias("ano_referencia"),
-            "o_orderstatus", "o_orderpriority", _money(F.col("o_totalprice")).alias("preco"),
+            "o_orderstatus", "o_orderpriority", _price(F.col("o_totalprice")).alias("preco"),
         )
 
     @once
@@ -128,7 +132,7 @@ class OrderFilings:
         )
         # Equity closes the equation, but for every tenth company, which reports too much.
         gap = F.when(
-            F.col("c_custkey") % 10 == 0, F.abs(_money(F.col("c_acctbal"))) * SCALE
+            F.col("c_custkey") % 10 == 0, F.abs(_price(F.col("c_acctbal"))) * SCALE
         ).otherwise(F.lit(0))
         rows = rows.join(
             self.raw("customer").select("c_custkey", gap.alias("excesso")),
@@ -145,8 +149,8 @@ class OrderFilings:
 
     @once
     def income(self) -> DataFrame:
-        price = _money(F.col("l_extendedprice"))
-        discount = F.round(price * _money(F.abs("l_discount")), 2)
+        price = _price(F.col("l_extendedprice"))
+        discount = _price(F.round(price * F.abs("l_discount").cast("decimal(3,2)"), 2))
         # Lines are added up per order before the join, on the key they are joined by.
         per_order = self.raw("lineitem").groupBy("l_orderkey").agg(
             F.sum(price).alias("receita"),
@@ -204,7 +208,7 @@ class OrderFilings:
     def account_balances(self) -> DataFrame:
         posted = self._posted(
             "o_custkey", "cd_conta", "ano_referencia",
-            _money(F.col("l_extendedprice")).alias("valor"),
+            _price(F.col("l_extendedprice")).alias("valor"),
         ).groupBy("o_custkey", "cd_conta", "ano_referencia").agg(
             (F.sum("valor") * SCALE).alias("saldo_final_contabil")
         )
@@ -281,9 +285,9 @@ class OrderFilings:
 
     def income_lines(self) -> DataFrame:
         """Posted income-statement lines of every line item."""
-        price = _money(F.col("l_extendedprice")) * SCALE
-        discount = F.round(
-            _money(F.col("l_extendedprice")) * _money(F.abs("l_discount")), 2) * SCALE
+        line = _price(F.col("l_extendedprice"))
+        price = line * SCALE
+        discount = F.round(line * F.abs("l_discount").cast("decimal(3,2)"), 2) * SCALE
         rows = self.raw("lineitem").join(
             self._orders().select("o_orderkey", "o_custkey", "ano_referencia"),
             F.col("l_orderkey") == F.col("o_orderkey"),
@@ -297,7 +301,7 @@ class OrderFilings:
     @staticmethod
     def _lines(rows: DataFrame, posts: list) -> DataFrame:
         entries = F.explode(F.array(*[
-            F.struct(group.alias("grupo"), value.cast("decimal(24,4)").alias("valor"))
+            F.struct(group.alias("grupo"), value.cast("decimal(12,2)").alias("valor"))
             for group, value in posts
         ]))
         return rows.select(
