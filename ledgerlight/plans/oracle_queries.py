@@ -5,6 +5,14 @@ from ledgerlight.plans.oracle_tables import (
 )
 
 YEAR = 1998
+
+
+def rounded(value: str, digits: int = 2) -> str:
+    """ROUND without negative zero."""
+    return (f"CASE WHEN ROUND({value}, {digits}) = 0 THEN CAST(0 AS DOUBLE) "
+            f"ELSE ROUND({value}, {digits}) END")
+
+
 J1 = """registry ec JOIN indicators ind
     ON ec.cnpj = ind.cnpj AND ec.ano_referencia // 100 = ind.ano_referencia"""
 
@@ -16,9 +24,9 @@ def _sector_aggregate(group: str, where: str = "") -> str:
       ROUND(AVG(ind.receita_liquida) / 1000000, 2) AS media_receita_milhoes,
       ROUND(AVG(ind.liquidez_corrente), 2) AS media_liquidez,
       ROUND(AVG(ind.endividamento_geral), 2) AS media_endividamento,
-      ROUND(AVG(ind.margem_liquida_perc), 2) AS media_margem_liquida,
-      ROUND(AVG(ind.roa_retorno_ativo_perc), 2) AS media_roa,
-      ROUND(AVG(ind.roe_retorno_patrimonio_perc), 2) AS media_roe
+      {rounded('AVG(ind.margem_liquida_perc)')} AS media_margem_liquida,
+      {rounded('AVG(ind.roa_retorno_ativo_perc)')} AS media_roa,
+      {rounded('AVG(ind.roe_retorno_patrimonio_perc)')} AS media_roe
     FROM {J1} {where} GROUP BY ALL HAVING COUNT(DISTINCT ec.cnpj) > 0"""
 
 
@@ -33,7 +41,7 @@ MEASURES = f"""
       {millions('COALESCE(ind.receita_liquida, 0)')} AS receita_milhoes,
       ROUND(COALESCE(ind.liquidez_corrente, 0), 2) AS liquidez,
       ROUND(COALESCE(ind.endividamento_geral, 0), 2) AS endividamento,
-      ROUND(COALESCE(ind.margem_liquida_perc, 0), 2) AS margem_liquida,"""
+      {rounded('COALESCE(ind.margem_liquida_perc, 0)')} AS margem_liquida,"""
 COMPANY = f"""
       COALESCE(ec.nm_razao_social, 'N/A') AS nm_razao_social,
       COALESCE(ec.nm_fantasia, '') AS nm_fantasia, COALESCE(ec.cd_uf, 'N/A') AS cd_uf,
@@ -106,16 +114,16 @@ def _money_mean(column: str) -> str:
 def _benchmark_mean(column: str) -> str:
     if column in ("ativo_total", "receita_liquida", "resultado_liquido"):
         return _money_mean(f"ind.{column}")
-    return f"ROUND(AVG(ind.{column}), 2)"
+    return rounded(f"AVG(ind.{column})")
 
 
 BENCHMARK_FIGURES = "COUNT(DISTINCT ec.cnpj) AS qtd_empresas_setor, " + ", ".join(
     f"{_benchmark_mean(c)} AS media_{n}" for n, c in BENCHMARK_MEANS.items()
-) + """,
+) + f""",
       ROUND(MIN(ind.liquidez_corrente), 2) AS min_liquidez_setor,
       ROUND(MAX(ind.liquidez_corrente), 2) AS max_liquidez_setor,
-      ROUND(MIN(ind.margem_liquida_perc), 2) AS min_margem_liquida_setor,
-      ROUND(MAX(ind.margem_liquida_perc), 2) AS max_margem_liquida_setor"""
+      {rounded('MIN(ind.margem_liquida_perc)')} AS min_margem_liquida_setor,
+      {rounded('MAX(ind.margem_liquida_perc)')} AS max_margem_liquida_setor"""
 BENCHMARK_ORDER = """qtd_empresas_setor DESC, cd_cnae, de_cnae, cnae_secao,
       cnae_secao_descricao, cnae_divisao, cnae_divisao_descricao"""
 
@@ -151,10 +159,11 @@ def _suspicious(name: str) -> str:
     mean = f"AVG(ind.{column}) OVER (PARTITION BY {SECTOR})"
     return f"""
     SELECT ec.cnpj, ec.nm_razao_social, ec.cd_uf, {SECTOR} AS setor,
-      ROUND(ind.{column}, 2) AS valor_indicador,
+      {rounded('ind.' + column)} AS valor_indicador,
       {millions('ind.ativo_total')} AS ativo_milhoes,
       {millions('ind.receita_liquida')} AS receita_milhoes, sr.score_risco_total,
-      ROUND({mean}, 2) AS media_setor, ROUND(ind.{column} - {mean}, 2) AS desvio_setor,
+      {rounded(mean)} AS media_setor,
+      {rounded(f'ind.{column} - {mean}')} AS desvio_setor,
       ec.ano_referencia AS periodo_cadastro
     FROM {J1} LEFT JOIN risk sr
       ON ind.cnpj = sr.cnpj AND ind.ano_referencia = sr.ano_referencia
@@ -200,7 +209,7 @@ LISTS = {
         ec.empresa_grande_porte, {millions('ind.ativo_total')} AS ativo_milhoes,
         {millions('ind.receita_liquida')} AS receita_milhoes,
         ROUND(ind.liquidez_corrente, 2) AS liquidez,
-        ROUND(ind.margem_liquida_perc, 2) AS margem_liquida, sr.score_risco_total,
+        {rounded('ind.margem_liquida_perc')} AS margem_liquida, sr.score_risco_total,
         sr.classificacao_risco, ec.ano_referencia AS periodo_cadastro
       FROM {J1} LEFT JOIN risk sr
         ON ec.cnpj = sr.cnpj AND ec.ano_referencia // 100 = sr.ano_referencia
@@ -338,9 +347,8 @@ FEATURES = """score_risco_total, score_equacao_contabil, score_neaf, ativo_milho
 
 def _scaled() -> str:
     parts = ", ".join(
-        f"ROUND(({c} - AVG({c}) OVER ()) / COALESCE(NULLIF(STDDEV_POP({c}) OVER (), 0), 1), 6)"
-        f" + 0.0 AS {c}_padronizado" for c in FEATURES.replace("\n", " ").split(", ")
-        for c in [c.strip()]
+        rounded(f"({c} - AVG({c}) OVER ()) / COALESCE(NULLIF(STDDEV_POP({c}) OVER (), 0), 1)", 6)
+        + f" AS {c}_padronizado" for c in FEATURES.replace("\n", " ").replace(" ", "").split(",")
     )
     return _q(f"SELECT cnpj, ano_referencia, periodo_cadastro, {parts} FROM risk_all")
 
