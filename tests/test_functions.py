@@ -166,3 +166,9 @@ def test_fan_out_join_with_a_hot_key(spark):
         assert sorted(map(str, got.select("k", "i", "d").collect())) == want
     empty = fan_out_left_join(rows, details.where("false"), "k")
     assert empty.count() == 5
+
+
+def test_finite(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (float("nan"),), (None,)], "v double")
+    assert values(df.select(N.is_finite(F.col("v")).alias("f")), "f") == [
+        True, False, False, False]
