@@ -56,18 +56,21 @@ def _by_group(lines: DataFrame, groups: list[str]) -> DataFrame:
     ])
 
 
-def _closing(statement: DataFrame) -> DataFrame:
+def _closing(statement: DataFrame, ties: list[str]) -> DataFrame:
     """Last statement of each company and year, with YYYY as its period."""
     order = ["data_fim_periodo", "periodo"]
     rows = statement.withColumn("periodo", F.col("ano_referencia")).withColumn(
         "ano_referencia", year_of("ano_referencia")
     )
-    return latest_rows(rows, ["cnpj", "ano_referencia"], order).drop(*order)
+    return latest_rows(rows, ["cnpj", "ano_referencia"], order, ties).drop(*order)
 
 
 def build_indicators(balance: DataFrame, income: DataFrame) -> DataFrame:
     """Yearly ratios from the closing balance sheet and income statement."""
-    rows = _closing(balance).join(_closing(income), ["cnpj", "ano_referencia"], "full")
+    rows = _closing(balance, ["ativo_total", "passivo_total"]).join(
+        _closing(income, ["receita_liquida", "resultado_liquido"]),
+        ["cnpj", "ano_referencia"], "full",
+    )
     c = F.col
     return S.conform(rows.withColumns({
         "liquidez_corrente": N.ratio(c("ativo_circulante"), c("passivo_circulante")),

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlight.functions import rules as R
 from ledgerlight.functions.periods import month_label, months_of, year_of
@@ -11,19 +11,20 @@ from ledgerlight.sources.tables import FilingTables
 CNPJ_LENGTH = 14
 
 
-def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of every key by ``order``, ties broken by the remaining columns.
+def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                ties: Sequence[str] | None = None) -> DataFrame:
+    """The last row of every key by ``order``, then by ``ties`` (all other columns unless named).
 
-    One max of a struct: it combines inside the map tasks, so a key with very many rows is
-    reduced before the shuffle, and there is no sort per key.
+    Spark keeps one row per key inside each map task before the shuffle, so a key with very many
+    rows is cut there. Columns that are neither used later nor named here are not read.
     """
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max(F.struct(*order, *rest)).alias("_last"))
-        .select(*keys, "_last.*")
-        .select(*df.columns)
+    if ties is None:
+        ties = [c for c in df.columns if c not in keys and c not in order]
+    newest = Window.partitionBy(*keys).orderBy(
+        *[F.desc_nulls_last(c) for c in (*order, *ties)]
     )
+    place = F.row_number().over(newest)
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def overview_summary(registry: DataFrame, approx: bool = False) -> DataFrame:

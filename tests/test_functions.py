@@ -172,3 +172,13 @@ def test_finite(spark):
     df = spark.createDataFrame([(1.0,), (float("inf"),), (float("nan"),), (None,)], "v double")
     assert values(df.select(N.is_finite(F.col("v")).alias("f")), "f") == [
         True, False, False, False]
+
+
+def test_group_cuts_reach_the_map_side(spark):
+    from ledgerlight.operators.companies import latest_rows
+
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), "id", F.lit(1).alias("unused"))
+    for cut in (latest_rows(df, ["g"], ["id"], []), best_rows_per(df, ["g"], [F.asc("id")], 1000)):
+        plan = cut.select("g")._jdf.queryExecution().executedPlan().toString()
+        before = plan[plan.index("Exchange hashpartitioning"):]
+        assert "WindowGroupLimit" in before
