@@ -1,12 +1,17 @@
 """Isolation forest (Liu, Ting, Zhou, ICDM 2008) trained and scored as Spark jobs."""
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Workers receive the functions of this module with the task; they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EULER_GAMMA = 0.5772156649015329
 NODES = "tree int, node int, feature int, split double, left int, right int, length double"
 
