@@ -5,8 +5,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import bpe, fertility, langid, packing, sharding, toxicity
-from ledgerlight.llm.common import table
+from ledgerlight.llm import bpe, fertility, langid, packing, sharding, toxicity, warc
+from ledgerlight.llm.common import new_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -42,6 +42,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH heads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+origins AS (
+  SELECT payload_digest, max(page_id) AS origin FROM heads
+  WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < origin THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < origin THEN origin END AS refers_to
+FROM heads LEFT JOIN origins USING (payload_digest)
+"""
+
+
 def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(table(spark, sf_dir, "documents"), PIECES).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -60,10 +82,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_bpe": op5_bpe,
         "op6_toxicity": op6_toxicity,
+        "op8_warc": op8_warc,
         "op9_fertility": op9_fertility,
         "op10_langid": op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_warc": OP8_SQL,
+    }
