@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import bpe, fertility, langid, packing, sharding, toxicity, warc
+from ledgerlight.llm import bpe, fertility, langid, packing, sharding, topk, toxicity, warc
 from ledgerlight.llm.common import new_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +42,26 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 10, 100)
+
+
+OP7_SQL = """
+WITH vectors AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -82,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_bpe": op5_bpe,
         "op6_toxicity": op6_toxicity,
+        "op7_topk": op7_topk,
         "op8_warc": op8_warc,
         "op9_fertility": op9_fertility,
         "op10_langid": op10_langid,
@@ -90,5 +111,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_topk": OP7_SQL,
         "op8_warc": OP8_SQL,
     }
