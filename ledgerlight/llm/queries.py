@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import bpe, fertility, langid, packing, sharding, topk, toxicity, warc
+from ledgerlight.llm import bpe, fertility, jaccard_join, langid, packing, sharding, topk, toxicity, warc
 from ledgerlight.llm.common import new_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -13,6 +13,10 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), 75, 5)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -98,6 +102,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op3_sharding": op3_sharding,
         "op4_packing": op4_packing,
         "op5_bpe": op5_bpe,
