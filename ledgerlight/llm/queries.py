@@ -5,7 +5,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import bpe, fertility, jaccard_join, langid, packing, sharding, topk, toxicity, warc
+from ledgerlight.llm import (
+    bpe, fertility, jaccard_join, langid, licences, packing, sharding, topk, toxicity, warc,
+)
 from ledgerlight.llm.common import new_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +19,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), 75, 5)
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.learn(docs))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -103,6 +110,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op2_licences": op2_licences,
         "op3_sharding": op3_sharding,
         "op4_packing": op4_packing,
         "op5_bpe": op5_bpe,
