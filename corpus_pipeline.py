@@ -1,10 +1,43 @@
-"""From raw documents to packed training sequences, in stages over the operators of ``llm``."""
+"""From raw documents to packed training sequences, in stages over the operators of ``llm``.
+
+Each stage works on all rows its predecessor kept and returns the columns of ``documents``; the
+last returns the packed pieces. Filters carry each row whole past the operator, so nothing is
+joined back by id.
+"""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlight.llm import packing
+from ledgerlight.llm import fertility, jaccard_join, packing, toxicity
 from ledgerlight.llm.common import new_folder, table
-from ledgerlight.llm.queries import BYTE_BPE, piece_digests
+from ledgerlight.llm.queries import BYTE_BPE, PIECES, piece_digests
+
+
+def _with_row(docs: DataFrame) -> DataFrame:
+    """The whole row as one column, beside what an operator reads."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the fertility bands keep."""
+    judged = fertility.quality(_with_row(docs), PIECES, doc_id="row")
+    return judged.where("kept").select("doc_id.*")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar does not score as toxic."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(_with_row(docs), model, doc_id="row").where("predicted = 0").select("doc_id.*")
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id.
+
+    Rows that repeat an id go only if none of them stands for its group. Rows with a null id stay.
+    """
+    groups = jaccard_join.jaccard_join(docs)
+    gone = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays")
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +45,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_digests(packing.pack_documents(docs, BYTE_BPE))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", not_toxic),
+    ("n-gram Jaccard join", deduplicated),
+    ("packing", pack),
+]
 
 #: Learned scores and tokenizers are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -18,9 +18,9 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from ledgerlight.llm.common import arrow_map
+from ledgerlight.llm.common import arrow_map, picked
 from ledgerlight.llm.packing import loaded, text_blocks
 
 #: Distinct chunks and token pairs a worker remembers before it starts anew.
@@ -203,7 +203,5 @@ def encode_decode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id",
     A null or empty text has no ids and decodes to the empty text. Null and repeated ids and
     repeated rows each keep their row. Further columns are ignored.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return arrow_map(picked, _round_trip(tokenizer),
-                     f"doc_id {kind}, ids array<int>, decoded string")
+    return arrow_map(picked(docs, doc_id, text), _round_trip(tokenizer),
+                     "doc_id *, ids array<int>, decoded string")

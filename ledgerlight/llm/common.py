@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of these modules."""
+    """``mapInArrow`` with a function of these modules.
+
+    A first column written as ``doc_id *`` has the type of the input's first column, whatever that
+    is: a caller may carry a whole row there as a struct.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    fields = []
+    if schema.startswith("doc_id *"):
+        fields.append(T.StructField("doc_id", df.schema[0].dataType))
+        schema = schema.removeprefix("doc_id *").lstrip(", ")
+    return df.mapInArrow(run, T.StructType(fields + T.StructType.fromDDL(schema).fields))
+
+
+def picked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id and text alone; whatever else the rows hold cannot clash."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:

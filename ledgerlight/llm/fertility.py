@@ -24,7 +24,7 @@ from ledgerlight.llm.packing import loaded
 from ledgerlight.llm.words import RUN, hashed, run_hashes
 
 MEASURES = (
-    "doc_id {id}, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id *, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double")
 #: Least half-widths: characters per token, share of byte tokens, bits of entropy.
 LEAST = {"chars_per_token": 0.01, "byte_share": 0.01, "entropy": 0.02}
@@ -160,11 +160,10 @@ def _measure(path):
 def measure(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
             lang: str | None = "lang") -> DataFrame:
     """Counts and fertility measures of every document, and the band it belongs to."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    picked = docs.select(
+    rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"),
         (F.col(lang).cast("string") if lang else F.lit(None).cast("string")).alias("lang"))
-    return arrow_map(picked, _measure(vocabulary), MEASURES.format(id=kind))
+    return arrow_map(rows, _measure(vocabulary), MEASURES)
 
 
 def base_failed():

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerlight.llm.common import arrow_map, row_ranges, utf8
+from ledgerlight.llm.common import arrow_map, picked, row_ranges, utf8
 
 ORDER = 4
 #: Learned from at most so many documents of a language, taken in the order of a hash of the id.
@@ -143,9 +143,7 @@ def identify(docs: DataFrame, model: dict[str, ContextTree], doc_id: str = "doc_
     code lengths go to the language first in the alphabet. Null and repeated ids and repeated rows
     each keep their row. Further columns are ignored.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     # at most ``SAMPLE`` times ``SAMPLE_BYTES`` counts for each language and order
     held = docs.sparkSession.sparkContext.broadcast(model)
-    scored = arrow_map(picked, _score(held), f"doc_id {kind}, lang_pred string, score double")
+    scored = arrow_map(picked(docs, doc_id, text), _score(held), "doc_id *, lang_pred string, score double")
     return scored.withColumn("held_out", held_out(F.col("doc_id")))

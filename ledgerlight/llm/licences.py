@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlight.llm.common import arrow_map, row_ranges, utf8
+from ledgerlight.llm.common import arrow_map, picked, row_ranges, utf8
 from ledgerlight.llm.words import spans, stir, word_hashes
 
 #: Notices in public use, by family.
@@ -83,7 +83,7 @@ WORN = 60
 #: Share of a template's words and pairs that confirms it, and that bars a paragraph from ``unknown``.
 CONFIRMED = 0.75
 RESEMBLES = 0.4
-FOUND = ("doc_id {id}, paragraph long, family string, probability double, template int, "
+FOUND = ("doc_id *, paragraph long, family string, probability double, template int, "
          "similarity double, confirmed boolean")
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -277,7 +277,5 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     family listed first. Null and repeated ids and repeated rows each give their rows. Further
     columns are ignored.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)  # columns by classes: a fixed size
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return arrow_map(picked, _scan(held, confirmed), FOUND.format(id=kind))
+    return arrow_map(picked(docs, doc_id, text), _scan(held, confirmed), FOUND)

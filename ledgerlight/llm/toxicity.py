@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerlight.llm.common import arrow_map
+from ledgerlight.llm.common import arrow_map, picked
 from ledgerlight.llm.langid import held_out
 from ledgerlight.llm.packing import text_blocks
 
@@ -224,8 +224,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return {"words": sorted(words), "stems": sorted(stems), "weights": weights}
 
 
-def _score(model):
+def _score(held):
     def run(batches):
+        model = held.value
         reader = Reader(model["words"], set(model["stems"]))
         weights = model["weights"]
         for batch in batches:
@@ -250,8 +251,8 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     score is one half. Null and repeated ids and repeated rows each keep their row. Further
     columns are ignored.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scored = arrow_map(picked, _score(model), f"doc_id {kind}, score double, clauses int")
+    # some thousand learned words and stems at most: they come from a bounded sample
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    scored = arrow_map(picked(docs, doc_id, text), _score(held), "doc_id *, score double, clauses int")
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))
