@@ -78,6 +78,9 @@ COLUMNS = 1 << 16
 #: and so many bytes of each.
 SAMPLE = 1000
 SAMPLE_BYTES = 20_000
+#: Of these, at most so many paragraphs and so many words of each are fitted.
+SAMPLE_LINES = 3000
+SAMPLE_WORDS = 40
 #: Worn copies of each template.
 WORN = 60
 #: Share of a template's words and pairs that confirms it, and that bars a paragraph from ``unknown``.
@@ -162,7 +165,7 @@ def _worn(plain_words, rng):
 class Model:
     """Weights (columns by classes), a bias for each class and a temperature."""
 
-    def __init__(self, features, y, rounds=300, rate=0.5, ridge=1e-4):
+    def __init__(self, features, y, rounds=120, rate=0.5, ridge=1e-4):
         y = np.array(y)
         held = np.arange(len(y)) % 5 == 4
         self.weights, self.bias = np.zeros((COLUMNS, len(CLASSES))), np.zeros(len(CLASSES))
@@ -221,8 +224,9 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE,
     lines = sorted({line for r in rows.collect() for line in bytes(r.part).decode("utf-8", "replace").split("\n")})
     lines = [x for x in lines if x.strip()]
     likeness = [max(similarity(f, name)[1] for name in TEMPLATES) for f in _of(lines)]
-    lines = [x for x, s in zip(lines, likeness) if s < RESEMBLES]
     rng = np.random.default_rng(7)
+    lines = [" ".join(x.split()[:SAMPLE_WORDS]) for x, s in zip(lines, likeness) if s < RESEMBLES]
+    lines = [lines[i] for i in rng.permutation(len(lines))[:SAMPLE_LINES]]
     plain_words = np.array(sorted({w for x in lines[:2000] for w in x.split()[:20]}), dtype=object)
     worn, y = _worn(plain_words, rng)
     # lines of a few words, too, as a notice is short

@@ -220,7 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     words, stems = learn_terms(texts, y)
     reader = Reader(words, stems)
     x = np.array([features(matches(reader.symbols(t))) for t in texts]).reshape(-1, LABELS + 2)
-    weights = fit_weights(x, np.array(y, float)) if texts else np.zeros(LABELS + 3)
+    weights = fit_weights(x, np.array(y, float)) if texts else np.append(np.zeros(LABELS + 2), -30.0)
     return {"words": sorted(words), "stems": sorted(stems), "weights": weights}
 
 
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     """Every document's held_out, score, predicted and number of matched clauses.
 
     A null or empty text matches nothing and gets the score of that. Without labelled rows every
-    score is one half. Null and repeated ids and repeated rows each keep their row. Further
+    score is next to 0. Null and repeated ids and repeated rows each keep their row. Further
     columns are ignored.
     """
     # some thousand learned words and stems at most: they come from a bounded sample

@@ -216,7 +216,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(
         spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
     sorted_ = pages_part.select(*order).unionByName(notes.select(*order)).repartition(
-        len(starts) + 1, "shard").sortWithinPartitions(*order[:5])
+        4 * (len(starts) + 1), "shard").sortWithinPartitions(*order[:5])
     arrow_map(sorted_, _write(folder, roll_bytes, date, level), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
