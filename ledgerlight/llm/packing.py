@@ -7,23 +7,28 @@ are drawn bucket by bucket. Everything is decided within a document; nothing is
 """
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlight.llm.common import arrow_map, utf8
+from ledgerlight.llm.common import arrow_map, picked, row_ranges, utf8
 
 SEQUENCE = 2048
 END = 1
 #: Distinct chunks a worker remembers before it starts anew.
 REMEMBERED = 800_000
-PIECES = ("doc_id {id}, start long, length int, ids binary, doc_tokens long, bucket int")
+#: New chunks that go through the tokenizer in one text.
+JOINED = 4000
+PIECES = ("doc_id *, start long, length int, ids binary, doc_tokens long, bucket int")
 
 _CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
 #: White space beyond ASCII's six: a text holding any is tokenised in one piece.
-_ODD_SPACE = re.compile(
-    r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_ODD_SPACE = (r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}"
+              r"\x{205f}\x{2060}\x{3000}\x{feff}]")
+_SPACE_PAIR = r"[ \t\n\r\x0b\x0c] "
 _loaded = {}
 
 
@@ -31,7 +36,8 @@ class ChunkTokenizer:
     """Token ids of whole texts through a byte-level tokenizer, one call for each distinct chunk.
 
     The tokenizer's pattern never joins a non-space to the white space after it, and looks only
-    ahead, so a text's ids are those of its chunks (white space and the run that follows it).
+    ahead, so a text may be cut before any space that follows a non-space. Texts with other white
+    space before a space are cut before each run of white space.
     """
 
     def __init__(self, path):
@@ -40,31 +46,71 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = {}
+        size = self.tokenizer.get_vocab_size()
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
+        self.known = {}  # by what follows the space a chunk begins with
 
     def _encode(self, texts):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _learn(self, new):
+        """Ids of new chunks without their space. Many go through one call, joined by the spaces
+        they begin with; a token stands for as many bytes as it has letters, so the ids of each
+        end where its bytes do."""
+        odd = [c for c in new if not c or c[-1].isspace()]
+        new = list(set(new).difference(odd)) if odd else new
+        groups = [new[i:i + JOINED] for i in range(0, len(new), JOINED)]
+        joined = [" " + " ".join(g) for g in groups]
+        for group, text, found in zip(groups, joined, self.tokenizer.encode_batch_fast(
+                joined, add_special_tokens=False)):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            stops = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum(self.bytes[ids])
+            cuts = np.searchsorted(ends, stops)
+            if not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], stops):
+                odd += group
+                continue
+            cuts, ids = (4 * (cuts + 1)).tolist(), ids.tobytes()
+            self.known.update(zip(group, (ids[a:b] for a, b in zip([0, *cuts], cuts))))
+        self.known.update(zip(odd, self._encode([" " + c for c in odd])))
 
     def ids(self, texts):
-        """Little-endian unsigned 32-bit ids of each text, as bytes."""
-        whole = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
-        plain = set(range(len(texts))).difference(whole)
-        out = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        chunks = {i: _CHUNK.findall(texts[i]) for i in plain}
+        """(ids, offsets): the texts' token ids one after another, and where each text's begin.
+
+        ``texts`` is an Arrow string array without nulls. Splitting and telling chunks apart
+        happen on the array; only distinct chunks become Python strings.
+        """
+        whole = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        runs = ~whole & pc.match_substring_regex(texts, _SPACE_PAIR).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(whole | runs), "", texts), " ")
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        chunks = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = set()
-        for some in chunks.values():
-            new.update(some)
-        new = list(new.difference(self.known))
-        self.known.update(zip(new, self._encode(new)))
-        of = self.known.__getitem__
-        for i, some in chunks.items():
-            out[i] = b"".join(map(of, some))
-        return out
+        self._learn([c for c in chunks if c not in self.known])
+        # what takes no space before it: first chunks, and texts that are cut otherwise
+        begins = [chunks[k] for k in index[first].tolist()]
+        for i in np.flatnonzero(whole).tolist():
+            begins[i] = texts[i].as_py()
+        cut = {i: _CHUNK.findall(texts[i].as_py()) for i in np.flatnonzero(runs).tolist()}
+        plain = list({*begins}.union(*cut.values()))
+        plain = dict(zip(plain, self._encode(plain)))
+        parts = [self.known[c] for c in chunks]
+        index[first] = np.arange(len(parts), len(parts) + len(begins))
+        parts += [b"".join(plain[c] for c in cut[i]) if i in cut else plain[c]
+                  for i, c in enumerate(begins)]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        taken = sizes[index]
+        ends = np.cumsum(taken)
+        total = int(ends[-1]) if len(ends) else 0
+        where = np.repeat(starts[index] - ends + taken, taken) + np.arange(total)
+        ids = np.frombuffer(b"".join(parts), "<u4")[where]
+        return ids, np.append((ends - taken)[first], total)
 
 
 def loaded(kind, path):
@@ -95,20 +141,24 @@ def binary_lengths(n: int, longest: int) -> list[int]:
 def _pieces(path, longest, end):
     def run(batches):
         tokenizer = loaded(ChunkTokenizer, path)
-        mark = np.array([end], "<u4").tobytes()
+        mark = array("I", [end]).tobytes()
         for batch in batches:
-            for first, texts in text_blocks(batch):
+            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+            _, offsets = utf8(texts)
+            for first, stop in row_ranges(offsets, 8 << 20):
+                ids, at = tokenizer.ids(texts.slice(first, stop - first))
+                raw = ids.tobytes()
                 rows, starts, lengths, parts, totals = [], [], [], [], []
-                for k, ids in enumerate(tokenizer.ids(texts)):
-                    ids += mark
-                    at, total = 0, len(ids) // 4
+                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    own = raw[4 * a:4 * b] + mark
+                    begin, total = 0, b - a + 1
                     for n in binary_lengths(total, longest):
                         rows.append(first + k)
-                        starts.append(at)
+                        starts.append(begin)
                         lengths.append(n)
-                        parts.append(ids[4 * at:4 * (at + n)])
+                        parts.append(own[4 * begin:4 * (begin + n)])
                         totals.append(total)
-                        at += n
+                        begin += n
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()),
                     pa.array(lengths, pa.int32()), pa.array(parts, pa.binary()),
@@ -129,9 +179,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
-    kind = docs.schema[doc_id].dataType.simpleString()
-    pieces = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return arrow_map(pieces, _pieces(tokenizer, longest, end), PIECES.format(id=kind)).select(
+    pieces = arrow_map(picked(docs, doc_id, text), _pieces(tokenizer, longest, end), PIECES)
+    return pieces.select(
         "*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
