@@ -16,28 +16,31 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                     "edges")
-    found, rounds = None, 0
+    steps = []
     while not edges.isEmpty():
-        rounds += 1
+        seed = F.lit(len(steps))
 
-        def rank(c, seed=rounds):
-            return F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("v"))
+        def rank(c):
+            return F.struct(F.xxhash64(c, seed).alias("h"), F.col(c).alias("v"))
 
         both = edges.select(F.col("a").alias("node"), rank("a").alias("x"), rank("b").alias("y")).unionByName(
             edges.select(F.col("b").alias("node"), rank("b").alias("x"), rank("a").alias("y")))
-        joined = written(both.groupBy("node").agg(F.min(F.least("x", "y")).alias("low")).select(
-            "node", F.col("low.v").alias("to")), "joined")
-        if found is None:
-            found = joined.withColumnRenamed("to", "component")
-        else:
-            found = found.join(joined.withColumnRenamed("node", "component"), "component", "left").select(
-                "node", F.coalesce("to", "component").alias("component"))
-        found = written(found, "found")
+        joined = both.groupBy("node").agg(F.min(F.least("x", "y")).alias("low")).select(
+            "node", F.col("low.v").alias("to"))
+        joined = written(joined, "joined")
+        # ranks fall along the way, so following it twice as far merges more and cannot turn back
+        further = joined.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        joined = written(joined.join(further, "to").select("node", F.col("next").alias("to")), "joined")
+        steps.append(joined)
         at_a = joined.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
         at_b = joined.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
         moved = edges.join(at_a, "a").join(at_b, "b").where("to_a <> to_b")
         edges = written(moved.select(F.least("to_a", "to_b").alias("a"),
                                      F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
-    if found is None:
-        found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = steps[0].withColumnRenamed("to", "component")
+    for step in steps[1:]:
+        found = found.join(step.withColumnRenamed("node", "component"), "component", "left").select(
+            "node", F.coalesce("to", "component").alias("component"))
+    return written(found, "components")

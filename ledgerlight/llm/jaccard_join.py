@@ -18,11 +18,14 @@ Which shingles are frequent is read from counts in a fixed number of cells, summ
 documents. A cell counts at least each of its shingles, so no rare shingle is more frequent than
 the bound says; the classes only steer the order, which any two documents share.
 
-Sets that are equal are one node. Nodes that share a key are verified against one another on their
-whole sets, in two steps. First each node meets the smallest node of each of its keys; what links
-is contracted. Then only nodes of different components that share a key meet. So a large group of
-near copies costs a few comparisons for each member, and no link that would join two components is
-passed over. ``every_link`` compares all nodes that share a key instead and counts their links.
+Sets that are equal are one node. Similar nodes share not just one key but a number that follows
+from their sizes (``_least_shared``), and a node shares nothing of its keys that no other has; so
+most pairs are ruled out by counts alone, before whole sets are compared. Comparison goes in two steps. First each node meets a
+few nodes of each of its keys, those that share most, and what links is contracted. Then only nodes of different
+components that share a key meet, in each key those outside its largest component with all. So a
+large group of near copies costs a few comparisons for each member, and no link that would join
+two components is passed over. ``every_link`` lets all nodes that share a key meet instead and
+counts their links.
 """
 
 import numpy as np
@@ -30,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerlight.llm.common import arrow_map, row_ranges, utf8, written
+from ledgerlight.llm.common import arrow_map, picked, row_ranges, utf8, written
 from ledgerlight.llm.components import components
 from ledgerlight.llm.words import hashed, run_hashes, stir
 
@@ -41,7 +44,11 @@ CELL_BITS = 22
 PART_BITS = 16
 #: Standard deviations above the mean cell at which a cell is frequent.
 ABOVE = 8
-NODES = "doc_id {id}, node long, n int, keys array<bigint>"
+#: Nodes of a key that all its nodes meet first.
+HUBS = 6
+#: Bits that preselect the documents whose whole sets are needed.
+FILTER_BITS = 22
+NODES = "doc_id *, node long, n int, singles int, keys array<bigint>"
 _U = np.uint64
 
 
@@ -145,21 +152,24 @@ def combination_keys(frequent: np.ndarray, classes: int, seed: int) -> np.ndarra
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def index_keys(found: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a sorted set; ``frequent`` holds the bits of the cells."""
+def index_keys(found: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """Index keys of a sorted set, single ones first, and how many those are; ``frequent`` holds
+    the bits of the cells."""
     n = len(found)
     cells = (found >> _U(64 - CELL_BITS)).astype(np.int64)
     often = (frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
     rare, often = found[~often], found[often]
     plain = n - need(n, percent) + 1
-    keys = [rare[:plain]]
-    if len(rare) < plain:
+    if len(rare) >= plain:
+        return plain, rare[:plain]
+    keys = [rare]
+    if len(often):
         power = n.bit_length() - 1
         for p in (power, power + 1):
             classes = max(1, (1 << p) // 8)
             prefix = min(n, n - need(n, percent) + classes + 1)
             keys.append(combination_keys(often[:prefix - len(rare)], classes, p + 1))
-    return np.concatenate(keys)
+    return len(rare), np.concatenate(keys)
 
 
 def _nodes(words, percent, held):
@@ -167,7 +177,7 @@ def _nodes(words, percent, held):
     def run(batches):
         frequent, seen = held.value, set()
         for batch in batches:
-            rows, nodes, sizes, keys = [], [], [], []
+            rows, nodes, sizes, singles, keys = [], [], [], [], []
 
             def out():
                 lengths = np.cumsum([0, *(0 if k is None else len(k) for k in keys)])
@@ -175,31 +185,37 @@ def _nodes(words, percent, held):
                 return pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(rows, pa.int64())),
                     pa.array([_signed(x) for x in nodes], pa.int64()), pa.array(sizes, pa.int32()),
+                    pa.array(singles, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat.view(np.int64)))],
-                    ["doc_id", "node", "n", "keys"])
+                    ["doc_id", "node", "n", "singles", "keys"])
 
             size = 0
             for row, found, node in _sets(batch, words):
-                some = None
+                alone, some = None, None
                 if node is not None and node not in seen:
                     seen.add(node)
-                    some = index_keys(found, frequent, percent)
+                    alone, some = index_keys(found, frequent, percent)
                     size += len(some)
                 rows.append(row)
                 nodes.append(node)
                 sizes.append(len(found))
+                singles.append(alone)
                 keys.append(some)
                 if size > 1 << 20:
                     yield out()
-                    rows, nodes, sizes, keys, size = [], [], [], [], 0
+                    rows, nodes, sizes, singles, keys, size = [], [], [], [], [], 0
             if rows:
                 yield out()
     return run
 
 
-def _whole_sets(words):
+def _whole_sets(words, held):
+    """Sets of the rows whose bit is set."""
     def run(batches):
+        wanted = held.value
         for batch in batches:
+            cells = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((wanted[cells >> 3] >> (7 - (cells & 7)) & 1).astype(bool)))
             for _, found, node in _sets(batch, words):
                 if node is not None:
                     yield pa.RecordBatch.from_arrays([
@@ -209,14 +225,60 @@ def _whole_sets(words):
     return run
 
 
-def _verified(pairs, sets, percent):
-    """The pairs (a, b) that link."""
+def _sets_of(pairs, nodes, docs, words):
+    """Whole shingle sets of all nodes in ``pairs``, made again from the texts.
+
+    A fixed number of bits, sent to every task, spares most other documents the work; the sets of
+    those that it lets through meet no pair.
+    """
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int")
+    chosen = nodes.join(ends, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    parts = chosen.select(cell.alias("cell")).groupBy(F.expr("cell div 32768").alias("part")).agg(
+        F.expr("bitmap_construct_agg(cell % 32768)").alias("bits")).collect()  # 4 KB each, 128 at most
+    wanted = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for part, bits in parts:  # the first cell is the lowest bit of the first byte
+        raw = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
+        wanted[part * 4096:(part + 1) * 4096] = np.packbits(raw)
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+    return arrow_map(docs.withColumn("cell", cell), _whole_sets(words, held),
+                     "node long, shingles array<bigint>")
+
+
+def _verified(pairs, nodes, docs, words, percent, name):
+    """The pairs (a, b) that link, as a table."""
+    pairs = written(pairs, f"{name}-pairs")
+    sets = written(_sets_of(pairs, nodes, docs, words), f"{name}-sets")
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     whole = pairs.join(a, "a").join(b, "b").select(
         "a", "b", shared.alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
-    return whole.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+    return written(whole.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select(
+        "a", "b").distinct(), name)
+
+
+def _common(m, n, percent):
+    """Shingles that similar sets of these sizes share at least: the union's bound asks for
+    percent / (100 + percent) of both sizes."""
+    return F.ceil((m + n) * percent / (100 + percent))
+
+
+def _least_shared(l, r, percent):
+    """Single keys that two similar nodes share at least.
+
+    A plain prefix ends somewhere among the rare shingles, any other holds all of them. Up to where
+    the shorter of two ends, all rare shingles of both are keys. So those of its keys that are not
+    shared are missing from the other set, and only as many may be as ``_common`` leaves. Of two
+    plain prefixes it is not known here which is the shorter, so the weaker bound counts.
+    """
+    common = _common(F.col(f"{l}.n"), F.col(f"{r}.n"), percent)
+    of_l = common - F.col(f"{l}.n") + F.col(f"{l}.singles")
+    of_r = common - F.col(f"{r}.n") + F.col(f"{r}.singles")
+    plain_l, plain_r = (
+        F.col(f"{x}.singles") > F.col(f"{x}.n") - F.ceil(F.col(f"{x}.n") * percent / 100) for x in (l, r))
+    return (F.when(plain_l & plain_r, F.least(of_l, of_r)).when(plain_l, of_l).when(plain_r, of_r)
+            .otherwise(F.greatest(of_l, of_r)))
 
 
 def _fits(m, n, percent):
@@ -237,45 +299,60 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, do
     64-bit hashes. Further columns are ignored.
     """
     spark = docs.sparkSession
-    kind = docs.schema[doc_id].dataType.simpleString()
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = picked(docs, doc_id, text)
     held = spark.sparkContext.broadcast(frequent_cells(docs, words))
-    nodes = written(arrow_map(docs, _nodes(words, percent, held), NODES.format(id=kind)), "nodes")
+    nodes = written(arrow_map(docs, _nodes(words, percent, held), NODES), "nodes")
 
     by_key = Window.partitionBy("key")
-    keys = nodes.where(F.size("keys") > 0).select("node", "n", F.explode("keys").alias("key"))
-    keys = keys.withColumn("low", F.min("node").over(by_key)).withColumn(
-        "high", F.max("node").over(by_key)).where("low <> high")
-    keys = written(keys.select("key", "node", "n").distinct(), "keys")
-
-    wanted = keys.select("node").distinct()
-    chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = chosen.select(F.col("doc_id").alias("chosen")).distinct()
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    sets = written(arrow_map(texts, _whole_sets(words), "node long, shingles array<bigint>"), "sets")
-
-    left, right = keys.alias("l"), keys.alias("r")
+    keys = nodes.where(F.size("keys") > 0).select("node", "n", "singles", F.posexplode("keys").alias("at", "key"))
+    keys = keys.withColumn("single", F.col("at") < F.col("singles")).withColumn(
+        "low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key)).where("low <> high")
+    keys = written(keys.select("key", "node", "n", "singles", "single").distinct(), "keys")
+
+    def meeting(left, right, apart, here=F.lit(True)):
+        """Distinct pairs of different nodes that share enough keys. ``here`` may choose among the
+        keys at which a pair meets."""
+        pairs = left.alias("l").join(right.alias("r"), "key").where(apart).where(
+            _fits(F.col("l.n"), F.col("r.n"), percent))
+        pairs = pairs.where(F.least("l.reach", "r.reach") >= _common(F.col("l.n"), F.col("r.n"), percent))
+        pairs = pairs.where(here).select(
+            F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"),
+            F.col("l.single").cast("int").alias("single"), _least_shared("l", "r", percent).alias("enough"))
+        pairs = pairs.groupBy("a", "b").agg(F.sum("single").alias("n"), F.first("enough").alias("enough"))
+        return pairs.where("n >= enough").select("a", "b")
+
+    def with_reach(some):
+        """Adds how many shingles a node can share with any other node of these rows: all but its
+        single keys that are not among them."""
+        counts = some.groupBy("node").agg(F.sum(F.col("single").cast("int")).alias("shared"))
+        return some.join(counts, "node").withColumn(
+            "reach", F.col("n") - F.col("singles") + F.col("shared"))
+
+    # what a group has in common is most of what its original holds: that one links best
+    order = Window.partitionBy("key").orderBy(F.desc(F.col("reach") / F.col("n")), F.xxhash64("node"), "node")
+    some = with_reach(keys).withColumn("hub", F.row_number().over(order) <= HUBS)
+    some = written(some, "shared")
     if every_link:
-        pairs = left.join(right, "key").where("l.node < r.node").where(
-            _fits(F.col("l.n"), F.col("r.n"), percent)).select(
-            F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-        links = written(_verified(pairs, sets.dropDuplicates(["node"]), percent), "links")
+        links = _verified(meeting(some, some, F.expr("l.node < r.node")), nodes, docs, words, percent, "links")
     else:
-        step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-        hub = F.min(F.struct("n", "node")).over(Window.partitionBy("key", "step"))
-        first = keys.withColumn("step", step).withColumn("hub", hub).where(
-            F.col("node") != F.col("hub.node")).where(_fits(F.col("n"), F.col("hub.n"), percent))
-        first = first.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-        links = written(_verified(first, sets, percent), "links")
+        first = meeting(some, some.where("hub"), F.expr("l.node <> r.node and (not l.hub or l.node < r.node)"))
+        links = _verified(first, nodes, docs, words, percent, "near")
         found = components(links).withColumnRenamed("component", "part")
         apart = keys.join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
         apart = apart.withColumn("low", F.min("part").over(by_key)).withColumn(
-            "high", F.max("part").over(by_key)).where("low <> high").select("key", "node", "n", "part")
-        left, right = apart.alias("l"), apart.alias("r")
-        pairs = left.join(right, "key").where("l.node < r.node and l.part <> r.part").where(
-            _fits(F.col("l.n"), F.col("r.n"), percent)).select(
-            F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-        links = links.unionByName(written(_verified(pairs, sets, percent), "links"))
+            "high", F.max("part").over(by_key)).where("low <> high").drop("low", "high")
+        apart = apart.withColumn("of_part", F.count(F.lit(1)).over(Window.partitionBy("key", "part")))
+        main = F.max(F.struct("of_part", "part")).over(by_key)["part"]
+        # two sets of frequent shingles share many combinations; they meet at the smallest one
+        earlier = Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.collect_list(F.when(~F.col("single"), F.col("key"))).over(earlier)
+        apart = apart.withColumn("minor", F.col("part") != main).withColumn(
+            "before", F.when(~F.col("single"), before))
+        apart = written(with_reach(apart), "apart")
+        pairs = meeting(apart.where("minor"), apart, F.expr(
+            "l.part <> r.part and (not r.minor or l.node < r.node)"),
+            F.expr("l.single or not arrays_overlap(l.before, r.before)"))
+        links = links.unionByName(_verified(pairs, nodes, docs, words, percent, "far"))
 
     found = components(links)
     rows = nodes.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(
