@@ -15,12 +15,14 @@ def best_rows(rows: DataFrame, order: Sequence[Column], limit: int | None) -> Da
 
 
 def best_rows_per(rows: DataFrame, group: Sequence[str], order: Sequence[Column],
-                  limit: int, salts: int = SALTS) -> DataFrame:
-    """First ``limit`` rows of every group.
+                  limit: int | None, salts: int = SALTS) -> DataFrame:
+    """First ``limit`` rows of every group, all without one.
 
     Each group is cut in ``salts`` parts first, and Spark cuts every part once more inside the
     map tasks, so no task ever sorts more than ``salts * limit`` rows of a finished group.
     """
+    if limit is None:
+        return rows
     part = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
     parted = Window.partitionBy(*group, "_part").orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)
@@ -31,19 +33,21 @@ def best_rows_per(rows: DataFrame, group: Sequence[str], order: Sequence[Column]
 
 
 def attach_to_best(rows: DataFrame, details: DataFrame, on: Sequence[str],
-                   order: Sequence[Column], limit: int,
+                   order: Sequence[Column], limit: int | None,
                    details_order: Sequence[Column] = ()) -> DataFrame:
     """``rows LEFT JOIN details ON on ORDER BY order, details_order LIMIT limit``.
 
     ``order`` uses columns of ``rows`` alone and a left join drops none of them, so the cut
-    comes first: only ``limit`` rows are broadcast to the details, which are never shuffled,
-    and a key with very many details does not multiply the other rows. ``order`` must be
-    total up to identical rows.
+    comes first and a key with very many details does not multiply the other rows. The limit
+    bounds what Spark estimates for the cut: a short list is broadcast to the details, which are
+    then not shuffled, a long one is joined. ``order`` must be total up to identical rows.
 
     The cut is used twice, to find details and to keep rows without any. It ends in an exchange
     and both uses need the same columns of it, so Spark runs it once.
     """
     on = list(on)
+    if limit is None:
+        return fan_out_left_join(rows, details, on).orderBy(*order, *details_order)
     extra = [c for c in details.columns if c not in on]
     place = F.rank().over(Window.orderBy(*order))
     best = rows.orderBy(*order).limit(limit).withColumn("_place", place).repartition(1)
@@ -53,7 +57,7 @@ def attach_to_best(rows: DataFrame, details: DataFrame, on: Sequence[str],
     # Null-safe equality adds no filter to the cut; null keys are already gone from the details.
     match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
     found = (
-        known.join(F.broadcast(best), match)
+        known.join(best, match)
         .select(*best.columns, *extra, F.lit(False).alias("_alone"))
         .orderBy("_place", *details_order)
         .limit(limit)
@@ -88,28 +92,25 @@ def join_group_stats(rows: DataFrame, stats: DataFrame, on: Sequence[str], sprea
     )
 
 
-def fan_out_left_join(rows: DataFrame, details: DataFrame, on: str, salts: int = SALTS,
-                      hot_rows: int = 100_000) -> DataFrame:
-    """``rows LEFT JOIN details ON on`` where one key may hold a large share of the details.
+#: Rows of one key that a task of a fan-out join takes.
+PART_ROWS = 100_000
 
-    Adaptive execution cannot split the right side of a left join. Keys with more than
-    ``hot_rows`` details and more than a thousandth of them all are fewer than a thousand, so
-    their list is broadcast; their details are spread over ``salts`` parts by a hash of the row,
-    and their rows are repeated once for each part that has details. Other keys stay whole.
+
+def fan_out_left_join(rows: DataFrame, details: DataFrame, on: str | Sequence[str],
+                      part_rows: int = PART_ROWS) -> DataFrame:
+    """``rows LEFT JOIN details ON on`` where one key may hold very many of the details.
+
+    Adaptive execution cannot split the right side of a left join. So the details of a key are
+    dealt to as many parts as it takes to keep ``part_rows`` in each, and its rows are repeated
+    for every part that has details. Keys of one part are not listed anywhere, and how the list
+    of the others travels is left to Spark's size check.
     """
-    part = F.pmod(F.xxhash64(*details.columns), F.lit(salts)).cast("int")
-    counts = details.groupBy(on).agg(
-        F.count("*").alias("_n"), F.collect_set(part).alias("_parts")  # at most ``salts`` values
-    )
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.where((F.col("_n") > hot_rows) & (F.col("_n") * 1000 > total)).select(
-        on, "_parts"
-    )
-    spread = details.withColumn("_hash", part).join(F.broadcast(hot), on, "left").withColumn(
-        "_part", F.when(F.col("_parts").isNotNull(), F.col("_hash")).otherwise(0)
-    ).drop("_hash", "_parts")
-    parts = F.coalesce("_parts", F.array(F.lit(0)))
-    repeated = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_part", F.explode(parts)
-    ).drop("_parts")
-    return repeated.join(spread, [on, "_part"], "left").drop("_part")
+    on = [on] if isinstance(on, str) else list(on)
+    parts = F.ceil(F.col("_n") / part_rows).cast("int")
+    large = details.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > part_rows).select(
+        *on, parts.alias("_parts"))
+    dealt = F.pmod(F.xxhash64(*details.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    spread = details.join(large, on, "left").withColumn("_part", dealt)
+    filled = spread.where("_parts IS NOT NULL").select(*on, "_part").distinct()
+    repeated = rows.join(filled, on, "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
+    return repeated.join(spread.drop("_parts"), [*on, "_part"], "left").drop("_part")

@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import numeric as N, rules as R
-from ledgerlight.functions.joins import best_rows
+from ledgerlight.functions.joins import best_rows, join_group_stats
+from ledgerlight.operators.companies import registry_at
 from ledgerlight.operators.risk import primary_or
 from ledgerlight.schemas import BENCHMARK, SCHEMAS
 
@@ -51,9 +52,9 @@ def _aggregate(registry: DataFrame, indicators: DataFrame, by_year: bool,
     for c in names:
         parts += [F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"c_{c}"),
                   F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
-        if deviations:
+        if deviations:  # squared distances from the company's own mean
             x = F.col(c).cast("double")
-            parts.append(F.sum(x * x).alias(f"q_{c}"))
+            parts += [F.avg(x).alias(f"a_{c}"), (F.var_pop(x) * F.count(c)).alias(f"q_{c}")]
     measured = indicators.groupBy(*company).agg(*parts)
     filed = registry.select("cnpj", *_sector_keys()).groupBy("cnpj", *KEYS).agg(
         F.count("*").alias("n")
@@ -80,21 +81,28 @@ def _aggregate(registry: DataFrame, indicators: DataFrame, by_year: bool,
     for name, c in BOUNDS.items():
         figures += [N.round2(F.min(f"min_{c}")).alias(f"min_{name}"),
                     N.round2(F.max(f"max_{c}")).alias(f"max_{name}")]
-    if deviations:
-        for name, c in MEANS.items():
-            count, centre = total("c", c), mean(c).cast("double")
-            spread = total("q", c) - count * centre * centre
-            variance = spread / F.nullif(F.greatest(count - 1, F.lit(0)), F.lit(0))
-            figures.append(
-                F.sqrt(F.when(variance > 0, variance).when(variance <= 0, 0.0)).alias(
-                    name.replace("media_", "desvio_padrao_"))
-            )
+    if not deviations:
+        return rows.groupBy(*group).agg(*figures)
+    # Distances are taken from the sector's mean, known from a pass before: the difference of two
+    # large sums of squares would lose all digits of a small spread.
+    def weighted(c):
+        return F.sum(F.col(f"a_{c}") * F.col(f"c_{c}") * n) / F.nullif(total("c", c), F.lit(0))
+
+    centres = rows.groupBy(*group).agg(*[weighted(c).alias(f"m_{c}") for c in names])
+    rows = join_group_stats(rows, centres, group, "cnpj")
+    for name, c in MEANS.items():
+        off = F.col(f"a_{c}") - F.col(f"m_{c}")
+        spread = F.sum(n * (F.col(f"q_{c}") + F.col(f"c_{c}") * off * off))
+        figures.append(F.sqrt(spread / F.nullif(total("c", c) - 1, F.lit(0))).alias(
+            name.replace("media_", "desvio_padrao_")))
     return rows.groupBy(*group).agg(*figures)
 
 
 def benchmark_dynamic(registry: DataFrame, indicators: DataFrame, year: int | None = None,
-                      min_companies: int = 3, limit: int | None = 100) -> DataFrame:
+                      min_companies: int = 3, limit: int | None = 100,
+                      registry_grain: str = "all") -> DataFrame:
     """Benchmark computed from indicators, largest sectors first."""
+    registry = registry_at(registry, registry_grain)
     if year is not None:
         indicators = indicators.where(F.col("ano_referencia") == year)
     rows = _aggregate(registry, indicators, by_year=False).where(

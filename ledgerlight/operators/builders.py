@@ -87,11 +87,11 @@ def build_indicators(balance: DataFrame, income: DataFrame) -> DataFrame:
 
 def build_equation_check(balance: DataFrame) -> DataFrame:
     """Gap between assets and liabilities plus equity, in money and percent of assets."""
-    gap = F.col("ativo_total") - F.col("passivo_pl_total")
+    gap = F.abs(F.col("ativo_total") - F.col("passivo_pl_total"))
     rows = balance.withColumn("diferenca_absoluta", gap).withColumn(
         "percentual_diferenca",
         F.when(gap == 0, F.lit(0.0)).otherwise(
-            N.percent(F.abs("diferenca_absoluta"), F.abs("ativo_total"))
+            N.percent(F.col("diferenca_absoluta"), F.abs("ativo_total"))
         ),
     )
     label = R.equation_class(F.col("diferenca_absoluta"), F.col("percentual_diferenca"))

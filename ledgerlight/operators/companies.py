@@ -2,10 +2,11 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlight.functions import rules as R
 from ledgerlight.functions.periods import month_label, months_of, year_of
+from ledgerlight.schemas import RISK, SCHEMAS
 from ledgerlight.sources.tables import FilingTables
 
 CNPJ_LENGTH = 14
@@ -39,6 +40,20 @@ def overview_summary(registry: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+def registry_at(registry: DataFrame, grain: str) -> DataFrame:
+    """All registry periods of a company, or its latest."""
+    if grain == "latest":
+        return latest_rows(registry, ["cnpj"], ["ano_referencia"])
+    if grain != "all":
+        raise ValueError(f"registry grain is 'all' or 'latest': {grain!r}")
+    return registry
+
+
+def or_empty(table: DataFrame | None, name: str, spark: SparkSession) -> DataFrame:
+    """A missing optional table as one without rows."""
+    return spark.createDataFrame([], SCHEMAS[name]) if table is None else table
+
+
 def company_profile(tables: FilingTables, cnpj: str | None = None) -> dict[str, DataFrame]:
     """Registry (latest row), indicators, balance, income and risk histories.
 
@@ -61,7 +76,7 @@ def company_profile(tables: FilingTables, cnpj: str | None = None) -> dict[str,
         "indicators": newest(tables.indicators, "ano_referencia"),
         "balance": newest(tables.balance, "ano_referencia", "data_fim_periodo"),
         "income": newest(tables.income, "ano_referencia", "data_fim_periodo"),
-        "risk": newest(tables.risk, "ano_referencia"),
+        "risk": newest(or_empty(tables.risk, RISK, tables.registry.sparkSession), "ano_referencia"),
     }
 
 
@@ -111,9 +126,9 @@ def indicator_trend(indicators: DataFrame) -> DataFrame:
 
 def risk_trend(risk: DataFrame) -> DataFrame:
     """Score history of companies with more than one risk row."""
-    repeated = risk.groupBy("cnpj").count().where("count > 1")
+    rows = F.count("*").over(Window.partitionBy("cnpj"))
     return (
-        risk.join(repeated, "cnpj", "left_semi")
+        risk.withColumn("_rows", rows).where("_rows > 1")
         .select("cnpj", F.col("ano_referencia").alias("ano"), "score_risco_total",
                 "score_equacao_contabil", "score_neaf")
         .orderBy("cnpj", "ano")

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlight.functions import numeric as N, rules as R
 from ledgerlight.functions.joins import attach_to_best, best_rows, best_rows_per
 from ledgerlight.functions.periods import months_of, period_in_year
+from ledgerlight.operators.companies import registry_at
 
 ACCOUNT = ["cd_conta", "nm_conta", "descricao_grupo_balanco", "cd_conta_referencial",
            "tipo_conta", "nivel_conta", "cd_conta_sint1", "nm_conta_sint1"]
@@ -108,7 +109,7 @@ def account_summary(accounts: DataFrame) -> DataFrame:
 
 
 def account_balances(balances: DataFrame, account: str | None = None, year: int | None = None,
-                     limit: int = 1000) -> DataFrame:
+                     limit: int | None = 1000) -> DataFrame:
     """Newest balances of one account, or of every account."""
     if year is not None:
         balances = balances.where(F.col("ano_referencia") == year)
@@ -141,11 +142,13 @@ def equation_anomalies(equation: DataFrame, registry: DataFrame, year: int | Non
 
 
 def variation_anomalies(variations: DataFrame, registry: DataFrame, year: int | None = None,
-                        limit: int | None = 500) -> DataFrame:
+                        limit: int | None = 500, registry_grain: str = "all") -> DataFrame:
     """Account variations in the three anomalous classes.
 
-    The join is on the company alone, so each registry period of a company repeats the row.
+    The join is on the company alone, so each registry period of a company repeats the row;
+    ``registry_grain="latest"`` keeps the latest period only.
     """
+    registry = registry_at(registry, registry_grain)
     rows = variations.where(F.col("classificacao_variacao").isin(R.VARIATION_CLASSES))
     if year is not None:
         rows = rows.where(F.col("ano_referencia") == year)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.functions import rules as R
 from ledgerlight.functions.joins import attach_to_best, best_rows
+from ledgerlight.operators.companies import registry_at
 
 
 def purchases_without_sale(purchases: DataFrame, sales: DataFrame,
@@ -26,8 +27,11 @@ def neaf_indications(indications: DataFrame, cnpj: str | None = None,
     )
 
 
-def neaf_scores(scores: DataFrame, registry: DataFrame, limit: int | None = 500) -> DataFrame:
-    """Scores with registry attributes; each registry period of a company repeats the row."""
+def neaf_scores(scores: DataFrame, registry: DataFrame, limit: int | None = 500,
+                registry_grain: str = "all") -> DataFrame:
+    """Scores with registry attributes; each registry period of a company repeats the row, or
+    with ``registry_grain="latest"`` only the latest counts."""
+    registry = registry_at(registry, registry_grain)
     filed = registry.select(
         "cnpj", F.col("ano_referencia").alias("periodo_cadastro"), "nm_razao_social",
         F.col("cnae_divisao_descricao").alias("setor"), "cd_uf",
@@ -56,7 +60,7 @@ def filter_neaf(rows: DataFrame, risk_class: str | None = None, state: str | Non
     return rows.where(F.col("qtd_total_indicios") >= min_indications)
 
 
-def neaf_by_sector(rows: DataFrame, limit: int = 10) -> DataFrame:
+def neaf_by_sector(rows: DataFrame, limit: int | None = 10) -> DataFrame:
     totals = rows.where("setor IS NOT NULL").groupBy("setor").agg(
         F.sum("qtd_total_indicios").alias("qtd_indicios")
     )

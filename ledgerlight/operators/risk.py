@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.functions import numeric as N, rules as R
 from ledgerlight.functions.joins import attach_to_best, fan_out_left_join
-from ledgerlight.operators.companies import latest_rows
+from ledgerlight.operators.companies import registry_at
 
 MEASURES = ["ativo_total", "receita_liquida", "liquidez_corrente", "endividamento_geral",
             "margem_liquida_perc"]
@@ -17,11 +17,7 @@ def _registry_details(registry: DataFrame, grain: str) -> DataFrame:
         "cnpj", "ano_referencia", "nm_razao_social", "nm_fantasia", "cd_uf",
         R.sector_label().alias("setor"), "empresa_grande_porte",
     )
-    if grain == "latest":
-        details = latest_rows(details, ["cnpj"], ["ano_referencia"])
-    elif grain != "all":
-        raise ValueError(f"registry grain is 'all' or 'latest': {grain!r}")
-    return details.withColumnRenamed("ano_referencia", "periodo_cadastro")
+    return registry_at(details, grain).withColumnRenamed("ano_referencia", "periodo_cadastro")
 
 
 def _with_registry(rows: DataFrame, registry: DataFrame, grain: str, order: list,

@@ -7,6 +7,8 @@ from ledgerlight.functions.joins import (
     attach_to_best, best_rows, best_rows_per, join_group_stats,
 )
 from ledgerlight.functions.periods import period_in_year, year_of
+from ledgerlight.operators.companies import or_empty
+from ledgerlight.schemas import RISK
 
 
 def _in_year(df: DataFrame, year: int | None) -> DataFrame:
@@ -57,11 +59,13 @@ def sector_indicators(registry: DataFrame, indicators: DataFrame, year: int | No
     return best_rows(sectors, [F.desc("qtd_empresas"), F.asc("setor")], limit)
 
 
-def companies_by_sector(registry: DataFrame, indicators: DataFrame, risk: DataFrame,
+def companies_by_sector(registry: DataFrame, indicators: DataFrame, risk: DataFrame | None,
                         sector: str | None = None, year: int | None = None,
-                        limit: int = 200) -> DataFrame:
+                        limit: int | None = 200) -> DataFrame:
     """Largest companies of one sector, or of every sector, with their risk score.
 
+    Without a risk table the score columns are null.
+
     The sector is the two-way label: a company with neither description belongs to none.
     """
     label = F.coalesce("cnae_divisao_descricao", "de_cnae")
@@ -77,7 +81,8 @@ def companies_by_sector(registry: DataFrame, indicators: DataFrame, risk: DataFr
         ),
         ["cnpj", "ano_referencia"],
     )
-    scores = risk.select("cnpj", "ano_referencia", "score_risco_total", "classificacao_risco")
+    scores = or_empty(risk, RISK, filed.sparkSession).select(
+        "cnpj", "ano_referencia", "score_risco_total", "classificacao_risco")
     order = [F.desc_nulls_first("ativo_total"), F.asc("cnpj"), F.asc("periodo_cadastro")]
     scored = [F.asc_nulls_last("score_risco_total"), F.asc_nulls_last("classificacao_risco")]
     keys = ["cnpj", "ano_referencia"]
@@ -97,7 +102,7 @@ def companies_by_sector(registry: DataFrame, indicators: DataFrame, risk: DataFr
     )
 
 
-def suspicious_companies(registry: DataFrame, indicators: DataFrame, risk: DataFrame,
+def suspicious_companies(registry: DataFrame, indicators: DataFrame, risk: DataFrame | None,
                          indicator: str, year: int | None = None, limit: int | None = 100,
                          population: str = "filtered") -> DataFrame:
     """Companies beyond an indicator's threshold, with the sector mean and the gap to it.
@@ -119,7 +124,8 @@ def suspicious_companies(registry: DataFrame, indicators: DataFrame, risk: DataF
     rows = measured.where(beyond(value)).join(filed, keys)
     counted = rows if population == "filtered" else measured.join(filed, keys)
     means = counted.groupBy("setor").agg(F.avg(value).alias("media"))
-    scores = risk.select("cnpj", "ano_referencia", "score_risco_total")
+    scores = or_empty(risk, RISK, filed.sparkSession).select(
+        "cnpj", "ano_referencia", "score_risco_total")
 
     rows = rows.withColumn("valor_indicador", N.round2(value))
     first = F.asc_nulls_last if ascending else F.desc_nulls_first
@@ -131,8 +137,7 @@ def suspicious_companies(registry: DataFrame, indicators: DataFrame, risk: DataF
         rest = [F.asc_nulls_last(c) for c in rows.columns]
         rows = attach_to_best(rows, scores, keys, order + rest, limit,
                               [F.asc_nulls_last("score_risco_total")])
-        # At most ``limit`` rows are broadcast to the sector means.
-        rows = F.broadcast(rows).join(means, "setor").orderBy(*order)
+        rows = rows.join(means, "setor").orderBy(*order)
     return rows.select(
         "cnpj", "nm_razao_social", "cd_uf", "setor", "valor_indicador",
         N.millions(F.col("ativo_total")).alias("ativo_milhoes"),

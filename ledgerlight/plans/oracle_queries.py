@@ -30,10 +30,10 @@ def _sector_aggregate(group: str, where: str = "") -> str:
     FROM {J1} {where} GROUP BY ALL HAVING COUNT(DISTINCT ec.cnpj) > 0"""
 
 
-def _sectors(year=None) -> str:
+def _sectors(year=None, cut="") -> str:
     where = f"WHERE ind.ano_referencia = {year}" if year else ""
-    return _sector_aggregate(f"{SECTOR} AS setor", where) + """
-    ORDER BY qtd_empresas DESC, setor LIMIT 50"""
+    return _sector_aggregate(f"{SECTOR} AS setor", where) + f"""
+    ORDER BY qtd_empresas DESC, setor {cut}"""
 
 
 MEASURES = f"""
@@ -48,7 +48,8 @@ COMPANY = f"""
       {SECTOR} AS setor, COALESCE(ec.empresa_grande_porte, 'N') AS empresa_grande_porte,"""
 
 
-def _high_risk(limit=None) -> str:
+def _high_risk(limit=None, year=None) -> str:
+    when = f"AND sr.ano_referencia = {year}" if year else ""
     cut = "" if limit is None else f"LIMIT {limit}"
     return f"""
     SELECT sr.cnpj, {COMPANY}
@@ -67,12 +68,14 @@ def _high_risk(limit=None) -> str:
       sr.ano_referencia, ec.ano_referencia AS periodo_cadastro
     FROM risk sr LEFT JOIN registry ec ON sr.cnpj = ec.cnpj
     LEFT JOIN indicators ind ON sr.cnpj = ind.cnpj AND sr.ano_referencia = ind.ano_referencia
-    WHERE sr.score_risco_total >= 3
+    WHERE sr.score_risco_total >= 3 {when}
     ORDER BY prioridade_fiscalizacao, sr.score_risco_total DESC, sr.cnpj, sr.ano_referencia,
              periodo_cadastro {cut}"""
 
 
-FALLBACK = f"""
+def _fallback(year=None) -> str:
+    when = f"AND ind.ano_referencia = {year}" if year else ""
+    return f"""
     SELECT ind.cnpj, {COMPANY}
       CAST({FINANCIAL} AS DOUBLE) AS score_risco_total,
       {risk_class(FINANCIAL)} AS classificacao_risco,
@@ -81,12 +84,13 @@ FALLBACK = f"""
       {MEASURES} CAST(3 AS INTEGER) AS prioridade_fiscalizacao,
       ind.ano_referencia, ec.ano_referencia AS periodo_cadastro
     FROM indicators ind LEFT JOIN registry ec ON ind.cnpj = ec.cnpj
-    WHERE ind.liquidez_corrente < 1.0 OR ind.endividamento_geral > 0.7
-       OR ind.margem_liquida_perc < 0
+    WHERE (ind.liquidez_corrente < 1.0 OR ind.endividamento_geral > 0.7
+       OR ind.margem_liquida_perc < 0) {when}
     ORDER BY {FINANCIAL} DESC, ind.ativo_total DESC NULLS FIRST, ind.cnpj, ind.ano_referencia,
              periodo_cadastro
     LIMIT 500"""
 
+
 BENCHMARK_KEYS = """
       COALESCE(ec.cnae_divisao, 'N/A') AS cd_cnae,
       COALESCE(ec.de_cnae, 'Não Classificado') AS de_cnae,
@@ -128,14 +132,14 @@ BENCHMARK_ORDER = """qtd_empresas_setor DESC, cd_cnae, de_cnae, cnae_secao,
       cnae_secao_descricao, cnae_divisao, cnae_divisao_descricao"""
 
 
-def _benchmark_dynamic(year=None) -> str:
+def _benchmark_dynamic(year=None, cut="", registry="registry") -> str:
     where = f"WHERE ind.ano_referencia = {year}" if year else ""
     return f"""
     SELECT {BENCHMARK_KEYS}, CAST({year or 2024} AS INTEGER) AS ano_referencia,
       {BENCHMARK_FIGURES}
-    FROM indicators ind LEFT JOIN registry ec ON ind.cnpj = ec.cnpj {where}
+    FROM indicators ind LEFT JOIN {registry} ec ON ind.cnpj = ec.cnpj {where}
     GROUP BY ALL HAVING COUNT(DISTINCT ec.cnpj) >= 3
-    ORDER BY {BENCHMARK_ORDER} LIMIT 100"""
+    ORDER BY {BENCHMARK_ORDER} {cut}"""
 
 
 def _benchmark_by_year(extra: str = "") -> str:
@@ -154,24 +158,28 @@ SUSPICIOUS = {
 }
 
 
-def _suspicious(name: str) -> str:
+def _suspicious(name: str, cut: str = "", year=None, population="filtered") -> str:
     column, test, order = SUSPICIOUS[name]
-    mean = f"AVG(ind.{column}) OVER (PARTITION BY {SECTOR})"
+    when = f"AND ind.ano_referencia = {year}" if year else ""
+    base = f"(ind.{column} {test})" if population == "filtered" else "TRUE"
     return f"""
-    SELECT ec.cnpj, ec.nm_razao_social, ec.cd_uf, {SECTOR} AS setor,
-      {rounded('ind.' + column)} AS valor_indicador,
-      {millions('ind.ativo_total')} AS ativo_milhoes,
-      {millions('ind.receita_liquida')} AS receita_milhoes, sr.score_risco_total,
-      {rounded(mean)} AS media_setor,
-      {rounded(f'ind.{column} - {mean}')} AS desvio_setor,
-      ec.ano_referencia AS periodo_cadastro
-    FROM {J1} LEFT JOIN risk sr
-      ON ind.cnpj = sr.cnpj AND ind.ano_referencia = sr.ano_referencia
-    WHERE ind.{column} {test}
-    ORDER BY valor_indicador {order}, ec.cnpj, ec.ano_referencia LIMIT 100"""
-
-
-def _usage(year=None) -> str:
+    SELECT p.cnpj, p.nm_razao_social, p.cd_uf, p.setor, {rounded('p.valor')} AS valor_indicador,
+      {millions('p.ativo_total')} AS ativo_milhoes,
+      {millions('p.receita_liquida')} AS receita_milhoes, sr.score_risco_total,
+      {rounded('p.media')} AS media_setor, {rounded('p.valor - p.media')} AS desvio_setor,
+      p.periodo_cadastro
+    FROM (
+      SELECT ec.cnpj, ec.nm_razao_social, ec.cd_uf, {SECTOR} AS setor, ind.{column} AS valor,
+        ind.ativo_total, ind.receita_liquida, ec.ano_referencia AS periodo_cadastro,
+        ind.ano_referencia AS ano, ind.{column} {test} AS fora,
+        AVG(ind.{column}) FILTER ({base}) OVER (PARTITION BY {SECTOR}) AS media
+      FROM {J1} WHERE TRUE {when}) p
+    LEFT JOIN risk sr ON p.cnpj = sr.cnpj AND p.ano = sr.ano_referencia
+    WHERE p.fora
+    ORDER BY valor_indicador {order}, p.cnpj, p.periodo_cadastro {cut}"""
+
+
+def _usage(year=None, cut="") -> str:
     where = f"AND ano_referencia BETWEEN {year}01 AND {year}12" if year else ""
     return f"""
     SELECT cd_conta, nm_conta, descricao_grupo_balanco, cd_conta_referencial, tipo_conta,
@@ -180,7 +188,7 @@ def _usage(year=None) -> str:
     GROUP BY cd_conta, nm_conta, descricao_grupo_balanco, cd_conta_referencial, tipo_conta,
       nivel_conta, cd_conta_sint1, nm_conta_sint1
     HAVING COUNT(DISTINCT cnpj) >= 5
-    ORDER BY qtd_empresas_usam DESC, cd_conta, nm_conta LIMIT 200"""
+    ORDER BY qtd_empresas_usam DESC, cd_conta, nm_conta {cut}"""
 
 
 EQUATION_LIST = f"""
@@ -194,28 +202,48 @@ EQUATION_LIST = f"""
       ON ie.cnpj = ec.cnpj AND ie.ano_referencia = ec.ano_referencia
     WHERE ie.classificacao_inconsistencia != 'OK' {{where}}
     ORDER BY ie.score_risco_equacao DESC, abs(ie.diferenca_absoluta) DESC, ie.cnpj,
-      ie.ano_referencia LIMIT 500"""
+      ie.ano_referencia {{cut}}"""
+
+VARIATION_LIST = f"""
+    SELECT iv.cnpj, ec.nm_razao_social, {SECTOR} AS setor, ec.cd_uf, iv.cd_conta,
+      iv.ano_referencia, CAST(iv.saldo_anterior AS DOUBLE) AS saldo_anterior,
+      CAST(iv.saldo_atual AS DOUBLE) AS saldo_atual,
+      CAST(iv.variacao_absoluta AS DOUBLE) AS variacao_absoluta, iv.variacao_percentual,
+      iv.classificacao_variacao, iv.score_risco_variacao,
+      ec.ano_referencia AS periodo_cadastro
+    FROM variations iv JOIN {{registry}} ec ON iv.cnpj = ec.cnpj
+    WHERE iv.classificacao_variacao IN
+      ('Variação Extrema', 'Variação Muito Alta', 'Variação Alta') {{where}}
+    ORDER BY iv.score_risco_variacao DESC, abs(iv.variacao_percentual) DESC, iv.cnpj,
+      iv.cd_conta, iv.ano_referencia, ec.ano_referencia {{cut}}"""
+
+NEAF_LIST = """
+    SELECT ns.cnpj, ec.nm_razao_social, ec.cnae_divisao_descricao AS setor, ec.cd_uf,
+      ns.qtd_total_indicios, ns.qtd_tipos_indicios_distintos, ns.score_risco_neaf,
+      ns.classificacao_risco_neaf, ec.ano_referencia AS periodo_cadastro
+    FROM neaf_scores ns JOIN {registry} ec ON ns.cnpj = ec.cnpj
+    ORDER BY ns.score_risco_neaf DESC, ns.cnpj, ec.ano_referencia {cut}"""
+
+COMPANIES = f"""
+    SELECT {SECTOR_TWO} AS setor, ec.cnpj, ec.nm_razao_social, ec.nm_fantasia, ec.cd_uf,
+      ec.empresa_grande_porte, {millions('ind.ativo_total')} AS ativo_milhoes,
+      {millions('ind.receita_liquida')} AS receita_milhoes,
+      ROUND(ind.liquidez_corrente, 2) AS liquidez,
+      {rounded('ind.margem_liquida_perc')} AS margem_liquida, sr.score_risco_total,
+      sr.classificacao_risco, ec.ano_referencia AS periodo_cadastro
+    FROM {J1} LEFT JOIN risk sr
+      ON ec.cnpj = sr.cnpj AND ec.ano_referencia // 100 = sr.ano_referencia
+    WHERE {SECTOR_TWO} IS NOT NULL {{where}} {{cut}}"""
+LARGEST = f"""QUALIFY ROW_NUMBER() OVER (PARTITION BY {SECTOR_TWO} ORDER BY
+      ind.ativo_total DESC NULLS FIRST, ec.cnpj, ec.ano_referencia) <= 200"""
 
-# Lists the page totals, frequencies and top lists are taken from.
+# Whole lists; totals, frequencies, filters, searches and rankings are taken from them.
 LISTS = {
     "sector_list": _sectors(),
     "sector_year": _sector_aggregate(f"{SECTOR} AS setor, ind.ano_referencia"),
-    "risk_list": _high_risk(500),
-    "risk_short": _high_risk(200),
     "risk_all": _high_risk(),
-    "fallback_list": FALLBACK,
-    "companies_list": f"""
-      SELECT {SECTOR_TWO} AS setor, ec.cnpj, ec.nm_razao_social, ec.nm_fantasia, ec.cd_uf,
-        ec.empresa_grande_porte, {millions('ind.ativo_total')} AS ativo_milhoes,
-        {millions('ind.receita_liquida')} AS receita_milhoes,
-        ROUND(ind.liquidez_corrente, 2) AS liquidez,
-        {rounded('ind.margem_liquida_perc')} AS margem_liquida, sr.score_risco_total,
-        sr.classificacao_risco, ec.ano_referencia AS periodo_cadastro
-      FROM {J1} LEFT JOIN risk sr
-        ON ec.cnpj = sr.cnpj AND ec.ano_referencia // 100 = sr.ano_referencia
-      WHERE {SECTOR_TWO} IS NOT NULL
-      QUALIFY ROW_NUMBER() OVER (PARTITION BY {SECTOR_TWO} ORDER BY
-        ind.ativo_total DESC NULLS FIRST, ec.cnpj, ec.ano_referencia) <= 200""",
+    "fallback_list": _fallback(),
+    "companies_list": COMPANIES.format(where="", cut=""),
     "suspects": _suspicious("liquidity"),
     "usage_list": _usage(),
     "account_list": """
@@ -229,25 +257,9 @@ LISTS = {
           CAST(MAX(saldo_final_contabil) AS DOUBLE) / 1000000 AS maior
         FROM account_balances GROUP BY cd_conta) s ON u.cd_conta = s.cd_conta""",
     "account_shown": "SELECT * FROM account_list WHERE qtd_empresas_usam >= 10",
-    "neaf_list": """
-      SELECT ns.cnpj, ec.nm_razao_social, ec.cnae_divisao_descricao AS setor, ec.cd_uf,
-        ns.qtd_total_indicios, ns.qtd_tipos_indicios_distintos, ns.score_risco_neaf,
-        ns.classificacao_risco_neaf, ec.ano_referencia AS periodo_cadastro
-      FROM neaf_scores ns JOIN registry ec ON ns.cnpj = ec.cnpj
-      ORDER BY ns.score_risco_neaf DESC, ns.cnpj, ec.ano_referencia LIMIT 500""",
-    "equation_list": EQUATION_LIST.format(where=""),
-    "variation_list": f"""
-      SELECT iv.cnpj, ec.nm_razao_social, {SECTOR} AS setor, ec.cd_uf, iv.cd_conta,
-        iv.ano_referencia, CAST(iv.saldo_anterior AS DOUBLE) AS saldo_anterior,
-        CAST(iv.saldo_atual AS DOUBLE) AS saldo_atual,
-        CAST(iv.variacao_absoluta AS DOUBLE) AS variacao_absoluta, iv.variacao_percentual,
-        iv.classificacao_variacao, iv.score_risco_variacao,
-        ec.ano_referencia AS periodo_cadastro
-      FROM variations iv JOIN registry ec ON iv.cnpj = ec.cnpj
-      WHERE iv.classificacao_variacao IN
-        ('Variação Extrema', 'Variação Muito Alta', 'Variação Alta')
-      ORDER BY iv.score_risco_variacao DESC, abs(iv.variacao_percentual) DESC, iv.cnpj,
-        iv.cd_conta, iv.ano_referencia, ec.ano_referencia LIMIT 500""",
+    "neaf_list": NEAF_LIST.format(registry="registry", cut=""),
+    "equation_list": EQUATION_LIST.format(where="", cut=""),
+    "variation_list": VARIATION_LIST.format(registry="registry", where="", cut=""),
     "benchmark_list": _benchmark_dynamic(),
     "stored_benchmark": _benchmark_by_year(),
     "latest_measures": """
@@ -367,10 +379,10 @@ def oracle_sql() -> dict[str, str]:
               COUNT(DISTINCT cnae_divisao) AS total_setores,
               COUNT(DISTINCT cd_uf) AS total_estados
             FROM registry WHERE ano_referencia > 0"""),
-        "sector_indicators": _q(_sectors()),
-        "sector_indicators_year": _q(_sectors(YEAR)),
-        "export_csv": _q(_sectors()),
-        "companies_by_sector": _q("SELECT * FROM companies_list"),
+        "sector_indicators": _q(_sectors(cut="LIMIT 50")),
+        "sector_indicators_year": _q(_sectors(YEAR, "LIMIT 50")),
+        "export_csv": _q(_sectors(cut="LIMIT 50")),
+        "companies_by_sector": _q(COMPANIES.format(where="", cut=LARGEST)),
         "company_profile_registry": _q("SELECT * FROM latest_filed WHERE length(cnpj) = 14"),
         "company_profile_indicators": _q(f"SELECT {_plain(INDICATOR_MONEY)} FROM indicators"),
         "company_profile_balance": _q(f"SELECT {_plain(BALANCE_MONEY, True)} FROM balance"),
@@ -430,16 +442,18 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, LEAST(valor_empresa, media_setor, 0) AS lo,
                     GREATEST(valor_empresa, media_setor, ideal_max) AS hi
                   FROM compared_base)"""),
-        "high_risk": _q("SELECT * FROM risk_list"),
+        "high_risk": _q(_high_risk(500)),
+        "high_risk_year": _q(_high_risk(500, YEAR)),
+        "risk_fallback_year": _q(_fallback(YEAR)),
         "risk_fallback": _q("SELECT * FROM fallback_list"),
-        "source_fallback": _q("""
-            SELECT 'tabela preenchida' AS caso, * FROM risk_list
+        "source_fallback": _q(f"""
+            SELECT 'tabela preenchida' AS caso, * FROM ({_high_risk(500)})
             UNION ALL SELECT 'tabela vazia' AS caso, * FROM fallback_list
             UNION ALL SELECT 'tabela ausente' AS caso, * FROM fallback_list"""),
         "high_risk_filtered": _q("""
-            SELECT * FROM risk_list WHERE score_risco_total >= 5 AND cd_uf = 'NATION_7'"""),
-        "account_usage": _q("SELECT * FROM usage_list"),
-        "account_usage_year": _q(_usage(YEAR)),
+            SELECT * FROM risk_all WHERE score_risco_total >= 5 AND cd_uf = 'NATION_7'"""),
+        "account_usage": _q(_usage(cut="LIMIT 200")),
+        "account_usage_year": _q(_usage(YEAR, "LIMIT 200")),
         "account_balance_stats": _q("SELECT * FROM account_list"),
         "account_dispersion": _q("""
             SELECT cd_conta, nm_conta, media_saldo_milhoes, min_saldo_milhoes, max_saldo_milhoes,
@@ -479,7 +493,8 @@ def oracle_sql() -> dict[str, str]:
             FROM neaf_indications GROUP BY cnpj, descricao_indicio, complemento_indicio
             ORDER BY qtd_ocorrencias DESC, cnpj, descricao_indicio, complemento_indicio
             LIMIT 500"""),
-        "neaf_scores": _q("SELECT * FROM neaf_list"),
+        "neaf_scores": _q(NEAF_LIST.format(registry="registry", cut="LIMIT 500")),
+        "neaf_scores_latest": _q(NEAF_LIST.format(registry="latest_filed", cut="LIMIT 500")),
         "neaf_filtered": _q("""
             SELECT * FROM neaf_list WHERE classificacao_risco_neaf = 'MODERADO'
               AND cd_uf = 'NATION_3' AND qtd_total_indicios >= 1"""),
@@ -487,17 +502,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT setor, CAST(SUM(qtd_total_indicios) AS BIGINT) AS qtd_indicios FROM neaf_list
             WHERE setor IS NOT NULL GROUP BY setor ORDER BY qtd_indicios DESC, setor LIMIT 10"""),
         "points_neaf": _q("SELECT * EXCLUDE (periodo_cadastro) FROM neaf_list"),
-        "equation_anomalies": _q("SELECT * FROM equation_list"),
+        "equation_anomalies": _q(EQUATION_LIST.format(where="", cut="LIMIT 500")),
         "equation_anomalies_year": _q(EQUATION_LIST.format(
-            where=f"AND ie.ano_referencia // 100 = {YEAR}")),
-        "variation_anomalies": _q("SELECT * FROM variation_list"),
-        "benchmark_dynamic": _q("SELECT * FROM benchmark_list"),
-        "benchmark_dynamic_year": _q(_benchmark_dynamic(YEAR)),
+            where=f"AND ie.ano_referencia // 100 = {YEAR}", cut="LIMIT 500")),
+        "variation_anomalies": _q(VARIATION_LIST.format(
+            registry="registry", where="", cut="LIMIT 500")),
+        "variation_anomalies_year": _q(VARIATION_LIST.format(
+            registry="registry", where=f"AND iv.ano_referencia = {YEAR}", cut="LIMIT 500")),
+        "variation_anomalies_latest": _q(VARIATION_LIST.format(
+            registry="latest_filed", where="", cut="LIMIT 500")),
+        "benchmark_dynamic": _q(_benchmark_dynamic(cut="LIMIT 100")),
+        "benchmark_dynamic_latest": _q(_benchmark_dynamic(cut="LIMIT 100", registry="latest_filed")),
+        "benchmark_dynamic_year": _q(_benchmark_dynamic(YEAR, "LIMIT 100")),
         "benchmark_stored": _q("SELECT * FROM stored_benchmark"),
         "sector_benchmark": _q(f"""
             SELECT 'ano gravado' AS caso, * FROM stored_benchmark WHERE ano_referencia = {YEAR}
             UNION ALL SELECT 'ano sem linhas' AS caso, *
-            FROM ({_benchmark_dynamic(YEAR + 1)})"""),
+            FROM ({_benchmark_dynamic(YEAR + 1, "LIMIT 100")})"""),
         "benchmark_filtered": _q("""
             SELECT * FROM benchmark_list WHERE cnae_divisao_descricao = 'MACHINERY'"""),
         "points_benchmark": _q("""
@@ -537,6 +558,48 @@ def oracle_sql() -> dict[str, str]:
                     ind.liquidez_corrente
                   FROM registry ec JOIN indicators ind ON ec.cnpj = ind.cnpj
                     AND ec.ano_referencia // 100 = ind.ano_referencia)"""),
+        "view_balance": _view(
+            f"(SELECT {_plain(BALANCE_MONEY, True)} FROM balance)",
+            data_fim_periodo="Período", ativo_total="Ativo Total", ativo_circulante="Ativo Circ.",
+            ativo_nao_circulante="Ativo Não Circ.", passivo_total="Passivo Total",
+            passivo_circulante="Passivo Circ.", passivo_nao_circulante="Passivo Não Circ.",
+            patrimonio_liquido="Patrimônio Líquido"),
+        "view_income": _view(
+            f"(SELECT {_plain(INCOME_MONEY, True)} FROM income)",
+            data_fim_periodo="Período", receita_bruta="Receita Bruta",
+            deducoes_receita="Deduções", receita_liquida="Receita Líq.", custos_totais="Custos",
+            despesas_totais="Despesas", lucro_bruto="Lucro Bruto",
+            resultado_liquido="Resultado Líq."),
+        "view_variation": _view(
+            f"({VARIATION_LIST.format(registry='registry', where='', cut='LIMIT 500')})",
+            nm_razao_social="Razão Social", cnpj="CNPJ", setor="Setor", cd_conta="Conta",
+            saldo_anterior="Saldo Anterior", saldo_atual="Saldo Atual",
+            variacao_absoluta="Variação Abs.", variacao_percentual="Variação %",
+            classificacao_variacao="Classificação", score_risco_variacao="Score"),
+        **{f"one_company_{name}": _q(f"""SELECT {columns} FROM {table}
+              WHERE cnpj = (SELECT MIN(cnpj) FROM registry)""")
+           for name, table, columns in (
+               ("registry", "latest_filed", "*"),
+               ("indicators", "indicators", _plain(INDICATOR_MONEY)),
+               ("balance", "balance", _plain(BALANCE_MONEY, True)),
+               ("income", "income", _plain(INCOME_MONEY, True)), ("risk", "risk", "*"))},
+        "one_sector": _q(COMPANIES.format(
+            where=f"AND {SECTOR_TWO} = 'MACHINERY' AND ind.ano_referencia = {YEAR}", cut=LARGEST)),
+        "one_account": _q(f"""
+            SELECT cnpj, cd_conta, CAST(saldo_final_contabil AS DOUBLE) AS saldo_final_contabil,
+              CAST(data_fim_periodo AS VARCHAR) AS data_fim_periodo FROM account_balances
+            WHERE cd_conta = (SELECT MIN(cd_conta) FROM account_balances)
+              AND ano_referencia = {YEAR}
+            ORDER BY account_balances.data_fim_periodo DESC, cnpj,
+              account_balances.saldo_final_contabil LIMIT 1000"""),
+        "one_neaf_company": _q("""
+            SELECT cnpj, descricao_indicio, complemento_indicio, COUNT(*) AS qtd_ocorrencias
+            FROM neaf_indications WHERE cnpj = (SELECT MIN(cnpj) FROM neaf_indications)
+            GROUP BY ALL ORDER BY qtd_ocorrencias DESC, cnpj, descricao_indicio,
+              complemento_indicio LIMIT 500"""),
+        "suspicious_year": _q(_suspicious("liquidity", "LIMIT 100", YEAR)),
+        "suspicious_sector_population": _q(
+            _suspicious("liquidity", "LIMIT 100", population="sector")),
         "priority_bands": _q("""
             SELECT cnpj, ano_referencia, score, CASE WHEN score > 0 AND score <= 5 THEN 'Baixa'
               WHEN score > 5 AND score <= 8 THEN 'Média' WHEN score > 8 AND score <= 11 THEN 'Alta'
@@ -557,7 +620,7 @@ def oracle_sql() -> dict[str, str]:
               ROUND(COALESCE(AVG(score_risco_total), 0), 8) AS score_medio,
               COUNT(*) FILTER (prioridade_fiscalizacao = 1) AS prioridade_critica,
               ROUND(COALESCE(SUM(ativo_milhoes), 0), 8) AS ativo_total_milhoes
-            FROM risk_short WHERE score_risco_total >= 5"""),
+            FROM risk_all WHERE score_risco_total >= 5"""),
         "kpi_accounts": _kpi("account_list", """COUNT(*) AS contas_analisadas,
             ROUND(AVG(qtd_empresas_usam), 8) AS media_empresas_conta,
             ROUND(SUM(total_saldo_bilhoes), 8) AS total_saldo_bilhoes,
@@ -604,8 +667,8 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY indicador, q1, mediana, q3, cerca_inferior, cerca_superior"""),
         "freq_size": _frequency("companies_list", "empresa_grande_porte", by="setor, "),
         "freq_risk_class": _frequency("companies_list", "classificacao_risco", by="setor, "),
-        "freq_risk_list": _frequency("risk_short", "classificacao_risco"),
-        "freq_priority": _frequency("risk_short", "prioridade_fiscalizacao"),
+        "freq_risk_list": _frequency("risk_all", "classificacao_risco"),
+        "freq_priority": _frequency("risk_all", "prioridade_fiscalizacao"),
         "freq_account_level": _frequency("account_shown", "nivel_conta"),
         "freq_state": _frequency("suspects", "cd_uf"),
         "freq_neaf_class": _frequency("neaf_list", "classificacao_risco_neaf"),
@@ -629,7 +692,7 @@ def oracle_sql() -> dict[str, str]:
         "top_suspicious": _q("""SELECT * FROM suspects
             ORDER BY valor_indicador ASC NULLS LAST, cnpj, periodo_cadastro LIMIT 20"""),
         "view_suspicious": _view(
-            "suspects", nm_razao_social="Razão Social", cd_uf="UF", setor="Setor",
+            f"({_suspicious('liquidity', 'LIMIT 100')})", nm_razao_social="Razão Social", cd_uf="UF", setor="Setor",
             valor_indicador="Liquidez Corrente", media_setor="Média Setor",
             desvio_setor="Desvio Setor", ativo_milhoes="Ativo (R$M)",
             receita_milhoes="Receita (R$M)", score_risco_total="Score Risco"),
@@ -640,22 +703,22 @@ def oracle_sql() -> dict[str, str]:
             min_saldo_milhoes="Min Saldo (R$M)", max_saldo_milhoes="Max Saldo (R$M)",
             total_saldo_bilhoes="Total (R$B)"),
         "view_neaf": _view(
-            "neaf_list", nm_razao_social="Razão Social", cnpj="CNPJ", setor="Setor", cd_uf="UF",
+            f"({NEAF_LIST.format(registry='registry', cut='LIMIT 500')})", nm_razao_social="Razão Social", cnpj="CNPJ", setor="Setor", cd_uf="UF",
             qtd_total_indicios="Total Indícios", qtd_tipos_indicios_distintos="Tipos Indícios",
             score_risco_neaf="Score Risco", classificacao_risco_neaf="Classificação"),
         "view_equation": _view(
-            "equation_list", nm_razao_social="Razão Social", cnpj="CNPJ", setor="Setor",
+            f"({EQUATION_LIST.format(where='', cut='LIMIT 500')})", nm_razao_social="Razão Social", cnpj="CNPJ", setor="Setor",
             cd_uf="UF", ativo_total="Ativo Total", passivo_pl_total="Passivo + PL",
             diferenca_absoluta="Diferença", percentual_diferenca="% Diferença",
             classificacao_inconsistencia="Classificação", score_risco_equacao="Score"),
         "view_benchmark": _view(
-            "benchmark_list", cnae_divisao_descricao="Setor", qtd_empresas_setor="Qtd Empresas",
+            f"({_benchmark_dynamic(cut='LIMIT 100')})", cnae_divisao_descricao="Setor", qtd_empresas_setor="Qtd Empresas",
             media_ativo_total_setor="Ativo Médio", media_receita_liquida_setor="Receita Média",
             media_liquidez_corrente_setor="Liquidez", media_endividamento_setor="Endividamento",
             media_margem_liquida_setor="Margem Líquida %", media_roe_setor="ROE %"),
     }
     for name in SUSPICIOUS:
-        sql[f"suspicious_{name}"] = _q(_suspicious(name))
+        sql[f"suspicious_{name}"] = _q(_suspicious(name, "LIMIT 100"))
     for key, column in {"companies": "qtd_empresas", "assets": "media_ativo_milhoes",
                         "liquidity": "media_liquidez", "debt": "media_endividamento",
                         "margin": "media_margem_liquida", "roa": "media_roa",

@@ -157,7 +157,7 @@ TABLES = {
         FROM neaf_points""",
     "gaps": """
         SELECT cnpj, ano_referencia, data_fim_periodo, ativo_total, passivo_pl_total,
-               ativo_total - passivo_pl_total AS diferenca_absoluta,
+               abs(ativo_total - passivo_pl_total) AS diferenca_absoluta,
                CASE WHEN ativo_total = passivo_pl_total THEN CAST(0 AS DOUBLE)
                     ELSE CAST(abs(ativo_total - passivo_pl_total) AS DOUBLE)
                          / NULLIF(CAST(abs(ativo_total) AS DOUBLE), 0) * 100

@@ -42,52 +42,60 @@ def _over(build: Callable[[OrderFilings], DataFrame], digits: int | None = None)
     return query
 
 
-# Lists that pages start from
+# Lists that pages start from. Totals, frequencies, filters, searches and rankings take them whole;
+# only a displayed list is cut.
 
-def _sectors(t, year=None):
-    return S.sector_indicators(t.registry(), t.indicators(), year)
+def _sectors(t, year=None, limit=None):
+    return S.sector_indicators(t.registry(), t.indicators(), year, limit)
 
 
-def _companies(t):
-    return S.companies_by_sector(t.registry(), t.indicators(), t.risk())
+def _companies(t, limit=None):
+    return S.companies_by_sector(t.registry(), t.indicators(), t.risk(), limit=limit)
 
 
-def _suspicious(t, indicator="Liquidez Corrente"):
-    return S.suspicious_companies(t.registry(), t.indicators(), t.risk(), indicator)
+def _suspicious(t, indicator="Liquidez Corrente", limit=None, year=None, population="filtered"):
+    return S.suspicious_companies(
+        t.registry(), t.indicators(), t.risk(), indicator, year, limit, population)
 
 
-def _high_risk(t, limit=500):
-    return K.high_risk(t.risk(), t.registry(), t.indicators(), limit)
+def _high_risk(t, limit=None, year=None):
+    return K.high_risk(t.risk(), t.registry(), t.indicators(), limit, year)
 
 
 def _accounts(t):
-    return L.account_balance_stats(L.account_usage(t.chart()), t.account_balances())
+    return L.account_balance_stats(L.account_usage(t.chart(), limit=None), t.account_balances())
 
 
 def _shown_accounts(t):
     return L.filter_accounts(_accounts(t))
 
 
-def _neaf(t):
-    return neaf.neaf_scores(t.neaf_scores(), t.registry())
+def _neaf(t, limit=None, grain="all"):
+    return neaf.neaf_scores(t.neaf_scores(), t.registry(), limit, grain)
 
 
-def _equation(t, year=None):
-    return L.equation_anomalies(t.equation(), t.registry(), year)
+def _equation(t, year=None, limit=None):
+    return L.equation_anomalies(t.equation(), t.registry(), year, limit)
 
 
-def _variations(t):
-    return L.variation_anomalies(t.variations(), t.registry())
+def _variations(t, limit=None, year=None, grain="all"):
+    return L.variation_anomalies(t.variations(), t.registry(), year, limit, grain)
 
 
-def _benchmark(t, year=None):
-    return B.benchmark_dynamic(t.registry(), t.indicators(), year)
+def _benchmark(t, year=None, limit=None, grain="all"):
+    return B.benchmark_dynamic(
+        t.registry(), t.indicators(), year, limit=limit, registry_grain=grain)
 
 
 def _compared(t):
     return S.company_vs_sector(t.registry(), t.indicators())
 
 
+def _first(df: DataFrame, column: str) -> str:
+    """The smallest key, for the queries about one."""
+    return df.agg(F.min(column)).first()[0]
+
+
 # Queries with several parts
 
 def _profile(part: str) -> Query:
@@ -129,20 +137,19 @@ def _clean_table(t):
 
 
 def _export_csv(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _sectors(order_filings(spark, folder))
+    rows = _sectors(order_filings(spark, folder), limit=50)
     path = sinks.export_csv(rows, sinks.scratch_path(spark, "export"), "Setores")
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
 def _build_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     t = order_filings(spark, folder)
-    rows = B.build_benchmark(t.registry(), t.indicators())
-    path = sinks.write_partitioned(rows, sinks.scratch_path(spark, "benchmark"))
     deviations = [n.replace("media_", "desvio_padrao_") for n in B.MEANS]
-    stored = spark.read.parquet(path).select(*SCHEMAS[BENCHMARK].fieldNames(), *deviations)
-    return stored.select(*[
-        F.round(c, 2).alias(c) if c in deviations else c for c in stored.columns
-    ])
+    rows = B.build_benchmark(t.registry(), t.indicators()).select(
+        *SCHEMAS[BENCHMARK].fieldNames(), *deviations)
+    return plain(rows.select(*[
+        F.round(c, 2).alias(c) if c in deviations else c for c in rows.columns
+    ]))
 
 
 def _priority_bands(t):
@@ -178,9 +185,9 @@ def _ml_clusters(t):
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "overview_summary": _over(lambda t: C.overview_summary(t.registry())),
-        "sector_indicators": _over(_sectors),
-        "sector_indicators_year": _over(lambda t: _sectors(t, YEAR)),
-        "companies_by_sector": _over(_companies),
+        "sector_indicators": _over(lambda t: _sectors(t, limit=50)),
+        "sector_indicators_year": _over(lambda t: _sectors(t, YEAR, 50)),
+        "companies_by_sector": _over(lambda t: _companies(t, 200)),
         **{f"company_profile_{part}": _profile(part)
            for part in ("registry", "indicators", "balance", "income", "risk")},
         "latest_registry": _over(
@@ -196,9 +203,9 @@ def queries() -> dict[str, Query]:
         "risk_band": _over(lambda t: C.risk_bands(t.risk())),
         "company_vs_sector": _over(_compared),
         "company_profile_radar": _over(lambda t: S.company_profile_radar(_compared(t))),
-        **{f"suspicious_{key}": _over(lambda t, name=name: _suspicious(t, name))
+        **{f"suspicious_{key}": _over(lambda t, name=name: _suspicious(t, name, 100))
            for key, name in zip(("liquidity", "debt", "margin", "roa", "roe"), R.SUSPICIOUS)},
-        "high_risk": _over(_high_risk),
+        "high_risk": _over(lambda t: _high_risk(t, 500)),
         "high_risk_filtered": _over(
             lambda t: K.filter_high_risk(_high_risk(t), 5, "NATION_7")),
         "risk_fallback": _over(lambda t: K.risk_fallback(t.registry(), t.indicators())),
@@ -215,16 +222,16 @@ def queries() -> dict[str, Query]:
         "universal_accounts": _over(lambda t: L.universal_accounts(_shown_accounts(t))),
         "account_summary": _over(lambda t: L.account_summary(_shown_accounts(t)), 8),
         "account_balances": _over(lambda t: L.account_balances(t.account_balances())),
-        "equation_anomalies": _over(_equation),
-        "equation_anomalies_year": _over(lambda t: _equation(t, YEAR)),
-        "variation_anomalies": _over(_variations),
+        "equation_anomalies": _over(lambda t: _equation(t, limit=500)),
+        "equation_anomalies_year": _over(lambda t: _equation(t, YEAR, 500)),
+        "variation_anomalies": _over(lambda t: _variations(t, 500)),
         "neaf_indications": _over(lambda t: neaf.neaf_indications(t.neaf_indications())),
-        "neaf_scores": _over(_neaf),
+        "neaf_scores": _over(lambda t: _neaf(t, 500)),
         "neaf_filtered": _over(lambda t: neaf.filter_neaf(_neaf(t), "MODERADO", "NATION_3")),
         "neaf_by_sector": _over(lambda t: neaf.neaf_by_sector(_neaf(t))),
         "points_neaf": _over(lambda t: neaf.neaf_points(_neaf(t))),
-        "benchmark_dynamic": _over(_benchmark),
-        "benchmark_dynamic_year": _over(lambda t: _benchmark(t, YEAR)),
+        "benchmark_dynamic": _over(lambda t: _benchmark(t, limit=100)),
+        "benchmark_dynamic_year": _over(lambda t: _benchmark(t, YEAR, 100)),
         "benchmark_stored": _over(lambda t: B.benchmark_stored(t.benchmark())),
         "sector_benchmark": _over(_sector_benchmark),
         "benchmark_filtered": _over(lambda t: B.filter_benchmark(_benchmark(t), "MACHINERY")),
@@ -244,7 +251,7 @@ def queries() -> dict[str, Query]:
         "export_csv": _export_csv,
         "kpi_overview": _over(lambda t: A.kpi_overview(_sectors(t)), 8),
         "kpi_high_risk": _over(
-            lambda t: A.kpi_high_risk(K.filter_high_risk(_high_risk(t, 200))), 8),
+            lambda t: A.kpi_high_risk(K.filter_high_risk(_high_risk(t))), 8),
         "kpi_accounts": _over(lambda t: A.kpi_accounts(_accounts(t)), 8),
         "kpi_neaf": _over(lambda t: A.kpi_neaf(_neaf(t)), 8),
         "kpi_equation": _over(lambda t: A.kpi_equation(_equation(t)), 8),
@@ -258,9 +265,9 @@ def queries() -> dict[str, Query]:
         "freq_risk_class": _over(
             lambda t: A.frequency(_companies(t), "classificacao_risco", ["setor"])),
         "freq_risk_list": _over(
-            lambda t: A.frequency(_high_risk(t, 200), "classificacao_risco")),
+            lambda t: A.frequency(_high_risk(t), "classificacao_risco")),
         "freq_priority": _over(lambda t: A.frequency(
-            _high_risk(t, 200), "prioridade_fiscalizacao", order="value")),
+            _high_risk(t), "prioridade_fiscalizacao", order="value")),
         "freq_account_level": _over(
             lambda t: A.frequency(_shown_accounts(t), "nivel_conta", order="value")),
         "freq_state": _over(lambda t: A.frequency(_suspicious(t), "cd_uf")),
@@ -281,14 +288,35 @@ def queries() -> dict[str, Query]:
             _equation(t), "diferenca_absoluta", 15, ["cnpj", "ano_referencia"])),
         "top_benchmark_companies": _over(lambda t: A.top_k(
             _benchmark(t), "qtd_empresas_setor", 15, B.KEYS)),
-        "top_suspicious": _over(lambda t: _suspicious(t).orderBy(
-            F.asc_nulls_last("valor_indicador"), "cnpj", "periodo_cadastro").limit(20)),
+        "top_suspicious": _over(lambda t: _suspicious(t, limit=20)),
         "view_suspicious": _over(lambda t: views.as_view(
-            _suspicious(t), "suspicious", valor_indicador="Liquidez Corrente")),
+            _suspicious(t, limit=100), "suspicious", valor_indicador="Liquidez Corrente")),
         "view_accounts": _over(lambda t: views.as_view(_shown_accounts(t), "accounts")),
-        "view_neaf": _over(lambda t: views.as_view(_neaf(t), "neaf")),
-        "view_equation": _over(lambda t: views.as_view(_equation(t), "equation")),
-        "view_benchmark": _over(lambda t: views.as_view(_benchmark(t), "benchmark")),
+        "view_neaf": _over(lambda t: views.as_view(_neaf(t, 500), "neaf")),
+        "view_equation": _over(lambda t: views.as_view(_equation(t, limit=500), "equation")),
+        "view_benchmark": _over(lambda t: views.as_view(_benchmark(t, limit=100), "benchmark")),
+        "view_balance": _over(lambda t: views.as_view(t.balance(), "balance")),
+        "view_income": _over(lambda t: views.as_view(t.income(), "income")),
+        "view_variation": _over(lambda t: views.as_view(_variations(t, 500), "variation")),
+        **{f"one_company_{part}": _over(lambda t, part=part: C.company_profile(
+            t.tables(), _first(t.registry(), "cnpj"))[part])
+           for part in ("registry", "indicators", "balance", "income", "risk")},
+        "one_sector": _over(lambda t: S.companies_by_sector(
+            t.registry(), t.indicators(), t.risk(), sector="MACHINERY", year=YEAR)),
+        "one_account": _over(lambda t: L.account_balances(
+            t.account_balances(), _first(t.account_balances(), "cd_conta"), YEAR)),
+        "one_neaf_company": _over(lambda t: neaf.neaf_indications(
+            t.neaf_indications(), _first(t.neaf_indications(), "cnpj"))),
+        "high_risk_year": _over(lambda t: _high_risk(t, 500, YEAR)),
+        "risk_fallback_year": _over(lambda t: K.risk_fallback(
+            t.registry(), t.indicators(), year=YEAR)),
+        "variation_anomalies_year": _over(lambda t: _variations(t, 500, YEAR)),
+        "suspicious_year": _over(lambda t: _suspicious(t, limit=100, year=YEAR)),
+        "suspicious_sector_population": _over(
+            lambda t: _suspicious(t, limit=100, population="sector")),
+        "neaf_scores_latest": _over(lambda t: _neaf(t, 500, "latest")),
+        "variation_anomalies_latest": _over(lambda t: _variations(t, 500, grain="latest")),
+        "benchmark_dynamic_latest": _over(lambda t: _benchmark(t, limit=100, grain="latest")),
         "priority_bands": _over(_priority_bands),
         "ml_features": _over(lambda t: ml.ml_features(_ml_rows(t))),
         "ml_scaled": _over(lambda t: ml.ml_scaled(_ml_rows(t)), 6),

@@ -1,7 +1,6 @@
 """Result sinks: dated CSV exports and partitioned tables."""
 
 import datetime
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,11 @@ from ledgerlight.operators.views import file_label
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only for a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="ledgerlight-")
-    raise RuntimeError("spark.checkpoint.dir is not set; name a folder all executors share")
+    """The folder that all executors share, as the session's settings name it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir is not set; name a folder all executors share")
+    return folder
 
 
 def export_csv(df: DataFrame, folder: str, name: str,

@@ -47,7 +47,19 @@ def read_catalog_table(spark: SparkSession, database: str, table: str) -> DataFr
 
 
 def from_folder(spark: SparkSession, folder: str) -> FilingTables:
-    return FilingTables(**{f: read_folder_table(spark, folder, t) for f, t in NAMES.items()})
+    """Tables under ``folder``; the two with a computed fallback are None where it has none."""
+    def read(field: str, table: str) -> DataFrame | None:
+        if field in OPTIONAL and not _exists(spark, f"{folder}/{table}"):
+            return None
+        return read_folder_table(spark, folder, table)
+
+    return FilingTables(**{f: read(f, t) for f, t in NAMES.items()})
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the store that Spark reads has the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def from_catalog(spark: SparkSession, database: str) -> FilingTables:

@@ -161,13 +161,35 @@ def test_fan_out_join_with_a_hot_key(spark):
     details = spark.range(300).select(
         F.when(F.col("id") < 200, "hot").otherwise("b").alias("k"), F.col("id").alias("d"))
     want = sorted(map(str, rows.join(details, "k", "left").select("k", "i", "d").collect()))
-    for hot_rows in (0, 150, 100_000):
-        got = fan_out_left_join(rows, details, "k", salts=8, hot_rows=hot_rows)
+    for part_rows in (1, 30, 150, 100_000):
+        got = fan_out_left_join(rows, details, "k", part_rows=part_rows)
         assert sorted(map(str, got.select("k", "i", "d").collect())) == want
     empty = fan_out_left_join(rows, details.where("false"), "k")
     assert empty.count() == 5
 
 
+def test_fan_out_join_deals_a_key_however_small_its_share(spark):
+    rows = spark.range(3).select(F.col("id").alias("k"))
+    details = spark.range(50_000).select(
+        F.when(F.col("id") < 40, 1).otherwise(F.col("id") + 10).alias("k"), F.col("id").alias("d"))
+    joined = fan_out_left_join(rows, details, "k", part_rows=10)
+    assert joined.count() == 42
+    # the small key's rows arrive in four parts
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_attach_to_best_without_and_with_a_long_limit(spark):
+    rows = spark.createDataFrame([(k, v) for v, k in enumerate("abcdabcd")], "k string, v int")
+    details = spark.createDataFrame([("a", 1), ("a", 2), ("c", 3), (None, 4)], "k string, d int")
+    want = rows.join(details, "k", "left").orderBy(F.desc("v"), "k", "d").collect()
+    order = [F.desc("v"), F.asc("k")]
+    for limit in (None, 200_000):
+        assert attach_to_best(rows, details, ["k"], order, limit, [F.asc("d")]).collect() == want
+    short = attach_to_best(rows, details, ["k"], order, 3, [F.asc("d")])
+    assert short.collect() == want[:3]
+
+
 def test_finite(spark):
     df = spark.createDataFrame([(1.0,), (float("inf"),), (float("nan"),), (None,)], "v double")
     assert values(df.select(N.is_finite(F.col("v")).alias("f")), "f") == [

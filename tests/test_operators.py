@@ -242,6 +242,50 @@ def test_equation_classes(table, registry):
     assert dicts(ledger.equation_anomalies(check, registry, 2023)) == []
 
 
+def test_equation_gap_is_absolute(table):
+    balance = table(S.BALANCE, [
+        {"cnpj": A, "ano_referencia": 202401, "ativo_total": a, "passivo_pl_total": p}
+        for a, p in [(100, 70), (70, 100), (10, 90)]])
+    gaps = [r["diferenca_absoluta"] for r in dicts(builders.build_equation_check(balance))]
+    assert sorted(gaps) == [Decimal("30.00"), Decimal("30.00"), Decimal("80.00")]
+
+
+def test_benchmark_deviations_keep_small_spreads(spark, table):
+    """Values whose squares leave no digits for their spread."""
+    import statistics
+
+    from ledgerlight.operators import benchmark
+    companies = [f"{i:014d}" for i in range(1000)]
+    registry = table(S.REGISTRY, [
+        {"cnpj": c, "ano_referencia": 202401, "cnae_divisao": "1", "de_cnae": "x"} for c in companies])
+    indicators = table(S.INDICATORS, [
+        {"cnpj": c, "ano_referencia": 2024, "ativo_total": Decimal(5_000_000_000 + i % 2),
+         "liquidez_corrente": 5e6 + (i % 2) / 100} for i, c in enumerate(companies)])
+    row = benchmark.build_benchmark(registry, indicators).collect()[0]
+    assert row["desvio_padrao_ativo_total_setor"] == pytest.approx(
+        statistics.stdev([i % 2 for i in range(1000)]), rel=1e-9)
+    assert row["desvio_padrao_liquidez_corrente_setor"] == pytest.approx(
+        statistics.stdev([5e6 + (i % 2) / 100 for i in range(1000)]), rel=1e-6)
+
+
+def test_whole_set_figures_do_not_follow_the_list_limit(spark, table):
+    rows = [{"cnpj": f"{i:014d}", "ano_referencia": 202401, "ativo_total": 100, "passivo_pl_total": 10}
+            for i in range(620)]
+    check = builders.build_equation_check(table(S.BALANCE, rows))
+    registry = table(S.REGISTRY, [{"cnpj": r["cnpj"], "ano_referencia": 202401} for r in rows])
+    assert ledger.equation_anomalies(check, registry).count() == 500
+    assert ledger.equation_anomalies(check, registry, limit=None).count() == 620
+
+
+def test_operators_without_a_risk_table(registry, indicators):
+    from ledgerlight.operators import sectors
+    rows = dicts(sectors.companies_by_sector(registry, indicators, None))
+    assert rows and all(r["score_risco_total"] is None for r in rows)
+    for limit in (None, 5):
+        found = sectors.suspicious_companies(registry, indicators, None, "Liquidez Corrente", limit=limit)
+        assert all(r["score_risco_total"] is None for r in dicts(found))
+
+
 def test_variations_use_the_previous_reported_year(table, registry):
     rows = [(2020, 100), (2022, 700), (2023, 700), (2024, 349), (2025, 0), (2026, 5)]
     balances = table(S.ACCOUNT_BALANCES, [
