@@ -1,13 +1,13 @@
 """Anomaly detection, clustering and the combined audit priority."""
 
+import sys
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import rules as R
@@ -15,6 +15,8 @@ from ledgerlight.functions.joins import best_rows
 from ledgerlight.functions.quantiles import exact_quantile
 from ledgerlight.operators.forest import Forest, fit_forest
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have it
+
 FEATURES = ["score_risco_total", "score_equacao_contabil", "score_neaf", "ativo_milhoes",
             "receita_milhoes", "liquidez", "endividamento", "margem_liquida"]
 MIN_ROWS = 10
@@ -22,7 +24,6 @@ CONTAMINATION = 0.1
 CLUSTERS = 4
 STARTS = 10
 SEED = 42
-POINTS_PER_TASK = 50_000
 
 
 class NotEnoughRows(ValueError):
@@ -70,30 +71,117 @@ def fit_scaler(points: DataFrame, weight: str) -> tuple[Scaler, int, int]:
     return Scaler(mean, [(second[c] / n) ** 0.5 for c in FEATURES]), n, first.points
 
 
-def fit_clusters(points: DataFrame, scaler: Scaler, weight: str, k: int = CLUSTERS,
-                 starts: int = STARTS, seed: int = SEED,
-                 parallelism: int = 5) -> list[list[float]]:
-    """Centres of the cheapest of several k-means runs, in ascending order.
+def _nearest(centres: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of every point for every run, and the squared distance to it."""
+    far = ((x[None, :, None, :] - centres[:, None, :, :]) ** 2).sum(-1)
+    best = far.argmin(-1)
+    return best, np.take_along_axis(far, best[..., None], -1)[..., 0]
+
+
+def _passes(points: DataFrame, dims: int):
+    """Two passes over (v0, v1, ..., weight, key): draw a start, and sum up by nearest centre.
 
-    The runs share one cached input and are submitted side by side.
+    Both handle all runs at once, reduce inside each task and return a few rows a task.
     """
-    scaled = points.select(*scaler.columns(), F.col(weight).cast("double").alias("weight"))
-    vectors = VectorAssembler(inputCols=SCALED, outputCol="features").transform(scaled).select(
-        "features", "weight"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    sums = ", ".join(f"s{d} double" for d in range(dims))
+    start = ", ".join(f"v{d} double" for d in range(dims))
+
+    def columns(batch):
+        x = np.column_stack([batch.column(d).to_numpy() for d in range(dims)])
+        return x, batch.column(dims).to_numpy(), batch.column(dims + 1).to_numpy().view(np.uint64)
+
+    def draw(centres: np.ndarray | None, runs: int, seed: int):
+        """For each run the point first in a race, won with odds of weight times squared distance
+        to the centres so far. A point's luck is a hash of it, the run and the step."""
+        step = 0 if centres is None else centres.shape[1]
+
+        def run(batches):
+            for batch in batches:
+                x, weight, key = columns(batch)
+                if not len(x):
+                    continue
+                far = np.ones((runs, len(x))) if centres is None else _nearest(centres, x)[1]
+                rows = []
+                for r in range(runs):
+                    luck = key ^ np.uint64((seed * 1_000_003 + r * 1_009 + step + 1) * 0x9E3779B97F4A7C15 % 2**64)
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        luck = (luck ^ (luck >> np.uint64(shift))) * np.uint64(factor)
+                    luck = ((luck >> np.uint64(11)).astype(float) + 0.5) / 2**53
+                    with np.errstate(divide="ignore"):
+                        time = -np.log(luck) / (weight * far[r])
+                    k = np.lexsort((key, time))[0]
+                    rows.append((r, float(time[k]), int(key[k].view(np.int64)), *map(float, x[k])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in zip(*rows)],
+                    ["run", "time", "key", *(f"v{d}" for d in range(dims))])
+
+        rows = points.mapInArrow(run, f"run long, time double, key long, {start}").groupBy("run").agg(
+            F.min(F.struct("time", "key", *[f"v{d}" for d in range(dims)])).alias("best")).collect()
+        found = {r.run: [r.best[f"v{d}"] for d in range(dims)] for r in rows}
+        new = np.array([found[r] for r in range(runs)])[:, None, :]
+        return new if centres is None else np.concatenate([centres, new], 1)
+
+    def total(centres: np.ndarray):
+        """Weights and coordinate sums of each run's clusters, and each run's cost."""
+        runs, k, _ = centres.shape
+
+        def run(batches):
+            weights, held, cost = np.zeros((runs, k)), np.zeros((runs, k, dims)), np.zeros((runs, k))
+            for batch in batches:
+                x, weight, _ = columns(batch)
+                if not len(x):
+                    continue
+                best, far = _nearest(centres, x)
+                for r in range(runs):
+                    weights[r] += np.bincount(best[r], weight, k)
+                    cost[r] += np.bincount(best[r], weight * far[r], k)
+                    for d in range(dims):
+                        held[r, :, d] += np.bincount(best[r], weight * x[:, d], k)
+            r, c = (a.ravel() for a in np.indices((runs, k)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r), pa.array(c), pa.array(weights.ravel()), pa.array(cost.ravel()),
+                 *(pa.array(held[..., d].ravel()) for d in range(dims))],
+                ["run", "cluster", "weight", "cost", *(f"s{d}" for d in range(dims))])
+
+        rows = points.mapInArrow(run, f"run long, cluster long, weight double, cost double, {sums}")
+        weights, held, cost = np.zeros((runs, k)), np.zeros((runs, k, dims)), np.zeros(runs)
+        for row in rows.groupBy("run", "cluster").sum("weight", "cost", *[f"s{d}" for d in range(dims)]).collect():
+            weights[row[0], row[1]] = row[2]
+            cost[row[0]] += row[3]
+            held[row[0], row[1]] = row[4:]
+        return weights, held, cost
+
+    return draw, total
 
-    def run(start: int):
-        model = KMeans(k=k, seed=seed + start, weightCol="weight", maxIter=100).fit(vectors)
-        centres = sorted(c.tolist() for c in model.clusterCenters())
-        return model.summary.trainingCost, centres
 
+def fit_clusters(points: DataFrame, scaler: Scaler, weight: str, k: int = CLUSTERS,
+                 starts: int = STARTS, seed: int = SEED) -> list[list[float]]:
+    """Centres of the cheapest of several k-means runs, in ascending order.
+
+    All runs share every pass over the points, and go on until no centre moves. Starts are drawn
+    by hashes of the points, and centres are rounded to nine digits, far coarser than the last
+    bits of a sum that depend on its order: how the points are dealt to tasks does not matter.
+    """
+    names = [f"v{d}" for d in range(len(FEATURES))]
+    scaled = points.select(*[F.round(c, 9).alias(n) for c, n in zip(scaler.columns(), names)],
+                           F.col(weight).cast("double").alias("weight"))
+    scaled = scaled.withColumn("key", F.xxhash64(*names)).persist(StorageLevel.MEMORY_AND_DISK)
+    draw, total = _passes(scaled, len(names))
     try:
-        vectors.count()
-        with ThreadPool(parallelism) as pool:
-            runs = pool.map(inheritable_thread_target(points.sparkSession)(run), range(starts))
+        centres = None
+        for _ in range(k):
+            centres = draw(centres, starts, seed)
+        while True:
+            weights, held, cost = total(centres)
+            full = weights > 0  # a cluster without points stays where it is
+            moved = np.where(full[..., None], held / np.where(full, weights, 1)[..., None], centres)
+            moved = np.round(moved, 9) + 0.0
+            if np.array_equal(moved, centres):
+                break
+            centres = moved
     finally:
-        vectors.unpersist()
-    return min(runs)[1]
+        scaled.unpersist()
+    return min((round(float(c), 6), sorted(run.tolist())) for c, run in zip(cost, centres))[1]
 
 
 def _complete() -> Column:
@@ -153,9 +241,8 @@ def _training_points(rows: DataFrame):
         *[F.col(c).cast("double").alias(c) for c in FEATURES]
     ).groupBy(*FEATURES).agg(F.count("*").alias("peso")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scaler, n, count = fit_scaler(points, "peso")
-        # Training passes over the points many times: no more tasks than they fill.
-        yield points.coalesce(-(-count // POINTS_PER_TASK)), scaler, n
+        scaler, n, _ = fit_scaler(points, "peso")
+        yield points, scaler, n
     finally:
         points.unpersist()
 

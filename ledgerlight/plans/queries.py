@@ -163,9 +163,15 @@ def _ml_rows(t):
     return _high_risk(t, limit=None)
 
 
+def _model(t):
+    """Both models, fitted once for a folder's tables."""
+    if not hasattr(t, "fitted_priority"):
+        t.fitted_priority = ml.fit_priority_model(_ml_rows(t))
+    return t.fitted_priority
+
+
 def _prioritised(t):
-    rows = _ml_rows(t)
-    return ml.prioritise(rows, ml.fit_priority_model(rows))
+    return ml.prioritise(_ml_rows(t), _model(t))
 
 
 def _ml_anomaly(t):
@@ -327,7 +333,8 @@ def queries() -> dict[str, Query]:
         "ml_top": _over(lambda t: ml.ml_top(_prioritised(t))),
         "points_ml": _over(lambda t: ml.ml_points(_prioritised(t))),
         "freq_ml_priority": _over(lambda t: A.frequency(_prioritised(t), "prioridade_ml")),
-        "freq_cluster": _over(lambda t: A.frequency(_ml_clusters(t), "cluster")),
+        "freq_cluster": _over(lambda t: A.frequency(
+            _model(t).clusters.label(_ml_rows(t)), "cluster")),
     }
     sector_columns = {
         "companies": "qtd_empresas", "assets": "media_ativo_milhoes",

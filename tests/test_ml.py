@@ -95,6 +95,26 @@ def test_clusters_are_no_worse_than_single_runs(rows):
         vectors.unpersist()
 
 
+def test_clusters_do_not_follow_the_partitioning(spark, rows):
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, shuffle in ((1, 1), (3, 2), (7, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(shuffle))
+            model = ml.fit_cluster_model(rows.repartition(parts))
+            found.append([tuple(r) for r in model.label(rows).select(
+                "cnpj", "ano_referencia", "cluster").orderBy("cnpj", "ano_referencia").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+
+
+def test_fewer_points_than_clusters(rows):
+    flat = rows.select(*[F.lit(1.0).alias(c) if c in ml.FEATURES else F.col(c) for c in rows.columns])
+    model = ml.fit_cluster_model(flat)
+    assert model.label(flat).select("cluster").distinct().count() == 1
+
+
 def test_priorities(rows, model):
     got = ml.prioritise(rows, model)
     wrong = got.where(
