@@ -365,6 +365,28 @@ def _scaled() -> str:
     return _q(f"SELECT cnpj, ano_referencia, periodo_cadastro, {parts} FROM risk_all")
 
 
+def _given() -> str:
+    """The list under a model given by a rule and four centres, in the order of FEATURES."""
+    names = FEATURES.replace("\n", " ").replace(" ", "").split(",")
+    centres = [
+        [3, 0, 0, 10, 5, 1, 0.5, 5], [5, 1, 1, 100, 50, 0.8, 0.7, 0],
+        [8, 2, 2, 500, 200, 0.3, 0.9, -20], [10, 5, 5, 1000, 800, 2, 0.1, 10],
+    ]
+    far = ", ".join(
+        " + ".join(f"pow(CAST({c} AS DOUBLE) - CAST({x} AS DOUBLE), 2)" for c, x in zip(names, centre))
+        for centre in centres)
+    return f"""
+    SELECT *, CASE WHEN score_ml_total > 0 AND score_ml_total <= 5 THEN 'Baixa'
+      WHEN score_ml_total > 5 AND score_ml_total <= 8 THEN 'Média'
+      WHEN score_ml_total > 8 AND score_ml_total <= 11 THEN 'Alta'
+      WHEN score_ml_total > 11 AND score_ml_total <= 100 THEN 'Crítica' END AS prioridade_ml
+    FROM (
+      SELECT * EXCLUDE (longe), CAST(list_position(longe, list_min(longe)) - 1 AS INTEGER) AS cluster_ml,
+        CAST(CASE WHEN score_risco_total >= 7 THEN 5 ELSE 0 END AS INTEGER) AS score_ml_anomalia,
+        CASE WHEN score_risco_total >= 7 THEN 5 ELSE 0 END + score_risco_total AS score_ml_total
+      FROM (SELECT *, [{far}] AS longe FROM risk_all))"""
+
+
 def _view(table: str, **headings: str) -> str:
     shown = ", ".join(f'{c} AS "{h}"' for c, h in headings.items())
     return _q(f"SELECT {shown} FROM {table}")
@@ -609,6 +631,22 @@ def oracle_sql() -> dict[str, str]:
         "ml_features": _q(f"""
             SELECT cnpj, ano_referencia, periodo_cadastro, {FEATURES} FROM risk_all"""),
         "ml_scaled": _scaled(),
+        "given_priority": _q(_given()),
+        "given_summary": _kpi(f"({_given()})", """
+            COUNT(*) FILTER (score_ml_anomalia = 5) AS anomalias,
+            COUNT(*) FILTER (prioridade_ml = 'Crítica') AS criticas,
+            COUNT(*) FILTER (prioridade_ml = 'Alta') AS altas,
+            COUNT(DISTINCT cluster_ml) AS clusters"""),
+        "given_top": _q(f"""
+            SELECT cnpj, nm_razao_social, setor, cd_uf, score_ml_total, prioridade_ml,
+              score_risco_total, ativo_milhoes, receita_milhoes, liquidez, endividamento
+            FROM ({_given()})
+            ORDER BY score_ml_total DESC, cnpj, ano_referencia, periodo_cadastro LIMIT 50"""),
+        "given_points": _q(f"""
+            SELECT cnpj, nm_razao_social, setor, cd_uf, ativo_milhoes, score_risco_total,
+              score_ml_total, prioridade_ml FROM ({_given()})"""),
+        "freq_given_priority": _frequency(f"({_given()})", "prioridade_ml"),
+        "freq_given_cluster": _frequency(f"({_given()})", "cluster_ml"),
         "kpi_overview": _kpi("sector_list", """
             CAST(SUM(qtd_empresas) AS BIGINT) AS total_empresas,
             ROUND(AVG(media_ativo_milhoes), 8) AS media_ativo,

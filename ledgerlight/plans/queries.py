@@ -174,6 +174,26 @@ def _prioritised(t):
     return ml.prioritise(_ml_rows(t), _model(t))
 
 
+#: Centres, in the order of the features, of a model that is given instead of fitted.
+GIVEN_CENTRES = [
+    [3.0, 0.0, 0.0, 10.0, 5.0, 1.0, 0.5, 5.0], [5.0, 1.0, 1.0, 100.0, 50.0, 0.8, 0.7, 0.0],
+    [8.0, 2.0, 2.0, 500.0, 200.0, 0.3, 0.9, -20.0], [10.0, 5.0, 5.0, 1000.0, 800.0, 2.0, 0.1, 10.0],
+]
+
+
+class GivenModel:
+    """Anomalies from a score of seven, clusters around given centres: what SQL can state."""
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        clusters = ml.ClusterModel(ml.Scaler([0.0] * 8, [1.0] * 8), GIVEN_CENTRES)
+        return clusters.label(rows).withColumn("score_anomalia", F.col("score_risco_total")).withColumn(
+            "anomalia", F.when(F.col("score_risco_total") >= 7, -1).otherwise(1))
+
+
+def _given(t):
+    return ml.prioritise(_ml_rows(t), GivenModel())
+
+
 def _ml_anomaly(t):
     rows = _ml_rows(t)
     return ml.fit_anomaly_model(rows).label(rows).select(
@@ -329,6 +349,12 @@ def queries() -> dict[str, Query]:
         "ml_anomaly": _over(_ml_anomaly),
         "ml_clusters": _over(_ml_clusters),
         "ml_priority": _over(_prioritised),
+        "given_priority": _over(_given),
+        "given_summary": _over(lambda t: ml.ml_summary(_given(t))),
+        "given_top": _over(lambda t: ml.ml_top(_given(t))),
+        "given_points": _over(lambda t: ml.ml_points(_given(t))),
+        "freq_given_priority": _over(lambda t: A.frequency(_given(t), "prioridade_ml")),
+        "freq_given_cluster": _over(lambda t: A.frequency(_given(t), "cluster_ml")),
         "ml_summary": _over(lambda t: ml.ml_summary(_prioritised(t))),
         "ml_top": _over(lambda t: ml.ml_top(_prioritised(t))),
         "points_ml": _over(lambda t: ml.ml_points(_prioritised(t))),
