@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlight.functions import numeric as N, rules as R
 from ledgerlight.functions.joins import best_rows, join_group_stats
 from ledgerlight.operators.companies import registry_at
-from ledgerlight.operators.risk import primary_or
 from ledgerlight.schemas import BENCHMARK, SCHEMAS
 
 KEYS = ["cd_cnae", "de_cnae", "cnae_secao", "cnae_secao_descricao", "cnae_divisao",
@@ -131,10 +130,12 @@ def benchmark_stored(benchmark: DataFrame, year: int | None = None) -> DataFrame
 def sector_benchmark(stored: DataFrame | None, registry: DataFrame, indicators: DataFrame,
                      year: int | None = None) -> DataFrame:
     """Stored rows of the year; computed when the table is missing or has none."""
-    return primary_or(
-        None if stored is None else benchmark_stored(stored, year),
-        lambda: benchmark_dynamic(registry, indicators, year),
-    )
+    if stored is not None and year is not None:
+        stored = stored.where(F.col("ano_referencia") == year)
+    # looked at before it is sorted, so the look stops at the first row
+    if stored is None or stored.isEmpty():
+        return benchmark_dynamic(registry, indicators, year)
+    return benchmark_stored(stored)
 
 
 def filter_benchmark(benchmark: DataFrame, sector: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Type repair and null filling of a result before it is shown or exported."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -10,13 +12,15 @@ def _parsed(column: Column) -> Column:
     return F.when(column.rlike(NUMBER), column.try_cast("double"))
 
 
-def clean_table(df: DataFrame) -> DataFrame:
+def clean_table(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Text columns that hold only numbers become doubles; nulls become 0 or empty text.
 
-    Empty text counts as a missing number. One aggregate row over all text columns decides the
+    Columns in ``keep`` stay text, as keys with leading zeros must. Empty text counts as a
+    missing number. One aggregate row over all text columns decides the
     types; the repair itself is a projection.
     """
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)
+             and f.name not in keep]
     numeric = set()
     if texts:
         wrong = df.agg(*[

@@ -1,7 +1,5 @@
 """High-risk companies, from the stored score table or computed from indicators."""
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.functions import numeric as N, rules as R
@@ -110,8 +108,3 @@ def high_risk_or_fallback(stored: DataFrame | None, registry: DataFrame, indicat
 def filter_high_risk(rows: DataFrame, min_score: float = 5, state: str | None = None) -> DataFrame:
     rows = rows.where(F.col("score_risco_total") >= min_score)
     return rows if state is None else rows.where(F.col("cd_uf") == state)
-
-
-def primary_or(primary: DataFrame | None, fallback: Callable[[], DataFrame]) -> DataFrame:
-    """``primary`` when it has rows, else the fallback."""
-    return fallback() if primary is None or primary.isEmpty() else primary

@@ -79,3 +79,8 @@ def key_suffix(column: str, length: int = 4):
 
 def file_label(text: str) -> str:
     return text.lower().replace(" ", "_")
+
+
+def label_column(column: str):
+    """``file_label`` of a column."""
+    return F.replace(F.lower(F.col(column)), F.lit(" "), F.lit("_"))

@@ -569,7 +569,7 @@ def oracle_sql() -> dict[str, str]:
             UNION SELECT 'empresa_grande_porte', empresa_grande_porte FROM registry
               WHERE empresa_grande_porte IS NOT NULL"""),
         "clean_table": _q("""
-            SELECT CAST(cnpj AS DOUBLE) AS cnpj, ano_referencia,
+            SELECT cnpj, ano_referencia,
               COALESCE(nm_fantasia, '') AS nm_fantasia,
               COALESCE(cnae_divisao_descricao, '') AS cnae_divisao_descricao,
               CAST(cnae_secao AS DOUBLE) AS cnae_secao,
@@ -622,6 +622,14 @@ def oracle_sql() -> dict[str, str]:
         "suspicious_year": _q(_suspicious("liquidity", "LIMIT 100", YEAR)),
         "suspicious_sector_population": _q(
             _suspicious("liquidity", "LIMIT 100", population="sector")),
+        "text_forms": _q("""
+            SELECT cnpj, ano_referencia, right(cnpj, 4) AS sufixo,
+              format('{:,.2f}', CAST(ativo_total AS DOUBLE)) AS ativo_texto,
+              COALESCE(isfinite(liquidez_corrente), FALSE) AS finito FROM indicators"""),
+        "file_labels": _q("""
+            SELECT cnpj, ano_referencia, replace(lower(nm_razao_social), ' ', '_') AS rotulo,
+              substr(nm_razao_social, 1, 10) AS curto
+            FROM registry WHERE nm_razao_social IS NOT NULL"""),
         "priority_bands": _q("""
             SELECT cnpj, ano_referencia, score, CASE WHEN score > 0 AND score <= 5 THEN 'Baixa'
               WHEN score > 5 AND score <= 8 THEN 'Média' WHEN score > 8 AND score <= 11 THEN 'Alta'

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ledgerlight.functions import rules as R
+from ledgerlight.functions import numeric as N, rules as R
 from ledgerlight.operators import (
     benchmark as B, builders, clean, companies as C, ledger as L, ml, neaf, risk as K,
     sectors as S, stats as A, views,
@@ -133,7 +133,7 @@ def _clean_table(t):
         "cnpj", "ano_referencia", F.col("receita_liquida").cast("string").alias("receita_texto"),
         "liquidez_corrente",
     )
-    return clean.clean_table(filed.join(measured, ["cnpj", "ano_referencia"]))
+    return clean.clean_table(filed.join(measured, ["cnpj", "ano_referencia"]), keep=["cnpj"])
 
 
 def _export_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,6 +274,13 @@ def queries() -> dict[str, Query]:
         "distinct_values": _over(lambda t: A.distinct_values(
             t.registry(), ["cd_uf", "cnae_divisao_descricao", "empresa_grande_porte"])),
         "clean_table": _over(_clean_table),
+        "text_forms": _over(lambda t: t.indicators().select(
+            "cnpj", "ano_referencia", views.key_suffix("cnpj").alias("sufixo"),
+            views.amount_text("ativo_total").alias("ativo_texto"),
+            N.is_finite(F.col("liquidez_corrente")).alias("finito"))),
+        "file_labels": _over(lambda t: t.registry().where("nm_razao_social IS NOT NULL").select(
+            "cnpj", "ano_referencia", views.label_column("nm_razao_social").alias("rotulo"),
+            views.short_text("nm_razao_social", 10).alias("curto"))),
         "export_csv": _export_csv,
         "kpi_overview": _over(lambda t: A.kpi_overview(_sectors(t)), 8),
         "kpi_high_risk": _over(

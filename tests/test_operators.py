@@ -382,6 +382,8 @@ def test_clean_table(spark):
     assert [r["b"] for r in rows] == ["x", "", "1"]
     assert [r["c.d"] for r in rows] == [0.0, 0.0, 7.0]
     assert [r["e"] for r in rows] == [0.0, 0.0, 0.0] and [r["f"] for r in rows] == [0.0, 0.0, 4.0]
+    key = spark.createDataFrame([("00012",), (None,)], "k string")
+    assert [r["k"] for r in dicts(clean.clean_table(key, keep=["k"]))] == ["00012", ""]
     suffix = spark.createDataFrame([("1d",)], "a string")
     assert dicts(clean.clean_table(suffix)) == [{"a": "1d"}]
 
