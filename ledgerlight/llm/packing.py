@@ -14,12 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlight.llm.common import arrow_map, picked, row_ranges, utf8
+from ledgerlight.llm.common import arrow_map, loaded, picked, row_ranges, utf8
 
 SEQUENCE = 2048
 END = 1
 #: Distinct chunks a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: New chunks that go through the tokenizer in one text.
 JOINED = 4000
 PIECES = ("doc_id *, start long, length int, ids binary, doc_tokens long, bucket int")
@@ -29,7 +29,6 @@ _CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z
 _ODD_SPACE = (r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}"
               r"\x{205f}\x{2060}\x{3000}\x{feff}]")
 _SPACE_PAIR = r"[ \t\n\r\x0b\x0c] "
-_loaded = {}
 
 
 class ChunkTokenizer:
@@ -60,10 +59,10 @@ class ChunkTokenizer:
         end where its bytes do."""
         odd = [c for c in new if not c or c[-1].isspace()]
         new = list(set(new).difference(odd)) if odd else new
-        groups = [new[i:i + JOINED] for i in range(0, len(new), JOINED)]
-        joined = [" " + " ".join(g) for g in groups]
-        for group, text, found in zip(groups, joined, self.tokenizer.encode_batch_fast(
-                joined, add_special_tokens=False)):
+        for i in range(0, len(new), JOINED):
+            group = new[i:i + JOINED]
+            text = " " + " ".join(group)
+            found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
             raw = np.frombuffer(text.encode(), np.uint8)
             stops = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
             ids = np.array(found.ids, "<u4")
@@ -108,19 +107,13 @@ class ChunkTokenizer:
         taken = sizes[index]
         ends = np.cumsum(taken)
         total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(starts[index] - ends + taken, taken) + np.arange(total)
+        where = np.repeat((starts[index] - ends + taken).astype(np.int32), taken)
+        where += np.arange(total, dtype=np.int32)
         ids = np.frombuffer(b"".join(parts), "<u4")[where]
         return ids, np.append((ends - taken)[first], total)
 
 
-def loaded(kind, path):
-    """One tokenizer of a kind for each file in a worker process."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
-
-
-def text_blocks(batch, limit=4 << 20):
+def text_blocks(batch, limit=2 << 20):
     """(first row, texts) of an Arrow batch's second column, in blocks of about ``limit`` bytes."""
     data, offsets = utf8(batch.column(1))
     raw = data.tobytes()
@@ -145,7 +138,7 @@ def _pieces(path, longest, end):
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             _, offsets = utf8(texts)
-            for first, stop in row_ranges(offsets, 8 << 20):
+            for first, stop in row_ranges(offsets, 4 << 20):
                 ids, at = tokenizer.ids(texts.slice(first, stop - first))
                 raw = ids.tobytes()
                 rows, starts, lengths, parts, totals = [], [], [], [], []
