@@ -19,8 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlight.llm.common import arrow_map, row_ranges, utf8, written
-from ledgerlight.llm.packing import loaded
+from ledgerlight.llm.common import arrow_map, loaded, row_ranges, utf8, written
 from ledgerlight.llm.words import RUN, hashed, run_hashes
 
 MEASURES = (
@@ -35,7 +34,7 @@ MOST = 20.0
 #: Documents below which a length class takes the band of all lengths, and that band none.
 ENOUGH = 30
 #: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _SPACE = np.zeros(256, bool)
@@ -151,7 +150,7 @@ def _measure(path):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             langs = batch.column(2).to_pylist()
-            for i, j in row_ranges(offsets, 4 << 20):
+            for i, j in row_ranges(offsets, 1 << 20):
                 columns = block(pieces, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], langs[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names)
     return run
@@ -193,8 +192,10 @@ def quality(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     measures = written(measure(docs, vocabulary, doc_id, text, lang), "fertility")
     measures = measures.withColumn(
         "length_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
-    near = bands(measures, "band", "length_class").withColumnRenamed("edges", "near")
-    wide = bands(measures, "band").withColumnRenamed("edges", "wide")
+    # A few rows for each language. As tables their size is known, so that they travel and the
+    # documents, which may carry whole rows, do not.
+    near = written(bands(measures, "band", "length_class").withColumnRenamed("edges", "near"), "bands")
+    wide = written(bands(measures, "band").withColumnRenamed("edges", "wide"), "bands")
     joined = measures.join(near, ["band", "length_class"], "left").join(wide, "band", "left")
 
     def place(name):
