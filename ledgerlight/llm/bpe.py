@@ -20,8 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerlight.llm.common import arrow_map, picked
-from ledgerlight.llm.packing import loaded, text_blocks
+from ledgerlight.llm.common import arrow_map, loaded, picked
+from ledgerlight.llm.packing import text_blocks
 
 #: Distinct chunks and token pairs a worker remembers before it starts anew.
 REMEMBERED = 800_000

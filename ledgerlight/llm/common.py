@@ -1,6 +1,8 @@
 """Helpers the operators share: reading, cutting lineage, Arrow batches."""
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -38,10 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     survives the loss of any executor. An empty schema-only table reads back as such."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    # small row groups: a task holds one of them whole, with long texts in it
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a row group of the tables written between steps.
+ROW_GROUP = 16 << 20
+#: Rows of a batch between Spark and Python; texts are long, and a batch stands in memory on either
+#: side. A session that sets its own number keeps it.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped = {}
 
 
@@ -61,6 +70,42 @@ def ship(spark: SparkSession) -> None:
     _shipped["to"] = context.applicationId
 
 
+_loaded, _worker = {}, {}
+
+
+def loaded(kind, path):
+    """One object of a kind for each file in a worker process, kept from task to task."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
+
+
+def _release():
+    """Gives freed memory back to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _tidy(run, name):
+    """``run`` in a worker that lets go what another operator left, and what each batch took."""
+    def each(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            _release()
+
+    def tidied(batches):
+        if _worker.get("runs") != name:
+            _worker["runs"] = name
+            _loaded.clear()
+            gc.collect()
+            _release()
+        yield from run(each(batches))
+
+    return tidied
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with a function of these modules.
 
@@ -68,11 +113,13 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     is: a caller may carry a whole row there as a struct.
     """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH) == "10000":  # Spark's own
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     fields = []
     if schema.startswith("doc_id *"):
         fields.append(T.StructField("doc_id", df.schema[0].dataType))
         schema = schema.removeprefix("doc_id *").lstrip(", ")
-    return df.mapInArrow(run, T.StructType(fields + T.StructType.fromDDL(schema).fields))
+    return df.mapInArrow(_tidy(run, f"{run.__module__}.{run.__qualname__}"), T.StructType(fields + T.StructType.fromDDL(schema).fields))
 
 
 def picked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -87,7 +87,7 @@ def _count_cells(words):
                 seen.add(node)
                 held.append(found)
                 size += len(found)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     add()
                     held, size = [], 0
         if held:
@@ -120,7 +120,8 @@ def _sum_cells(batches):
                 total[np.frombuffer(cells, "<u2")] += counts
     for part, total in sums.items():
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())],
+            [pa.array([part], pa.int32()),
+             pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())],
             ["part", "counts"])
 
 
@@ -128,9 +129,9 @@ def frequent_cells(docs: DataFrame, words: int) -> np.ndarray:
     """A bit for each cell. The driver receives one number for each of the fixed cells."""
     parts = arrow_map(docs, _count_cells(words), "part int, kind string, cells binary, counts binary")
     summed = arrow_map(parts.repartition("part"), _sum_cells, "part int, counts binary")
-    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts = np.zeros(1 << CELL_BITS, np.uint32)
     for part, raw in summed.collect():
-        counts[part << PART_BITS:(part + 1) << PART_BITS] = np.frombuffer(raw, "<i8")
+        counts[part << PART_BITS:(part + 1) << PART_BITS] = np.frombuffer(raw, "<u4")
     mean = counts.mean()
     return np.packbits(counts > mean + ABOVE * np.sqrt(mean) + 2 * ABOVE)
 
