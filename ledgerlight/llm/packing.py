@@ -19,7 +19,7 @@ from ledgerlight.llm.common import arrow_map, loaded, picked, row_ranges, utf8
 SEQUENCE = 2048
 END = 1
 #: Distinct chunks a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: New chunks that go through the tokenizer in one text.
 JOINED = 4000
 PIECES = ("doc_id *, start long, length int, ids binary, doc_tokens long, bucket int")
