@@ -19,8 +19,8 @@ documents. A cell counts at least each of its shingles, so no rare shingle is mo
 the bound says; the classes only steer the order, which any two documents share.
 
 Sets that are equal are one node. Similar nodes share not just one key but a number that follows
-from their sizes (``_least_shared``), and a node shares nothing of its keys that no other has; so
-most pairs are ruled out by counts alone, before whole sets are compared. Comparison goes in two steps. First each node meets a
+from their sizes (``_least_shared``), and a node shares nothing of its keys that no other has with
+nodes whose keys reach as far as its own; so most pairs are ruled out by counts alone, before whole sets are compared. Comparison goes in two steps. First each node meets a
 few nodes of each of its keys, those that share most, and what links is contracted. Then only nodes of different
 components that share a key meet, in each key those outside its largest component with all. So a
 large group of near copies costs a few comparisons for each member, and no link that would join
@@ -46,6 +46,8 @@ PART_BITS = 16
 ABOVE = 8
 #: Nodes of a key that all its nodes meet first.
 HUBS = 6
+#: Top bits of its last key that tell how far a plain prefix reaches.
+END_BITS = 16
 #: Bits that preselect the documents whose whole sets are needed.
 FILTER_BITS = 22
 NODES = "doc_id *, node long, n int, singles int, keys array<bigint>"
@@ -265,21 +267,34 @@ def _common(m, n, percent):
     return F.ceil((m + n) * percent / (100 + percent))
 
 
-def _least_shared(l, r, percent):
-    """Single keys that two similar nodes share at least.
+def _prefix_end(percent):
+    """How far a node's keys reach among the rare shingles: a plain prefix up to its last key, of
+    which the top bits tell, any other past all of them."""
+    plain = F.col("singles") > F.col("n") - F.ceil(F.col("n") * percent / 100)
+    last = F.shiftrightunsigned(F.get("keys", F.col("singles") - 1), 64 - END_BITS)
+    return F.when(plain, last).otherwise(1 << END_BITS).cast("int")
+
+
+def _binding(l, r, of_l, of_r, both, either):
+    """What the two nodes' values ``of_l`` and ``of_r`` say of the single keys they share.
 
-    A plain prefix ends somewhere among the rare shingles, any other holds all of them. Up to where
-    the shorter of two ends, all rare shingles of both are keys. So those of its keys that are not
-    shared are missing from the other set, and only as many may be as ``_common`` leaves. Of two
-    plain prefixes it is not known here which is the shorter, so the weaker bound counts.
+    Up to where the earlier of two prefixes ends, all rare shingles of both are keys. So only the
+    keys of that node that the other does not have as keys are surely missing from it, and its value
+    holds. Both hold (``both``) where all rare shingles are keys on either side; where two plain
+    prefixes end too close to tell, it is one of the two (``either``).
     """
+    end_l, end_r = F.col(f"{l}.end"), F.col(f"{r}.end")
+    return (F.when(end_l < end_r, of_l).when(end_r < end_l, of_r)
+            .when(end_l == 1 << END_BITS, both(of_l, of_r)).otherwise(either(of_l, of_r)))
+
+
+def _least_shared(l, r, percent):
+    """Single keys that two similar nodes share at least: only as many of the binding node's may be
+    missing from the other as ``_common`` leaves."""
     common = _common(F.col(f"{l}.n"), F.col(f"{r}.n"), percent)
     of_l = common - F.col(f"{l}.n") + F.col(f"{l}.singles")
     of_r = common - F.col(f"{r}.n") + F.col(f"{r}.singles")
-    plain_l, plain_r = (
-        F.col(f"{x}.singles") > F.col(f"{x}.n") - F.ceil(F.col(f"{x}.n") * percent / 100) for x in (l, r))
-    return (F.when(plain_l & plain_r, F.least(of_l, of_r)).when(plain_l, of_l).when(plain_r, of_r)
-            .otherwise(F.greatest(of_l, of_r)))
+    return _binding(l, r, of_l, of_r, F.greatest, F.least)
 
 
 def _fits(m, n, percent):
@@ -305,17 +320,19 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, do
     nodes = written(arrow_map(docs, _nodes(words, percent, held), NODES), "nodes")
 
     by_key = Window.partitionBy("key")
-    keys = nodes.where(F.size("keys") > 0).select("node", "n", "singles", F.posexplode("keys").alias("at", "key"))
+    keys = nodes.where(F.size("keys") > 0).select(
+        "node", "n", "singles", _prefix_end(percent).alias("end"), F.posexplode("keys").alias("at", "key"))
     keys = keys.withColumn("single", F.col("at") < F.col("singles")).withColumn(
         "low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key)).where("low <> high")
-    keys = written(keys.select("key", "node", "n", "singles", "single").distinct(), "keys")
+    keys = written(keys.select("key", "node", "n", "singles", "end", "single").distinct(), "keys")
 
     def meeting(left, right, apart, here=F.lit(True)):
         """Distinct pairs of different nodes that share enough keys. ``here`` may choose among the
         keys at which a pair meets."""
         pairs = left.alias("l").join(right.alias("r"), "key").where(apart).where(
             _fits(F.col("l.n"), F.col("r.n"), percent))
-        pairs = pairs.where(F.least("l.reach", "r.reach") >= _common(F.col("l.n"), F.col("r.n"), percent))
+        reach = _binding("l", "r", F.col("l.reach"), F.col("r.reach"), F.least, F.greatest)
+        pairs = pairs.where(reach >= _common(F.col("l.n"), F.col("r.n"), percent))
         pairs = pairs.where(here).select(
             F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"),
             F.col("l.single").cast("int").alias("single"), _least_shared("l", "r", percent).alias("enough"))
@@ -323,8 +340,8 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, do
         return pairs.where("n >= enough").select("a", "b")
 
     def with_reach(some):
-        """Adds how many shingles a node can share with any other node of these rows: all but its
-        single keys that are not among them."""
+        """Adds how many shingles a node can share with another node of these rows whose keys reach
+        at least as far: all but its single keys that are not among them."""
         counts = some.groupBy("node").agg(F.sum(F.col("single").cast("int")).alias("shared"))
         return some.join(counts, "node").withColumn(
             "reach", F.col("n") - F.col("singles") + F.col("shared"))

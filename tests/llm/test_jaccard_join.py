@@ -91,6 +91,26 @@ def test_large_groups_around_the_threshold(docs):
         x[:3] for x in sorted(brute(rows))]
 
 
+def test_texts_inside_longer_copies(docs):
+    """Texts extended by 20 to 33 percent, alone and inside a group of near copies."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        base = [f"a{k}x{i}" for i in range(rng.randrange(20, 120))]
+        more = int((len(base) - 4) * rng.uniform(0.2, 1 / 3))
+        tail = [f"e{k}x{i}" for i in range(more)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + tail))]
+        for _ in range(5 * (k % 3 == 0)):
+            new = list(base)
+            new[rng.randrange(len(new))] = f"n{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(new)))
+    want = brute(rows)
+    found = J.jaccard_join(docs(rows), every_link=True).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in found), key=str) == want
+    plain = J.jaccard_join(docs(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in plain) == [x[:3] for x in sorted(want)]
+
+
 def test_odd_rows_and_empty_table(docs, odd_rows):
     found = J.jaccard_join(docs(odd_rows), every_link=True).collect()
     want = brute(odd_rows)
