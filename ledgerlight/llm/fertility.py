@@ -8,15 +8,17 @@ back to bytes; prose with a rare word or a second language does not. So each mea
 its band, in half-widths off the middle, and a document is rejected where their sum, low being
 bad, falls below the edge.
 
-Bands come from all documents that pass the rules: median and inner half by language (or, where
+Bands come from all distinct texts that pass the rules: median and inner half by language (or, where
 none is given, script) and by length, in powers of two of the token count, because short texts
-scatter more and have less entropy. They are robust: a large share of junk does not move them.
+scatter more and have less entropy. They are robust: a large share of junk does not move them, and neither
+do copies of one text, which count once. Near copies count each.
 """
 
 import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.llm.common import arrow_map, loaded, row_ranges, utf8, written
@@ -24,14 +26,14 @@ from ledgerlight.llm.words import RUN, hashed, run_hashes
 
 MEASURES = (
     "doc_id *, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double")
+    "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, digest long")
 #: Least half-widths: characters per token, share of byte tokens, bits of entropy.
 LEAST = {"chars_per_token": 0.01, "byte_share": 0.01, "entropy": 0.02}
 #: Sum of the places, in half-widths, below which a document is rejected.
 EDGE = -7.0
 #: No single measure counts for more than this, either way.
 MOST = 20.0
-#: Documents below which a length class takes the band of all lengths, and that band none.
+#: Distinct texts below which a length class takes the band of all lengths, and that band none.
 ENOUGH = 30
 #: Distinct words a worker remembers before it starts anew.
 REMEMBERED = 200_000
@@ -142,6 +144,7 @@ def _measure(path):
             pa.array(tokens.astype(np.int64)), pa.array(chars / some),
             pa.array(np.bincount(rows, pieces.fallback[ids], n) / some),
             pa.array(_entropy(rows, ids, n, len(pieces.fallback))),
+            pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)),
         ]
 
     def run(batches):
@@ -158,7 +161,7 @@ def _measure(path):
 
 def measure(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
             lang: str | None = "lang") -> DataFrame:
-    """Counts and fertility measures of every document, and the band it belongs to."""
+    """Counts and fertility measures of every document, the band it belongs to and a digest of its text."""
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"),
         (F.col(lang).cast("string") if lang else F.lit(None).cast("string")).alias("lang"))
@@ -170,13 +173,17 @@ def base_failed():
 
 
 def bands(measures: DataFrame, *keys: str) -> DataFrame:
-    """Median and half of the inner half of each measure, over all documents that pass the rules."""
+    """Median and half of the inner half of each measure, over the distinct texts that pass the rules.
+
+    Copies count once: a text that fills half of a class would take its inner half for itself.
+    """
     found = []
     for name, least in LEAST.items():
         parts = F.percentile_approx(name, [0.25, 0.5, 0.75], 10_000)
         half = F.greatest((parts[2] - parts[0]) / 2, F.lit(least))
         found.append(F.struct(parts[1].alias("mid"), half.alias("half")).alias(name))
-    rows = measures.where(~base_failed()).groupBy(*keys).agg(
+    rows = measures.where(~base_failed()).groupBy(*keys, "digest").agg(
+        *(F.first(name).alias(name) for name in LEAST)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.struct(*found).alias("edges"))
     return rows.where(F.col("n") >= ENOUGH).drop("n")
 
@@ -186,7 +193,7 @@ def quality(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     """Every document's counts, measures, place, base_failed and kept.
 
     Null and empty texts have no words and fail the rules. A null language gives the band of the
-    text's script. Bands of too few documents reject nothing. Null and repeated ids and repeated
+    text's script. Bands of too few distinct texts reject nothing. Null and repeated ids and repeated
     rows each keep their row. Further columns are ignored.
     """
     measures = written(measure(docs, vocabulary, doc_id, text, lang), "fertility")
@@ -206,4 +213,4 @@ def quality(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     total = place("chars_per_token") + place("entropy") - F.greatest(F.lit(0.0), place("byte_share"))
     return joined.withColumn("place", F.coalesce(total, F.lit(0.0))).withColumn(
         "base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("place") >= edge)).drop("near", "wide")
+        "kept", ~F.col("base_failed") & (F.col("place") >= edge)).drop("near", "wide", "digest")

@@ -52,6 +52,22 @@ def test_fertility_keeps_prose_and_rejects_symbols(spark):
     assert sum(not r.kept for r in junk) / len(junk) > 0.9
 
 
+def test_copies_do_not_move_the_bands(spark):
+    """One clean text copied to a third of all rows leaves every other document's place."""
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+
+    def places(docs):
+        return {r.doc_id: (r.place, r.kept) for r in fertility.quality(docs, PIECES).collect()}
+
+    want = places(docs)
+    texts = [r for r in docs.where("lang = 'en'").orderBy("doc_id").collect() if want[r.doc_id][1]]
+    for hot in texts[0], texts[len(texts) // 2]:
+        copies = spark.createDataFrame([(10_000_000 + i, hot.text, hot.lang) for i in range(500)], docs.schema)
+        found = places(docs.unionByName(copies))
+        assert {d: found[d][1] for d in want} == {d: kept for d, (_, kept) in want.items()}
+        assert all(found[d][0] == pytest.approx(place, abs=1e-6) for d, (place, _) in want.items())
+
+
 def test_quality_of_odd_rows(docs, odd_rows):
     found = fertility.quality(docs(odd_rows), PIECES).collect()
     assert sorted(((r.doc_id, *counts(r)) for r in found), key=str) == sorted(
