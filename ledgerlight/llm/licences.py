@@ -1,6 +1,7 @@
 """Licence scans by a trained paragraph classifier that templates confirm.
 
-A paragraph is a line. Its features are its words and word pairs, hashed to a fixed number of
+A paragraph is a line, or some adjoining lines that only together hold a template, as wrapped
+notices do. Its features are its words and word pairs, hashed to a fixed number of
 columns; a multinomial logistic regression gives each licence family and ``unknown`` a
 probability. It learns the families from notice templates, whole and worn (words dropped, halves,
 text of the corpus around them), and ``unknown`` from a bounded sample of paragraphs that resemble
@@ -86,6 +87,8 @@ WORN = 60
 #: Share of a template's words and pairs that confirms it, and that bars a paragraph from ``unknown``.
 CONFIRMED = 0.75
 RESEMBLES = 0.4
+#: Adjoining lines that may hold one wrapped template.
+WINDOW = 12
 FOUND = ("doc_id *, paragraph long, family string, probability double, template int, "
          "similarity double, confirmed boolean")
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -98,10 +101,15 @@ def paragraph_features(data: np.ndarray, offsets: np.ndarray):
 
     Features are hashes of words and of pairs inside the paragraph. Lines end at a newline.
     """
+    return _line_features(data, offsets)[:2]
+
+
+def _line_features(data, offsets):
+    """``paragraph_features``, and of each paragraph the pair of its first word with the word before."""
     plain = _PLAIN[data]
     starts, ends, at = spans(plain, offsets)
     if not len(starts):
-        return np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+        return np.zeros((0, 3), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     hashes = word_hashes(plain, starts, ends)
     breaks = np.concatenate([[0], np.cumsum(plain == 10)])
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
@@ -114,7 +122,7 @@ def paragraph_features(data: np.ndarray, offsets: np.ndarray):
     kept = np.ones(len(features), bool)
     kept[1::2] = ~fresh
     first = np.concatenate([[0], np.cumsum(kept)])[2 * np.flatnonzero(fresh)]
-    return np.stack([row[fresh], line[fresh], first], 1), features[kept]
+    return np.stack([row[fresh], line[fresh], first], 1), features[kept], features[1::2][fresh]
 
 
 def _of(texts):
@@ -138,6 +146,57 @@ def similarity(features: np.ndarray, family: str) -> tuple[int, float]:
     return best, float(shares[best])
 
 
+#: All features of templates, and of each template which of them it holds.
+_KNOWN = np.unique(np.concatenate([t for ts in _TEMPLATE_SETS.values() for t in ts]))
+_HOLDS = np.array([np.isin(_KNOWN, t) for ts in _TEMPLATE_SETS.values() for t in ts])
+
+
+def wrapped(where, features, joints, confirmed):
+    """Windows (first, last) of two to ``WINDOW`` adjoining lines that hold ``confirmed`` of a template,
+    the best first, and the features of each.
+
+    Lines adjoin where none without a word lies between. Windows are
+    tried only where all lines in reach hold enough together.
+    """
+    n = len(where)
+    ends = np.append(where[1:, 2], len(features))
+    at = np.searchsorted(_KNOWN, features)
+    hit = np.flatnonzero(_KNOWN[np.minimum(at, len(_KNOWN) - 1)] == features)
+    line = np.searchsorted(where[:, 2], hit, "right") - 1
+    joins = np.concatenate([[False], (where[1:, 0] == where[:-1, 0]) & (where[1:, 1] == where[:-1, 1] + 1)])
+    at_joint = np.searchsorted(_KNOWN, joints)
+    joint = np.flatnonzero(joins & (_KNOWN[np.minimum(at_joint, len(_KNOWN) - 1)] == joints))
+    within = [set() for _ in range(n)]
+    for i, k in zip(line.tolist(), at[hit].tolist()):
+        within[i].add(k)
+    before = {i: k for i, k in zip(joint.tolist(), at_joint[joint].tolist())}
+    sizes = _HOLDS.sum(1)
+    found = []
+    for a in np.flatnonzero(np.append(joins[1:], False)).tolist():
+        if not within[a]:
+            continue
+        last = a
+        while last + 1 < n and last + 1 - a < WINDOW and joins[last + 1]:
+            last += 1
+        everything = set().union(*within[a:last + 1], (before[i] for i in range(a + 1, last + 1) if i in before))
+        if len(everything) < confirmed * sizes.min():
+            continue
+        can = np.flatnonzero(_HOLDS[:, list(everything)].sum(1) >= confirmed * sizes)
+        if not len(can):
+            continue
+        some = set(within[a])
+        for b in range(a + 1, last + 1):
+            some |= within[b]
+            if b in before:
+                some.add(before[b])
+            share = (_HOLDS[np.ix_(can, list(some))].sum(1) / sizes[can]).max()
+            if share >= confirmed:
+                found.append((-share, b - a, a, b))
+    for _, _, a, b in sorted(found):
+        parts = [features[where[a, 2]:ends[b]], joints[a + 1:b + 1]]
+        yield a, b, np.concatenate(parts)
+
+
 def _columns(features):
     return (features >> np.uint64(48)).astype(np.int64)
 
@@ -247,20 +306,35 @@ def _scan(held, confirmed):
             out = [[], [], [], [], [], []]
             rows = []
             for i, j in row_ranges(offsets, 1 << 20):
-                where, features = paragraph_features(
+                where, features, joints = _line_features(
                     data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 if not len(where):
                     continue
                 p = model.probabilities(features, where[:, 2])
                 ends = np.append(where[1:, 2], len(features))
                 best = p.argmax(1)
-                for k in np.flatnonzero(best != len(CLASSES) - 1):
+                single = {}
+                for k in np.flatnonzero(best != len(CLASSES) - 1).tolist():
                     name = CLASSES[best[k]]
-                    template, share = similarity(features[where[k, 2]:ends[k]], name)
+                    single[k] = name, float(p[k, best[k]]), *similarity(features[where[k, 2]:ends[k]], name)
+                taken = {k for k, x in single.items() if x[3] >= confirmed}
+                for a, b, some in wrapped(where, features, joints, confirmed):
+                    if not taken.isdisjoint(range(a, b + 1)):
+                        continue
+                    q = model.probabilities(some, np.zeros(1, np.int64))[0]
+                    name = CLASSES[q.argmax()]
+                    if name == UNKNOWN:
+                        continue
+                    template, share = similarity(some, name)
+                    if share >= confirmed:
+                        taken.update(range(a, b + 1))
+                        for k in range(a, b + 1):
+                            single.pop(k, None)
+                        single[a] = name, float(q.max()), template, share
+                for k, (name, probability, template, share) in sorted(single.items()):
                     rows.append(i + int(where[k, 0]))
                     for column, value in zip(out, (
-                            int(where[k, 1]), name, float(p[k, best[k]]), template, share,
-                            share >= confirmed)):
+                            int(where[k, 1]), name, probability, template, share, share >= confirmed)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int64()),
@@ -276,6 +350,8 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     """Each paragraph whose likeliest class is a licence family: doc_id, paragraph (the line's
     number from 0), family, its calibrated probability, the nearest template of that family,
     similarity (the share of the template's words and pairs present) and whether it confirms.
+    Adjoining lines, ``WINDOW`` at most, that only together confirm give one row in place of their
+    own, with the number of the first.
 
     Null and empty texts and lines without a word give no row. Equal probabilities go to the
     family listed first. Null and repeated ids and repeated rows each give their rows. Further

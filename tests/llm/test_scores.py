@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -220,3 +221,23 @@ def test_licences(spark, docs, odd_rows):
     want = {r.doc_id for r in plain.collect() if notice.search(r.text or "")}
     assert {r.doc_id for r in licences.scan(plain, model).where("confirmed").collect()} == want
     assert licences.scan(docs([]), licences.learn(docs([]))).collect() == []
+
+
+def test_wrapped_notices(spark, docs):
+    """Each template wrapped at 40 to 80 columns behind comment marks, between lines of prose."""
+    model = licences.learn(table(spark, SF, "documents"))
+    rows, names = [], []
+    for name, templates in licences.TEMPLATES.items():
+        for template in templates:
+            for width in (40, 60, 80):
+                for mark in ("# ", " * ", "// "):
+                    lines = [mark + x for x in textwrap.wrap(template, width - len(mark))]
+                    text = "\n".join([mark + "first line of prose", *lines, mark.rstrip(), "last line"])
+                    rows.append((len(rows), text, "en"))
+                    names.append(name)
+    found = [r for r in licences.scan(docs(rows), model).collect() if r.confirmed]
+    assert sorted((r.doc_id, r.family) for r in found) == list(enumerate(names))
+    # a blank line parts
+    apart = textwrap.wrap(licences.TEMPLATES["GPL"][1], 60)
+    parted = licences.scan(docs([(1, "\n\n".join(apart), "en")]), model)
+    assert not any(r.confirmed for r in parted.collect())
