@@ -10,8 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from ledgerlight import schemas as S  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -51,7 +49,3 @@ def table(spark):
         )
 
     return build
-
-
-def dicts(df):
-    return [r.asDict() for r in df.collect()]

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import dicts
+from filing_helpers import dicts
 from ledgerlight import schemas as S
 from ledgerlight.operators import (
     benchmark, builders, clean, companies, ledger, neaf, risk, sectors, stats, views,

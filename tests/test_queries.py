@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
-from conftest import SF
+from filing_helpers import SF
 from ledgerlight.plans import oracle_queries, queries as registered
 
 UNCHECKED = {"ml_anomaly", "ml_clusters", "ml_priority", "ml_summary", "ml_top", "points_ml",
