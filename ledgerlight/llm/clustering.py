@@ -48,24 +48,33 @@ class Bisectors:
     """Normals and thresholds of all pairs of centroids; a centroid is a tuple of integers."""
 
     def __init__(self, centroids: list[tuple[int, ...]]):
-        self.centroids = centroids
         self.small = max((abs(v) for c in centroids for v in c), default=0) <= SMALL
-        kind = float if self.small else object
-        at = np.array(centroids, dtype=kind).reshape(len(centroids), -1)
-        norms = (at * at).sum(1)
-        self.at = at
-        self.normal = 2 * (at[None, :, :] - at[:, None, :])
-        self.threshold = norms[None, :] - norms[:, None]
+        width = len(centroids[0]) if centroids else 0
+        self.exact = np.array(centroids, dtype=object).reshape(len(centroids), width)
+        self.pairs = {}
+
+    def _of(self, x):
+        """The vectors, centroids, normals and thresholds in one kind of number that is exact."""
+        kind = float if self.small and x.dtype != object else object
+        if kind not in self.pairs:
+            at = self.exact.astype(kind)
+            norms = (at * at).sum(1)
+            self.pairs[kind] = at, 2 * (at[None, :, :] - at[:, None, :]), norms[None, :] - norms[:, None]
+        if kind is object and x.dtype != object:
+            x = np.array([[int(v) for v in row] for row in x.tolist()], dtype=object)
+        return x, *self.pairs[kind]
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
+        x, _, normal, threshold = self._of(x)
         champion = np.zeros(len(x), np.int64)
-        for rival in range(1, len(self.centroids)):
-            side = (x * self.normal[champion, rival]).sum(1) - self.threshold[champion, rival]
+        for rival in range(1, len(self.exact)):
+            side = (x * normal[champion, rival]).sum(1) - threshold[champion, rival]
             champion[(side > 0).astype(bool)] = rival
         return champion
 
     def distance(self, x: np.ndarray, nearest: np.ndarray) -> np.ndarray:
-        apart = x - self.at[nearest]
+        x, at, _, _ = self._of(x)
+        apart = x - at[nearest]
         return (apart * apart).sum(1)
 
 
