@@ -19,13 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set, as in tests."""
+    """The session's checkpoint folder; one of our own only where none is set, as in tests, and
+    only where all of Spark runs on this machine."""
     with contextlib.suppress(AnalysisException):
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder:
             return folder.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         held = tempfile.mkdtemp(prefix="ledgerlight-")
         spark.sparkContext.setCheckpointDir(held)
     return held.rstrip("/")
@@ -42,7 +45,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     # small row groups: a task holds one of them whole, with long texts in it
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read again: what was made from them is
+    written itself, so no lineage leads back to them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes of a row group of the tables written between steps.

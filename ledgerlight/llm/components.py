@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlight.llm.common import written
+from ledgerlight.llm.common import drop, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,17 +30,23 @@ def components(edges: DataFrame) -> DataFrame:
         joined = written(joined, "joined")
         # ranks fall along the way, so following it twice as far merges more and cannot turn back
         further = joined.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        joined = written(joined.join(further, "to").select("node", F.col("next").alias("to")), "joined")
+        twice = written(joined.join(further, "to").select("node", F.col("next").alias("to")), "joined")
+        drop(joined)
+        joined = twice
         steps.append(joined)
         at_a = joined.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
         at_b = joined.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
         moved = edges.join(at_a, "a").join(at_b, "b").where("to_a <> to_b")
-        edges = written(moved.select(F.least("to_a", "to_b").alias("a"),
-                                     F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        left = written(moved.select(F.least("to_a", "to_b").alias("a"),
+                                    F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        drop(edges)
+        edges = left
     if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
     found = steps[0].withColumnRenamed("to", "component")
     for step in steps[1:]:
         found = found.join(step.withColumnRenamed("node", "component"), "component", "left").select(
             "node", F.coalesce("to", "component").alias("component"))
-    return written(found, "components")
+    found = written(found, "components")
+    drop(edges, *steps)
+    return found

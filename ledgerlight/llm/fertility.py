@@ -12,6 +12,10 @@ Bands come from all distinct texts that pass the rules: median and inner half by
 none is given, script) and by length, in powers of two of the token count, because short texts
 scatter more and have less entropy. They are robust: a large share of junk does not move them, and neither
 do copies of one text, which count once. Near copies count each.
+
+A band of few texts is no switch: every band leans on the next wider one by as much as ``LEAN`` texts
+weigh, a language's class on its script's class over all languages, and that on a fixed, wide band
+of the vocabulary. So a single text more moves a verdict's band a little, never from nothing to all.
 """
 
 import re
@@ -25,7 +29,7 @@ from ledgerlight.llm.common import arrow_map, loaded, row_ranges, utf8, written
 from ledgerlight.llm.words import RUN, hashed, run_hashes
 
 MEASURES = (
-    "doc_id *, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id *, band string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, digest long")
 #: Least half-widths: characters per token, share of byte tokens, bits of entropy.
 LEAST = {"chars_per_token": 0.01, "byte_share": 0.01, "entropy": 0.02}
@@ -33,12 +37,18 @@ LEAST = {"chars_per_token": 0.01, "byte_share": 0.01, "entropy": 0.02}
 EDGE = -7.0
 #: No single measure counts for more than this, either way.
 MOST = 20.0
-#: Distinct texts below which a length class takes the band of all lengths, and that band none.
-ENOUGH = 30
+#: Texts that the next wider band weighs in a band.
+LEAN = 5.0
+#: Middle and half-width of the vocabulary's own bands: prose of any script has a token for every
+#: one to seven characters and few bytes; entropy falls short of the length class's bits by little,
+#: and of ten bits in long texts.
+OWN = {"chars_per_token": (4.0, 0.5), "byte_share": (0.0, 0.1), "entropy": (0.9, 10.0, 0.5)}
 #: Distinct words a worker remembers before it starts anew.
 REMEMBERED = 200_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: First letters of a few scripts' code blocks; Latin and the rest by elimination.
@@ -135,9 +145,14 @@ def _measure(path):
         tokens = np.bincount(rows, minlength=n)
         chars = _sums(((data & 0xC0) != 0x80) & ~_SPACE[data], offsets)
         some = np.maximum(tokens, 1)
+        # a script counts where most letters are of it: not where ASCII letters outnumber other bytes
+        foreign = _sums(data > 127, offsets)
+        plain = _sums(_LETTER[data], offsets)
+        scripts = ["latin" if f <= p else script_of(t.decode("utf-8", "replace"))
+                   for f, p, t in zip(foreign.tolist(), plain.tolist(), texts)]
         return [
-            pa.array([lang or script_of(t.decode("utf-8", "replace")) for lang, t in zip(langs, texts)],
-                     pa.string()),
+            pa.array([lang or script for lang, script in zip(langs, scripts)], pa.string()),
+            pa.array(scripts, pa.string()),
             pa.array(n_words.astype(np.int64)), pa.array(chars), pa.array(_sums(_SYMBOL[data], offsets)),
             pa.array([duplicate_lines(t) for t in texts], pa.int64()),
             pa.array([repeated_words(hashes[a:b]) for a, b in zip(at[:-1], at[1:])], pa.int64()),
@@ -173,7 +188,8 @@ def base_failed():
 
 
 def bands(measures: DataFrame, *keys: str) -> DataFrame:
-    """Median and half of the inner half of each measure, over the distinct texts that pass the rules.
+    """Number, median and half of the inner half of each measure, over the distinct texts that pass
+    the rules.
 
     Copies count once: a text that fills half of a class would take its inner half for itself.
     """
@@ -182,10 +198,24 @@ def bands(measures: DataFrame, *keys: str) -> DataFrame:
         parts = F.percentile_approx(name, [0.25, 0.5, 0.75], 10_000)
         half = F.greatest((parts[2] - parts[0]) / 2, F.lit(least))
         found.append(F.struct(parts[1].alias("mid"), half.alias("half")).alias(name))
-    rows = measures.where(~base_failed()).groupBy(*keys, "digest").agg(
+    return measures.where(~base_failed()).groupBy(*keys, "digest").agg(
         *(F.first(name).alias(name) for name in LEAST)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.struct(*found).alias("edges"))
-    return rows.where(F.col("n") >= ENOUGH).drop("n")
+
+
+def _own(name):
+    """The vocabulary's fixed band of a measure."""
+    if name != "entropy":
+        return tuple(map(F.lit, OWN[name]))
+    share, most, half = OWN[name]
+    return F.lit(share) * F.least(F.col("length_class") + 0.5, F.lit(most)), F.lit(half)
+
+
+def _leaning(column, name, wider):
+    """Middle and half-width of a band that leans on a wider one; that one alone where it has no texts."""
+    n = F.coalesce(F.col(f"{column}.n"), F.lit(0))
+    return tuple((n * F.coalesce(F.col(f"{column}.edges")[name][part], F.lit(0.0)) + LEAN * other) / (n + LEAN)
+                 for part, other in zip(("mid", "half"), wider))
 
 
 def quality(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
@@ -193,24 +223,25 @@ def quality(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     """Every document's counts, measures, place, base_failed and kept.
 
     Null and empty texts have no words and fail the rules. A null language gives the band of the
-    text's script. Bands of too few distinct texts reject nothing. Null and repeated ids and repeated
-    rows each keep their row. Further columns are ignored.
+    text's script. Bands of few texts lean on wider ones. Null and repeated ids and repeated rows
+    each keep their row. Further columns are ignored.
     """
     measures = written(measure(docs, vocabulary, doc_id, text, lang), "fertility")
     measures = measures.withColumn(
         "length_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     # A few rows for each language. As tables their size is known, so that they travel and the
     # documents, which may carry whole rows, do not.
-    near = written(bands(measures, "band", "length_class").withColumnRenamed("edges", "near"), "bands")
-    wide = written(bands(measures, "band").withColumnRenamed("edges", "wide"), "bands")
-    joined = measures.join(near, ["band", "length_class"], "left").join(wide, "band", "left")
+    joined = measures
+    for column, key in (("near", "band"), ("wide", "script")):
+        of = written(bands(measures, key, "length_class"), "bands")
+        joined = joined.join(of.select(key, "length_class", F.struct("n", "edges").alias(column)),
+                             [key, "length_class"], "left")
 
     def place(name):
-        at = F.coalesce(F.col("near"), F.col("wide"))[name]
-        off = (F.col(name) - at["mid"]) / at["half"]
+        mid, half = _leaning("near", name, _leaning("wide", name, _own(name)))
+        off = (F.col(name) - mid) / half
         return F.greatest(F.lit(-MOST), F.least(F.lit(MOST), off))
 
     total = place("chars_per_token") + place("entropy") - F.greatest(F.lit(0.0), place("byte_share"))
-    return joined.withColumn("place", F.coalesce(total, F.lit(0.0))).withColumn(
-        "base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("place") >= edge)).drop("near", "wide", "digest")
+    return joined.withColumn("place", total).withColumn("base_failed", base_failed()).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("place") >= edge)).drop("near", "wide", "digest", "script")

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerlight.llm.common import arrow_map, picked, row_ranges, utf8, written
+from ledgerlight.llm.common import arrow_map, drop, picked, row_ranges, utf8, written
 from ledgerlight.llm.components import components
 from ledgerlight.llm.words import hashed, run_hashes, stir
 
@@ -46,10 +46,20 @@ PART_BITS = 16
 ABOVE = 8
 #: Nodes of a key that all its nodes meet first.
 HUBS = 6
+#: Nodes of the sample that tells hot keys, about, and how many of them make a key hot.
+HOT_SAMPLE = 4_000
+HOT = 20
+#: Parts of a component's rows that join apart.
+SALTS = 32
+#: Combinations of a node before another that it is compared by.
+BEFORE = 32
 #: Top bits of its last key that tell how far a plain prefix reaches.
 END_BITS = 16
-#: Bits that preselect the documents whose whole sets are needed.
-FILTER_BITS = 22
+#: Bits that preselect the documents whose whole sets are needed: so many for each, which lets one
+#: other document in sixteen through, within these powers of two. Beyond the larger (16 MB, eight
+#: million documents) more are let through, which costs time alone.
+BITS_EACH = 16
+FILTER_BITS = 22, 27
 NODES = "doc_id *, node long, n int, singles int, keys array<bigint>"
 _U = np.uint64
 
@@ -213,14 +223,15 @@ def _nodes(words, percent, held):
 
 
 def _whole_sets(words, held):
-    """Sets of the rows whose bit is set."""
+    """Sets of the rows whose bit is set, once for each node of a task."""
     def run(batches):
-        wanted = held.value
+        wanted, seen = held.value, set()
         for batch in batches:
             cells = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((wanted[cells >> 3] >> (7 - (cells & 7)) & 1).astype(bool)))
             for _, found, node in _sets(batch, words):
-                if node is not None:
+                if node is not None and node not in seen:
+                    seen.add(node)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([_signed(node)], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()),
@@ -229,36 +240,41 @@ def _whole_sets(words, held):
 
 
 def _sets_of(pairs, nodes, docs, words):
-    """Whole shingle sets of all nodes in ``pairs``, made again from the texts.
+    """Whole shingle sets of all nodes in ``pairs``, made again from the texts, one row each.
 
-    A fixed number of bits, sent to every task, spares most other documents the work; the sets of
-    those that it lets through meet no pair.
+    A filter of bounded size, sent to every task, spares most other documents the work; the sets
+    of those that it lets through meet no pair.
     """
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int")
-    chosen = nodes.join(ends, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = written(nodes.join(ends, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen")
+    bits = min(max((chosen.count() * BITS_EACH).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).cast("int")
     parts = chosen.select(cell.alias("cell")).groupBy(F.expr("cell div 32768").alias("part")).agg(
-        F.expr("bitmap_construct_agg(cell % 32768)").alias("bits")).collect()  # 4 KB each, 128 at most
-    wanted = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for part, bits in parts:  # the first cell is the lowest bit of the first byte
-        raw = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
+        F.expr("bitmap_construct_agg(cell % 32768)").alias("bits")).collect()  # 4 KB each, 16 MB at most
+    drop(chosen)
+    wanted = np.zeros(1 << bits - 3, np.uint8)
+    for part, some in parts:  # the first cell is the lowest bit of the first byte
+        raw = np.unpackbits(np.frombuffer(bytes(some), np.uint8), bitorder="little")
         wanted[part * 4096:(part + 1) * 4096] = np.packbits(raw)
     held = docs.sparkSession.sparkContext.broadcast(wanted)
-    return arrow_map(docs.withColumn("cell", cell), _whole_sets(words, held),
+    sets = arrow_map(docs.withColumn("cell", cell), _whole_sets(words, held),
                      "node long, shingles array<bigint>")
+    return sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _verified(pairs, nodes, docs, words, percent, name):
     """The pairs (a, b) that link, as a table."""
     pairs = written(pairs, f"{name}-pairs")
-    sets = written(_sets_of(pairs, nodes, docs, words), f"{name}-sets")
+    sets = _sets_of(pairs, nodes, docs, words)  # one exchange by node serves both ends
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     whole = pairs.join(a, "a").join(b, "b").select(
         "a", "b", shared.alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
-    return written(whole.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select(
-        "a", "b").distinct(), name)
+    links = written(whole.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select(
+        "a", "b"), name)
+    drop(pairs)
+    return links
 
 
 def _common(m, n, percent):
@@ -297,6 +313,61 @@ def _least_shared(l, r, percent):
     return _binding(l, r, of_l, of_r, F.greatest, F.least)
 
 
+def _shared(keys, nodes):
+    """The distinct rows (key, node, single, hot) of keys that more than one node has.
+
+    Least and greatest node tell, key by key in one task. A key that many nodes of a bounded sample
+    have is hot, and shared for sure: its rows are kept without coming together anywhere.
+    """
+    every = max(1, nodes.count() // HOT_SAMPLE)
+    some = keys.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("key", "node").distinct()
+    hot = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select(
+        "key", F.lit(True).alias("hot"))
+    marked = keys.join(F.broadcast(hot), "key", "left")  # a few thousand keys, as the sample is bounded
+    by_key = Window.partitionBy("key")
+    cold = marked.where("hot is null").withColumn("low", F.min("node").over(by_key)).withColumn(
+        "high", F.max("node").over(by_key)).where("low <> high")
+    return cold.select(*keys.columns, F.lit(False).alias("hot")).unionByName(
+        marked.where("hot").select(*keys.columns, "hot")).distinct()
+
+
+def _with_hubs(rows):
+    """Each row of a key (l) with the key's few hubs (r) that are better: what a group has in common
+    is most of what its original holds, and that one links best.
+
+    A hot key's hubs are the best of each of a few classes of its nodes, which map tasks combine.
+    """
+    node = F.struct("node", "n", "singles", "end", "reach")
+    rank = F.struct((F.col("reach") / F.col("n")).alias("share"), "node", "n", "singles", "end", "reach")
+    cold, hot = (rows.where(F.col("hot") == is_hot).select("key", "single", node.alias("l"), rank.alias("rank"), "node")
+                 for is_hot in (False, True))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rank")))
+    cold = cold.withColumn("place", place).withColumn("hubs", F.collect_list(
+        F.when(F.col("place") <= HUBS, F.col("rank"))).over(Window.partitionBy("key"))).drop("place")
+    best = [F.max(F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS)) == k, F.col("rank"))).alias(f"hub{k}")
+            for k in range(HUBS)]
+    hubs = hot.groupBy("key").agg(*best).select("key", F.filter(
+        F.array(*[F.col(f"hub{k}") for k in range(HUBS)]), lambda h: h.isNotNull()).alias("hubs"))
+    both = cold.unionByName(hot.join(hubs, "key"))
+    return both.select("single", "l", "rank", F.explode("hubs").alias("r")).where("rank < r").select("single", "l", "r")
+
+
+def _between(rows):
+    """Rows (key, node, single, part, minor) of the keys that nodes of several parts have; minor are
+    those outside the part that has most of the key."""
+    by_key = Window.partitionBy("key")
+    cold = rows.where("not hot").withColumn("low", F.min("part").over(by_key)).withColumn(
+        "high", F.max("part").over(by_key)).where("low <> high")
+    cold = cold.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "part"))).withColumn(
+        "main", F.max(F.struct("n", "part")).over(by_key)["part"])
+    hot = rows.where("hot")
+    parts = hot.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    mains = parts.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    hot = hot.join(mains.where("parts > 1"), "key")
+    columns = ["key", "node", "single", "part", (F.col("part") != F.col("main")).alias("minor")]
+    return cold.select(*columns).unionByName(hot.select(*columns))
+
+
 def _fits(m, n, percent):
     """Whether sets of these sizes can be similar at all."""
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
@@ -319,66 +390,76 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, do
     held = spark.sparkContext.broadcast(frequent_cells(docs, words))
     nodes = written(arrow_map(docs, _nodes(words, percent, held), NODES), "nodes")
 
-    by_key = Window.partitionBy("key")
-    keys = nodes.where(F.size("keys") > 0).select(
-        "node", "n", "singles", _prefix_end(percent).alias("end"), F.posexplode("keys").alias("at", "key"))
-    keys = keys.withColumn("single", F.col("at") < F.col("singles")).withColumn(
-        "low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key)).where("low <> high")
-    keys = written(keys.select("key", "node", "n", "singles", "end", "single").distinct(), "keys")
-
-    def meeting(left, right, apart, here=F.lit(True)):
-        """Distinct pairs of different nodes that share enough keys. ``here`` may choose among the
-        keys at which a pair meets."""
-        pairs = left.alias("l").join(right.alias("r"), "key").where(apart).where(
-            _fits(F.col("l.n"), F.col("r.n"), percent))
+    # keys travel with their node alone; its sizes come back for the few that two nodes have
+    keys = nodes.where(F.size("keys") > 0).select("node", "singles", F.posexplode("keys").alias("at", "key"))
+    keys = keys.select("key", "node", (F.col("at") < F.col("singles")).alias("single"))
+    sizes = nodes.where(F.size("keys") > 0).select("node", "n", "singles", _prefix_end(percent).alias("end")).distinct()
+    keys, sizes = written(_shared(keys, nodes), "keys"), written(sizes, "sizes")
+    rows = written(nodes.select("doc_id", "node", "n"), "rows")
+    drop(nodes)
+
+    def with_reach(some, name):
+        """The rows with their nodes' sizes, how many shingles a node can share with another node
+        of these rows whose keys reach at least as far (all but its single keys that are not among
+        them), and at a combination the few before it."""
+        of_node = Window.partitionBy("node")
+        shared = F.sum(F.col("single").cast("int")).over(of_node)
+        before = F.collect_list(F.when(~F.col("single"), F.col("key"))).over(
+            of_node.orderBy("key").rowsBetween(-BEFORE, -1))
+        some = some.withColumn("shared", shared).withColumn("before", F.when(~F.col("single"), before))
+        return written(some.join(sizes, "node").withColumn(
+            "reach", F.col("n") - F.col("singles") + F.col("shared")).drop("shared"), name)
+
+    def enough(pairs):
+        """Distinct pairs of different nodes among rows (l, r) that share enough keys."""
+        pairs = pairs.where(_fits(F.col("l.n"), F.col("r.n"), percent))
         reach = _binding("l", "r", F.col("l.reach"), F.col("r.reach"), F.least, F.greatest)
         pairs = pairs.where(reach >= _common(F.col("l.n"), F.col("r.n"), percent))
-        pairs = pairs.where(here).select(
+        pairs = pairs.select(
             F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"),
-            F.col("l.single").cast("int").alias("single"), _least_shared("l", "r", percent).alias("enough"))
+            F.col("single").cast("int").alias("single"), _least_shared("l", "r", percent).alias("enough"))
         pairs = pairs.groupBy("a", "b").agg(F.sum("single").alias("n"), F.first("enough").alias("enough"))
         return pairs.where("n >= enough").select("a", "b")
 
-    def with_reach(some):
-        """Adds how many shingles a node can share with another node of these rows whose keys reach
-        at least as far: all but its single keys that are not among them."""
-        counts = some.groupBy("node").agg(F.sum(F.col("single").cast("int")).alias("shared"))
-        return some.join(counts, "node").withColumn(
-            "reach", F.col("n") - F.col("singles") + F.col("shared"))
-
-    # what a group has in common is most of what its original holds: that one links best
-    order = Window.partitionBy("key").orderBy(F.desc(F.col("reach") / F.col("n")), F.xxhash64("node"), "node")
-    some = with_reach(keys).withColumn("hub", F.row_number().over(order) <= HUBS)
-    some = written(some, "shared")
+    def meeting(left, right, apart):
+        """Pairs of the rows that meet at a key."""
+        apart_from = ("key", "single", "hot")
+        one, other = (x.select("key", "single", F.struct(*[c for c in x.columns if c not in apart_from]).alias(n))
+                      for x, n in ((left, "l"), (right, "r")))
+        # two sets of frequent shingles share many combinations; where they share one of the last
+        # few as well they have met there already, and the first they share is passed by none
+        met = ~F.col("single") & F.coalesce(F.arrays_overlap("l.before", "r.before"), F.lit(False))
+        return enough(one.join(other.drop("single"), "key").where(apart).where(~met))
+
+    some = with_reach(keys, "shared")
     if every_link:
-        links = _verified(meeting(some, some, F.expr("l.node < r.node")), nodes, docs, words, percent, "links")
+        links = _verified(meeting(some, some, "l.node < r.node"), rows, docs, words, percent, "links")
+        drop(some)
     else:
-        first = meeting(some, some.where("hub"), F.expr("l.node <> r.node and (not l.hub or l.node < r.node)"))
-        links = _verified(first, nodes, docs, words, percent, "near")
-        found = components(links).withColumnRenamed("component", "part")
-        apart = keys.join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        apart = apart.withColumn("low", F.min("part").over(by_key)).withColumn(
-            "high", F.max("part").over(by_key)).where("low <> high").drop("low", "high")
-        apart = apart.withColumn("of_part", F.count(F.lit(1)).over(Window.partitionBy("key", "part")))
-        main = F.max(F.struct("of_part", "part")).over(by_key)["part"]
-        # two sets of frequent shingles share many combinations; they meet at the smallest one
-        earlier = Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.collect_list(F.when(~F.col("single"), F.col("key"))).over(earlier)
-        apart = apart.withColumn("minor", F.col("part") != main).withColumn(
-            "before", F.when(~F.col("single"), before))
-        apart = written(with_reach(apart), "apart")
-        pairs = meeting(apart.where("minor"), apart, F.expr(
-            "l.part <> r.part and (not r.minor or l.node < r.node)"),
-            F.expr("l.single or not arrays_overlap(l.before, r.before)"))
-        links = links.unionByName(_verified(pairs, nodes, docs, words, percent, "far"))
+        links = _verified(enough(_with_hubs(some)), rows, docs, words, percent, "near")
+        drop(some)
+        found = components(links)
+        apart = keys.join(found.withColumnRenamed("component", "part"), "node", "left").withColumn(
+            "part", F.coalesce("part", "node"))
+        apart = _between(apart)
+        apart = with_reach(apart, "apart")
+        drop(keys, found)
+        pairs = meeting(apart.where("minor"), apart, "l.part <> r.part and (not r.minor or l.node < r.node)")
+        far = _verified(pairs, rows, docs, words, percent, "far")
+        drop(apart)
+        links = links.unionByName(far)
 
     found = components(links)
+    nodes = rows
     rows = nodes.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles")).join(
         found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # documents without shingles have no node and stay alone
     least = rows.where(F.col("node").isNotNull()).groupBy("component").agg(
         F.min("doc_id").alias("component_id"))
-    rows = rows.join(least, "component", "left").withColumn(
+    # a large component's rows are dealt to several tasks
+    salt = F.pmod(F.xxhash64("doc_id", "node"), F.lit(SALTS)).cast("int")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", salt).join(least, ["component", "salt"], "left").withColumn(
         "component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     if not every_link:
         return rows.select("doc_id", "n_shingles", "component_id")

@@ -9,23 +9,26 @@ The language with the shortest code wins; the score is its share after turning c
 document into odds.
 """
 
-import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.llm.common import arrow_map, picked, row_ranges, utf8
+from ledgerlight.llm.sampling import first_of, texts_of
 
 ORDER = 4
 #: Learned from at most so many documents of a language, taken in the order of a hash of the id.
 SAMPLE = 400
-#: ... and so many bytes of each.
-SAMPLE_BYTES = 20_000
 #: Bits of code length per byte that count as one doubling of the odds of a whole document.
 EVIDENCE = 0.02
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of a letter category; digits, fractions and numerals that look like letters are none."""
+    return any(unicodedata.category(c)[0] == "L" for c in text)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -97,7 +100,7 @@ def _score(held):
                 raw = part.tobytes()
                 langs, scores = [], []
                 for row, (x, y) in zip(total, zip(at[:-1], at[1:])):
-                    if not names or not _LETTER.search(raw[x:y].decode("utf-8", "replace")):
+                    if not names or not has_letter(raw[x:y].decode("utf-8", "replace")):
                         langs.append(UNKNOWN)
                         scores.append(0.0)
                         continue
@@ -117,21 +120,17 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-          sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict[str, ContextTree]:
-    """A frozen context tree for each language, from a bounded sample of its documents."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+          sample: int = SAMPLE) -> dict[str, ContextTree]:
+    """A frozen context tree for each language, from the whole texts of at most ``sample`` of its
+    documents; an id that is repeated counts once."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"),
                        F.col(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0)
                       & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(
-        F.col("at") <= sample)
-    # at most ``sample`` rows a language; the texts join by id, so only theirs are moved
-    texts = rows.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"]).select(
-        "doc_id", "lang", F.substring(F.col("text").cast("binary"), 1, sample_bytes).alias("part"))
+    texts = texts_of(rows, first_of(rows, "lang", "doc_id", sample), ["doc_id", "lang"], "text")
     by_lang = {}
-    for r in sorted(texts.collect(), key=lambda r: (r.lang, r.doc_id, bytes(r.part))):
-        by_lang.setdefault(r.lang, []).append(bytes(r.part))
+    for r in sorted(texts.collect(), key=lambda r: (r.lang, r.doc_id)):
+        by_lang.setdefault(r.lang, []).append(r.text.encode())
     return {name: ContextTree(parts) for name, parts in sorted(by_lang.items())}
 
 
@@ -143,7 +142,7 @@ def identify(docs: DataFrame, model: dict[str, ContextTree], doc_id: str = "doc_
     code lengths go to the language first in the alphabet. Null and repeated ids and repeated rows
     each keep their row. Further columns are ignored.
     """
-    # at most ``SAMPLE`` times ``SAMPLE_BYTES`` counts for each language and order
+    # counts of at most ``SAMPLE`` texts for each language and order
     held = docs.sparkSession.sparkContext.broadcast(model)
     scored = arrow_map(picked(docs, doc_id, text), _score(held), "doc_id *, lang_pred string, score double")
     return scored.withColumn("held_out", held_out(F.col("doc_id")))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerlight.llm.sampling import texts_of
 from ledgerlight.llm.common import arrow_map, picked, row_ranges, utf8
 from ledgerlight.llm.words import spans, stir, word_hashes
 
@@ -75,10 +76,8 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 CLASSES = [*TEMPLATES, UNKNOWN]
 COLUMNS = 1 << 16
-#: ``unknown`` is learned from the paragraphs of at most so many documents, in hash order,
-#: and so many bytes of each.
+#: ``unknown`` is learned from the paragraphs of at most so many distinct texts, in hash order.
 SAMPLE = 1000
-SAMPLE_BYTES = 20_000
 #: Of these, at most so many paragraphs and so many words of each are fitted.
 SAMPLE_LINES = 3000
 SAMPLE_WORDS = 40
@@ -274,13 +273,14 @@ def _softmax(z):
     return z / z.sum(1, keepdims=True)
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE,
-          sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fits the classifier; ``unknown`` comes from a bounded sample of documents."""
+def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
+    """Fits the classifier; ``unknown`` comes from a bounded sample of distinct texts, chosen by
+    their hashes before any text is moved."""
     texts = docs.select(F.col(text).cast("string").alias("text")).where("length(text) > 0")
-    texts = texts.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample)
-    rows = texts.select(F.substring(F.col("text").cast("binary"), 1, sample_bytes).alias("part"), "h")
-    lines = sorted({line for r in rows.collect() for line in bytes(r.part).decode("utf-8", "replace").split("\n")})
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    chosen = texts.select("h").distinct().orderBy("h").limit(sample)
+    rows = texts_of(texts, chosen, ["h"], "text").collect()
+    lines = sorted({line for r in rows for line in r.text.split("\n")})
     lines = [x for x in lines if x.strip()]
     likeness = [max(similarity(f, name)[1] for name in TEMPLATES) for f in _of(lines)]
     rng = np.random.default_rng(7)

@@ -12,6 +12,8 @@ blocks, so a task holds one block group and one batch of queries. What the tasks
 query each, is ranked at the end.
 """
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,9 +24,15 @@ SCALE = 1024
 #: Vectors of a block, and components of all vectors of a part.
 BLOCK = 4096
 PART = 1 << 22
+#: Components of a part at least, where there are cores for more parts; queries of a slice.
+LEAST_PART = 1 << 18
+SLICE = 1 << 16
+#: Components, after scaling, below which every score fits a decimal of 38 digits.
+LARGEST = 1 << 58
+_LONG = 1 << 63
 #: Entries of each list read before the first look at the bound; doubled after each.
 STEP = 8
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, vec_id long, score decimal(38,0)"
 
 
 def scaled(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -37,6 +45,15 @@ def scaled(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFram
         "vec_id", F.transform("x", lambda x: F.floor(scale * x)).alias("v"))
 
 
+def _best(ids, scores, k):
+    """The k best of both, equal scores by id."""
+    if scores.dtype == object:
+        keep = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+    else:
+        keep = np.lexsort((ids, -scores))[:k]
+    return ids[keep], scores[keep]
+
+
 class Block:
     """Vectors sorted by id, and for each dimension their order by that component."""
 
@@ -45,7 +62,7 @@ class Block:
         self.ids, self.rows = ids[order], rows[order]
         self.order = np.argsort(self.rows, axis=0, kind="stable").T.astype(np.int32)
         # doubles hold integers below 2^53 exactly, and multiply faster
-        most = int(np.abs(self.rows).max(initial=0))
+        self.most = most = int(np.abs(self.rows).max(initial=0))
         if most * most * self.rows.shape[1] < 1 << 53:
             self.rows = self.rows.astype(np.float64)
         self.lists = np.take_along_axis(self.rows.T, self.order, axis=1)
@@ -53,6 +70,12 @@ class Block:
     def search(self, query, own, k, floor):
         """(ids, scores) that may be among the k best, given a k-th score already found."""
         n = len(self.ids)
+        if n and int(np.abs(query).max()) * self.most * len(query) >= _LONG:
+            # beyond 64 bits the whole lists are read, in Python's integers
+            whole = [int(v) for v in query]
+            scores = np.array([sum(a * int(b) for a, b in zip(whole, row)) for row in self.rows], dtype=object)
+            other = self.ids != own
+            return _best(self.ids[other], scores[other], k)
         used = np.flatnonzero(query)
         weight = query[used]
         up = weight > 0
@@ -73,7 +96,8 @@ class Block:
                 met = np.arange(n)
             met = np.unique(met[~seen[met]])
             seen[met] = True
-            found = (self.rows[met] @ query.astype(self.rows.dtype)).astype(np.int64)
+            exact = self.rows.dtype if abs(query).max(initial=0) * self.most * len(query) < 1 << 53 else np.int64
+            found = (self.rows[met].astype(exact) @ query.astype(exact)).astype(np.int64)
             other = self.ids[met] != own
             ids = np.concatenate([ids, self.ids[met][other]])
             scores = np.concatenate([scores, found[other]])
@@ -87,7 +111,7 @@ class Block:
 
 
 def _search(k, size):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.decimal128(38, 0))])
 
     def blocks(ids, rows):
         # neighbours in the leading components share a block, so bounds differ between blocks
@@ -126,14 +150,13 @@ def _search(k, size):
                             more_ids, more = group.search(query, own, k, floor)
                             best_ids = np.concatenate([best_ids, more_ids])
                             best = np.concatenate([best, more])
-                            keep = np.lexsort((best_ids, -best))[:k]
-                            best_ids, best = best_ids[keep], best[keep]
-                        out[0].append(np.full(len(best), own))
-                        out[1].append(best_ids)
-                        out[2].append(best)
+                            best_ids, best = _best(best_ids, best, k)
+                        out[0] += [int(own)] * len(best)
+                        out[1] += best_ids.tolist()
+                        out[2] += [Decimal(int(x)) for x in best]
                 i = j
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
     return run
 
 
@@ -145,29 +168,34 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_
     Returns query_id, rank from 1, vec_id, score; equal scores rank the smaller id first. Vectors
     that are null or empty, or hold a null or a non-finite component, and rows without an id take
     no part. Vectors of different lengths do not meet. A row that repeats another's id is not its
-    candidate; as a query it is asked once, with the smallest of its vectors. A scaled
-    component must stay below 2^27, so that scores of up to 512 dimensions are exact: beyond
-    that the query raises. Further columns are ignored.
+    candidate; as a query it is asked once, with the smallest of its vectors. Scores rank exactly
+    at any size; one that does not fit 64 bits is returned as null. A scaled component of 2^58 or
+    more raises. Further columns are ignored.
     """
     rows = scaled(vectors, vec_id, vector, scale)
-    limit = 1 << 27
     sized = written(rows.select(
-        "vec_id", F.when(F.forall("v", lambda x: F.abs(x) < limit), F.col("v")).otherwise(
+        "vec_id", F.when(F.forall("v", lambda x: F.abs(x) < LARGEST), F.col("v")).otherwise(
             F.raise_error("a scaled component is too large for exact scores")).alias("v"),
         F.size("v").alias("width")), "vectors")
-    total = sized.count()
-    dealt = sized.withColumn("parts", F.ceil(F.lit(total) * F.col("width") / part).cast("int"))
-    candidates = dealt.select(
-        F.concat_ws("/", "width", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).alias("part"),
-        F.lit(0).alias("kind"), "vec_id", "v", "width")
+    total, queries = sized.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    of = F.lit(total) * F.col("width")
+    parts = F.greatest(F.ceil(of / part), F.least(F.lit(cores), F.ceil(of / LEAST_PART)))
+    dealt = sized.withColumn("parts", parts.cast("int"))
+    # each part's vectors meet every query; the queries are dealt, too, slice by slice
+    slices = max(1, -(-queries // SLICE))
+    candidates = dealt.withColumn("at", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(
+        F.concat_ws("/", "width", "at", "slice").alias("part"), F.lit(0).alias("kind"), "vec_id", "v", "width")
     asked = dealt.where(F.col("vec_id") % every == 0)
     asked = asked.groupBy("vec_id", "width", "parts").agg(F.min("v").alias("v"))
     asked = asked.select(
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"), "vec_id", "v", "width")
-    asked = asked.select(F.concat_ws("/", "width", "at").alias("part"), F.lit(1).alias("kind"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(slices)).alias("slice"), "vec_id", "v", "width")
+    asked = asked.select(F.concat_ws("/", "width", "at", "slice").alias("part"), F.lit(1).alias("kind"),
                          "vec_id", "v", "width")
     together = candidates.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind", "vec_id")
     found = arrow_map(together, _search(k, block), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        "query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))

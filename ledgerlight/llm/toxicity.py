@@ -17,16 +17,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.llm.common import arrow_map, picked
 from ledgerlight.llm.langid import held_out
 from ledgerlight.llm.packing import text_blocks
+from ledgerlight.llm.sampling import first_of, texts_of
 
-#: Fitted on at most so many documents of either label, in the order of a hash of the id,
-#: and so many bytes of each.
+#: Fitted on at most so many documents of either label, in the order of a hash of the id.
 SAMPLE = 4000
-SAMPLE_BYTES = 20_000
 #: Twice the log-likelihood ratio a learned term must reach, and its least share in toxic text.
 EVIDENCE = 24.0
 PRECISION = 0.9
@@ -203,20 +202,16 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-          label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict:
-    """Learned words, stems and weights, from a bounded sample of labelled rows not held out."""
+          label: str = "toxic", sample: int = SAMPLE) -> dict:
+    """Learned words, stems and weights, from the whole texts of a bounded sample of labelled rows
+    not held out; an id that is repeated counts once for each of its labels."""
     marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic"))
     marked = marked.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)
-                          & ~held_out(F.col("doc_id"))).distinct()
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
-    # at most twice ``sample`` rows: a bounded table
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(
-        F.broadcast(chosen.drop("at")), "doc_id").select(
-        "doc_id", "toxic", F.substring(F.col("text").cast("binary"), 1, sample_bytes).alias("part"))
-    rows = rows.where(F.col("part").isNotNull()).collect()
-    rows = sorted({(bytes(r.part), r.toxic) for r in rows})
-    texts, y = [t.decode("utf-8", "replace") for t, _ in rows], [int(k) for _, k in rows]
+                          & ~held_out(F.col("doc_id")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = texts_of(rows, first_of(marked, "toxic", "doc_id", sample), ["doc_id"], "text").collect()
+    rows = sorted({(r.text, r.toxic) for r in rows})
+    texts, y = [t for t, _ in rows], [int(k) for _, k in rows]
     words, stems = learn_terms(texts, y)
     reader = Reader(words, stems)
     x = np.array([features(matches(reader.symbols(t))) for t in texts]).reshape(-1, LABELS + 2)

@@ -156,3 +156,26 @@ def test_components(spark):
     assert sorted(map(len, groups.values())) == [2, 40, 61]
     assert all(c in g for c, g in groups.items())
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_hot_keys_take_the_same_links(docs, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 3)
+    monkeypatch.setattr(J, "BEFORE", 2)
+    rows = corpus(7, 120)
+    found = J.jaccard_join(docs(rows), every_link=True)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows)
+    assert sorted((tuple(r) for r in J.jaccard_join(docs(rows)).collect()), key=str) == [r[:3] for r in brute(rows)]
+
+
+def test_repeated_rows_are_one_node(spark, docs):
+    """Two near copies, each very often: one set a node, so one pair is compared."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(i % 3, text + (" end" if i % 2 else ""), "en") for i in range(4000)]
+    found = J.jaccard_join(docs(rows)).groupBy("doc_id", "component_id").count().collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(0, 0), (1, 0), (2, 0)} and sum(r["count"] for r in found) == 4000
+    links = spark.createDataFrame([(1, 2)], "a long, b long")
+    held = docs(rows).select("doc_id", "text")
+    nodes = J.arrow_map(held, J._nodes(5, 75, spark.sparkContext.broadcast(np.zeros(1 << J.CELL_BITS - 3, np.uint8))), J.NODES)
+    ids = [r.node for r in nodes.select("node").distinct().collect()]
+    pairs = spark.createDataFrame([(min(ids), max(ids))], links.schema)
+    assert J._sets_of(pairs, nodes, held, 5).count() == 2

@@ -65,3 +65,16 @@ def test_queries_equal_their_sql(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(found.columns)
     assert sorted(map(repr, map(tuple, found.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_one_row_of_each_group_stays(spark, docs):
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    other = "a passage of its own that no other row holds in any form at all"
+    rows = docs([(4, same, "en"), (4, same, "en"), (None, same, "en"), (None, same, "en"), (4, same.upper(), "en"),
+                 (9, same + " thirteen", "en"), (None, other, "en"), (None, other, "en"), (5, other[::-1], "en"),
+                 (5, "quite another text under the same id as the last one had", "en"), (6, None, "en"), (6, None, "en"),
+                 (7, "", "en")])
+    kept = sorted(((r.doc_id, r.text) for r in P.deduplicated(spark, rows, SF).collect()), key=repr)
+    assert [r for r in kept if r[0] == 4][0][1].lower() == same
+    assert kept == sorted([[r for r in kept if r[0] == 4][0], (None, other), (5, other[::-1]),
+                           (5, "quite another text under the same id as the last one had"), (6, None), (6, None), (7, "")], key=repr)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlight.llm import fertility, langid, licences, toxicity
 from ledgerlight.llm.common import table
@@ -241,3 +242,85 @@ def test_wrapped_notices(spark, docs):
     apart = textwrap.wrap(licences.TEMPLATES["GPL"][1], 60)
     parted = licences.scan(docs([(1, "\n\n".join(apart), "en")]), model)
     assert not any(r.confirmed for r in parted.collect())
+
+
+def test_letters_are_of_letter_categories():
+    for text in ("½ ² ① 12", "ⅷ", "", "123 _ - £", "́"):
+        assert not langid.has_letter(text)
+    for text in ("a", "12 ß", "漢", "ʰ", "1ª"):
+        assert langid.has_letter(text)
+
+
+def test_samples_hold_one_text_of_an_id_however_often_it_is_repeated(spark):
+    from ledgerlight.llm.sampling import first_of, texts_of
+    rows = spark.range(30000).select(
+        (F.col("id") % 3).alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("text "), F.col("id") % 2).alias("text"))
+    rows = rows.unionByName(spark.range(10, 60).select(F.col("id").alias("doc_id"), F.lit("de").alias("lang"), F.lit("Text").alias("text")))
+    chosen = first_of(rows, "lang", "doc_id", 20)
+    assert {(r["lang"], r["n"]) for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()} == {("en", 3), ("de", 20)}
+    found = texts_of(rows, chosen, ["doc_id", "lang"], "text").collect()
+    assert len(found) == 23 and len({(r["doc_id"], r["lang"]) for r in found}) == 23
+    again = texts_of(rows.repartition(5), first_of(rows.repartition(7), "lang", "doc_id", 20), ["doc_id", "lang"], "text").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+
+
+def test_bands_against_plain_sums(spark, docs):
+    """Bands and verdicts from the measures alone, and no jump at any number of texts."""
+    import math
+    import random
+
+    import numpy as np
+    rng = random.Random(3)
+    vocab = "the river runs past old stone walls while people carry bread and water home every single day".split()
+    texts = [" ".join(rng.choices(vocab, k=rng.randrange(12, 60))) for _ in range(45)]
+    texts += ["#$% x9q zz@@ " * 8 + str(i) for i in range(3)] + [texts[0]] * 5
+    table = docs([(i, t, "en" if i % 4 else None) for i, t in enumerate(texts)])
+    rows = [r.asDict() for r in fertility.measure(table, PIECES).collect()]
+    judged = {r["doc_id"]: r for r in fertility.quality(table, PIECES).collect()}
+
+    def failed(r):
+        return r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+
+    def kind(r, key):
+        return r[key], math.floor(math.log2(max(1, r["n_tokens"])))
+
+    def edges(key, name):
+        by = {}
+        for r in rows:
+            if not failed(r):
+                by.setdefault(kind(r, key), {})[r["digest"]] = r[name]
+        found = {}
+        for k, some in by.items():
+            values = sorted(some.values())
+            at = [values[max(0, math.ceil(q * len(values)) - 1)] for q in (0.25, 0.5, 0.75)]
+            found[k] = len(values), at[1], max((at[2] - at[0]) / 2, fertility.LEAST[name])
+        return found
+
+    def lean(own, wider):
+        n, mid, half = own or (0, 0.0, 0.0)
+        return [(n * a + fertility.LEAN * b) / (n + fertility.LEAN) for a, b in zip((mid, half), wider)]
+
+    near = {n: edges("band", n) for n in fertility.LEAST}
+    wide = {n: edges("script", n) for n in fertility.LEAST}
+    for r in rows:
+        place = {}
+        for name in fertility.LEAST:
+            own = fertility.OWN[name]
+            if name == "entropy":
+                own = own[0] * min(kind(r, "band")[1] + 0.5, own[1]), own[2]
+            mid, half = lean(near[name].get(kind(r, "band")), lean(wide[name].get(kind(r, "script")), own))
+            place[name] = float(np.clip((r[name] - mid) / half, -fertility.MOST, fertility.MOST))
+        total = place["chars_per_token"] + place["entropy"] - max(0.0, place["byte_share"])
+        assert abs(judged[r["doc_id"]]["place"] - total) < 1e-9
+        assert judged[r["doc_id"]]["kept"] == (not failed(r) and total >= fertility.EDGE)
+
+
+def test_one_text_more_does_not_flip_the_others(docs):
+    import random
+    rng = random.Random(4)
+    vocab = "the river runs past old stone walls while people carry bread and water home every single day".split()
+    texts = [(i, " ".join(rng.choices(vocab, k=40)), "en") for i in range(29)] + [(99, "#$% x9q zz@@ " * 12 + "x", "en")]
+    few = {r.doc_id: r.kept for r in fertility.quality(docs(texts), PIECES).collect()}
+    more = {r.doc_id: r.kept for r in fertility.quality(
+        docs(texts + [(200, " ".join(rng.choices(vocab, k=40)), "en")]), PIECES).collect()}
+    assert few == {i: more[i] for i in few} and all(few[i] for i in range(29))

@@ -22,7 +22,7 @@ def brute(rows, k=10, every=100):
 
 
 def result(df):
-    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
+    return sorted(((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect()), key=lambda r: r[:3])
 
 
 def vectors(spark, rows):
@@ -48,9 +48,26 @@ def test_odd_vectors_and_empty_table(spark):
     assert topk.top_k(vectors(spark, [])).collect() == []
 
 
-def test_too_large_components_raise(spark):
+def test_large_components_rank_exactly(spark):
+    rows = [(i, [float(10**6 * ((i * 7) % 13 - 6)), float(i % 5), 0.5]) for i in range(300)]
+    wide = [(i, [2.0**40 * (i % 7 - 3), 2.0**41 * (i % 4), float(i)]) for i in range(230)]
+    for some in (rows, wide):  # scores about and far beyond 64 bits
+        want = [(q, r, v, s if abs(s) < 1 << 63 else None) for q, r, v, s in brute(some)]
+        assert sorted(map(repr, result(topk.top_k(vectors(spark, some))))) == sorted(map(repr, want))
+
+
+def test_parts_and_slices_do_not_matter(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(900)]
+    want = result(topk.top_k(vectors(spark, rows)))
+    monkeypatch.setattr(topk, "LEAST_PART", 512)
+    monkeypatch.setattr(topk, "SLICE", 3)
+    assert want == result(topk.top_k(vectors(spark, rows))) == brute(rows)
+
+
+def test_beyond_all_bounds_raises(spark):
     with pytest.raises(Exception, match="too large"):
-        topk.top_k(vectors(spark, [(0, [1e30, 1.0]), (1, [1.0, 1.0])])).collect()
+        topk.top_k(vectors(spark, [(0, [1e16, 1.0]), (1, [1.0, 1.0])])).collect()
 
 
 @settings(max_examples=100, deadline=None)
