@@ -8,7 +8,7 @@ joined back by id.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlight.llm import fertility, jaccard_join, packing, toxicity
-from ledgerlight.llm.common import new_folder, table
+from ledgerlight.llm.common import new_folder, table, written
 from ledgerlight.llm.queries import BYTE_BPE, PIECES, piece_digests
 
 
@@ -32,12 +32,25 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Rows that repeat an id go only if none of them stands for its group. Rows with a null id stay.
+    A row is told by its id and a hash of all it holds. Rows without an id are copies like any, and
+    stay only where no row of their group has one; of a row that is repeated whole one stays. Texts
+    without words are no copies of anything.
     """
-    groups = jaccard_join.jaccard_join(docs)
-    gone = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays")
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    digest = F.xxhash64(*docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", digest.alias("digest"))
+    keyed = docs.withColumn("_row", row)
+    groups = jaccard_join.jaccard_join(keyed, doc_id="_row")
+    judged = groups.where("n_shingles > 0").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.first("component_id").alias("stays"))
+    judged = judged.where(~F.col("doc_id").eqNullSafe(F.col("stays")) | (F.col("n") > 1)).select(
+        F.xxhash64("doc_id").alias("_key"), F.col("doc_id").eqNullSafe(F.col("stays")).alias("again"))
+    judged = written(judged, "judged")
+    keyed = docs.withColumn("_key", F.xxhash64(row))
+    once = keyed.join(judged, "_key", "left_anti")
+    # rows repeated whole; a table of its own, so its size is known
+    again = written(judged.where("again").select("_key"), "repeated")
+    again = keyed.join(again, "_key").dropDuplicates(["_key"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
