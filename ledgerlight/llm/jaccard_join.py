@@ -52,7 +52,7 @@ HOT = 20
 #: Parts of a component's rows that join apart.
 SALTS = 32
 #: Combinations of a node before another that it is compared by.
-BEFORE = 32
+BEFORE = 16
 #: Top bits of its last key that tell how far a plain prefix reaches.
 END_BITS = 16
 #: Bits that preselect the documents whose whole sets are needed: so many for each, which lets one
@@ -398,17 +398,19 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, do
     rows = written(nodes.select("doc_id", "node", "n"), "rows")
     drop(nodes)
 
-    def with_reach(some, name):
-        """The rows with their nodes' sizes, how many shingles a node can share with another node
-        of these rows whose keys reach at least as far (all but its single keys that are not among
-        them), and at a combination the few before it."""
-        of_node = Window.partitionBy("node")
-        shared = F.sum(F.col("single").cast("int")).over(of_node)
-        before = F.collect_list(F.when(~F.col("single"), F.col("key"))).over(
-            of_node.orderBy("key").rowsBetween(-BEFORE, -1))
-        some = some.withColumn("shared", shared).withColumn("before", F.when(~F.col("single"), before))
-        return written(some.join(sizes, "node").withColumn(
-            "reach", F.col("n") - F.col("singles") + F.col("shared")).drop("shared"), name)
+    def with_reach(some, name, before=False):
+        """The rows with their nodes' sizes and how many shingles a node can share with another node
+        of these rows whose keys reach at least as far: all but its single keys that are not among
+        them. With ``before``, also the few combinations before each."""
+        counts = some.groupBy("node").agg(F.sum(F.col("single").cast("int")).alias("shared"))
+        reach = counts.join(sizes, "node").select(
+            "node", "n", "singles", "end", (F.col("n") - F.col("singles") + F.col("shared")).alias("reach"))
+        rows = some.join(reach, "node")
+        if before:
+            few = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1))
+            rows = rows.where("single").withColumn("before", F.lit(None).cast("array<bigint>")).unionByName(
+                rows.where("not single").withColumn("before", few))
+        return written(rows, name)
 
     def enough(pairs):
         """Distinct pairs of different nodes among rows (l, r) that share enough keys."""
@@ -431,7 +433,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, do
         met = ~F.col("single") & F.coalesce(F.arrays_overlap("l.before", "r.before"), F.lit(False))
         return enough(one.join(other.drop("single"), "key").where(apart).where(~met))
 
-    some = with_reach(keys, "shared")
+    some = with_reach(keys, "shared", before=every_link)
     if every_link:
         links = _verified(meeting(some, some, "l.node < r.node"), rows, docs, words, percent, "links")
         drop(some)
@@ -442,7 +444,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, do
         apart = keys.join(found.withColumnRenamed("component", "part"), "node", "left").withColumn(
             "part", F.coalesce("part", "node"))
         apart = _between(apart)
-        apart = with_reach(apart, "apart")
+        apart = with_reach(apart, "apart", before=True)
         drop(keys, found)
         pairs = meeting(apart.where("minor"), apart, "l.part <> r.part and (not r.minor or l.node < r.node)")
         far = _verified(pairs, rows, docs, words, percent, "far")

@@ -75,7 +75,7 @@ class ChunkTokenizer:
             self.known.update(zip(group, (ids[a:b] for a, b in zip([0, *cuts], cuts))))
         self.known.update(zip(odd, self._encode([" " + c for c in odd])))
 
-    def ids(self, texts):
+    def ids(self, texts, remembered=REMEMBERED):
         """(ids, offsets): the texts' token ids one after another, and where each text's begin.
 
         ``texts`` is an Arrow string array without nulls. Splitting and telling chunks apart
@@ -88,7 +88,7 @@ class ChunkTokenizer:
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
         chunks = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > remembered:
             self.known = {}
         self._learn([c for c in chunks if c not in self.known])
         # what takes no space before it: first chunks, and texts that are cut otherwise
@@ -131,7 +131,7 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return lengths + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _pieces(path, longest, end):
+def _pieces(path, longest, end, remembered):
     def run(batches):
         tokenizer = loaded(ChunkTokenizer, path)
         mark = array("I", [end]).tobytes()
@@ -139,7 +139,7 @@ def _pieces(path, longest, end):
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             _, offsets = utf8(texts)
             for first, stop in row_ranges(offsets, 4 << 20):
-                ids, at = tokenizer.ids(texts.slice(first, stop - first))
+                ids, at = tokenizer.ids(texts.slice(first, stop - first), remembered)
                 raw = ids.tobytes()
                 rows, starts, lengths, parts, totals = [], [], [], [], []
                 for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
@@ -162,17 +162,18 @@ def _pieces(path, longest, end):
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end: int = END,
-                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                   doc_id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids (little-endian 32-bit), doc_tokens,
     bucket (the length is 2 to its power), sequence_id, offset.
 
     A null or empty text has the end mark alone. Null and repeated ids and repeated rows each keep
     their pieces: a sequence's id comes from the piece's place, not from the document's id.
-    ``longest`` is a power of two. Further columns are ignored.
+    ``longest`` is a power of two; ``remembered`` trades a worker's memory for time and changes
+    nothing else. Further columns are ignored.
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
-    pieces = arrow_map(picked(docs, doc_id, text), _pieces(tokenizer, longest, end), PIECES)
+    pieces = arrow_map(picked(docs, doc_id, text), _pieces(tokenizer, longest, end, remembered), PIECES)
     return pieces.select(
         "*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
