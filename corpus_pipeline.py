@@ -55,7 +55,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document that is left."""
-    return piece_digests(packing.pack_documents(docs, BYTE_BPE))
+    # workers hold what earlier stages left of the executor's memory
+    return piece_digests(packing.pack_documents(docs, BYTE_BPE, remembered=200_000))
 
 
 STAGES = [
