@@ -121,8 +121,12 @@ def _passes(points: DataFrame, dims: int):
         new = np.array([found[r] for r in range(runs)])[:, None, :]
         return new if centres is None else np.concatenate([centres, new], 1)
 
-    def total(centres: np.ndarray):
-        """Weights and coordinate sums of each run's clusters, and each run's cost."""
+    def total(centres: np.ndarray, over: DataFrame = points, masked=None, settled: float | None = None):
+        """Weights and coordinate sums of each run's clusters, and each run's cost.
+
+        ``over`` may hold some of the points with a mask of the runs they are open in; only those
+        count. With ``settled``, only points with a greater margin count (see ``open_points``).
+        """
         runs, k, _ = centres.shape
 
         def run(batches):
@@ -132,18 +136,25 @@ def _passes(points: DataFrame, dims: int):
                 if not len(x):
                     continue
                 best, far = _nearest(centres, x)
+                counted = np.ones((runs, len(x)), bool)
+                if masked is not None:
+                    mask = batch.column(dims + 2).to_numpy()
+                    counted = np.array([(mask >> r & 1).astype(bool) for r in masked])
+                elif settled is not None:
+                    counted = _margin(centres, x) > settled
                 for r in range(runs):
-                    weights[r] += np.bincount(best[r], weight, k)
-                    cost[r] += np.bincount(best[r], weight * far[r], k)
+                    w = weight * counted[r]
+                    weights[r] += np.bincount(best[r], w, k)
+                    cost[r] += np.bincount(best[r], w * far[r], k)
                     for d in range(dims):
-                        held[r, :, d] += np.bincount(best[r], weight * x[:, d], k)
+                        held[r, :, d] += np.bincount(best[r], w * x[:, d], k)
             r, c = (a.ravel() for a in np.indices((runs, k)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(r), pa.array(c), pa.array(weights.ravel()), pa.array(cost.ravel()),
                  *(pa.array(held[..., d].ravel()) for d in range(dims))],
                 ["run", "cluster", "weight", "cost", *(f"s{d}" for d in range(dims))])
 
-        rows = points.mapInArrow(run, f"run long, cluster long, weight double, cost double, {sums}")
+        rows = over.mapInArrow(run, f"run long, cluster long, weight double, cost double, {sums}")
         weights, held, cost = np.zeros((runs, k)), np.zeros((runs, k, dims)), np.zeros(runs)
         for row in rows.groupBy("run", "cluster").sum("weight", "cost", *[f"s{d}" for d in range(dims)]).collect():
             weights[row[0], row[1]] = row[2]
@@ -151,34 +162,110 @@ def _passes(points: DataFrame, dims: int):
             held[row[0], row[1]] = row[4:]
         return weights, held, cost
 
-    return draw, total
+    def open_points(centres: np.ndarray, margin: float):
+        """The points whose two nearest centres differ by no more than ``margin`` in some run, with
+        a bit for each such run."""
+        def run(batches):
+            for batch in batches:
+                x, _, _ = columns(batch)
+                if not len(x):
+                    continue
+                near = _margin(centres, x) <= margin
+                mask = (near.astype(np.int64) << np.arange(len(centres))[:, None]).sum(0)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(mask)], [*batch.schema.names, "mask"]).filter(pa.array(mask != 0))
+
+        return points.mapInArrow(run, f"{start}, weight double, key long, mask long")
+
+    return draw, total, open_points
+
+
+def _margin(centres: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For every run and point, how much nearer the nearest centre is than the next."""
+    if centres.shape[1] < 2:
+        return np.full((len(centres), len(x)), np.inf)
+    far = np.sqrt(((x[None, :, None, :] - centres[:, None, :, :]) ** 2).sum(-1))
+    two = np.partition(far, 1, axis=-1)
+    return two[..., 1] - two[..., 0]
+
+
+#: How many times the last movement of the centres a phase of ``settle`` allows for.
+SLACK = 4.0
+#: How many times slower the centres must have become for a new phase before that is used up.
+SLOWER = 8.0
+
+
+def settle(centres: np.ndarray, total, open_points) -> np.ndarray:
+    """Moves each run's centres to the means of their points until that changes nothing.
+
+    A run also ends when it comes back to centres it had before: rounded means can alternate. A
+    point is settled while the centres have moved less than half the margin between its two
+    nearest; settled points are summed up once, and passes read the open ones until some run has
+    moved further than the phase allows, or all move much less. Then the next phase begins with all
+    points, of which ever fewer are open as the centres slow down.
+    """
+    centres = centres.copy()
+    active = list(range(len(centres)))
+    seen = [{run.tobytes()} for run in centres]
+    allowed, moved_by, over, fixed = 0.0, None, None, None
+    try:
+        while active:
+            here = centres[active]
+            if over is None:
+                weights, held, _ = total(here)
+            else:
+                weights, held, _ = total(here, over, [phase.index(r) for r in active])
+                at = [phase.index(r) for r in active]
+                weights, held = weights + fixed[0][at], held + fixed[1][at]
+            full = weights > 0  # a cluster without points stays where it is
+            moved = np.where(full[..., None], held / np.where(full, weights, 1)[..., None], here)
+            moved = np.round(moved, 9) + 0.0
+            step = np.sqrt(((moved - here) ** 2).sum(-1)).max(-1)
+            still = []
+            for r, new, far in zip(active, moved, step):
+                if moved_by is not None:
+                    moved_by[r] += far
+                centres[r] = new
+                if new.tobytes() not in seen[r]:
+                    seen[r].add(new.tobytes())
+                    still.append(r)
+            active = still
+            if not active:
+                break
+            slack = SLACK * float(step.max())
+            if over is None or max(moved_by[r] for r in active) > allowed or slack * SLOWER < allowed:
+                if over is not None:
+                    over.unpersist()
+                phase, allowed = list(active), slack
+                moved_by = dict.fromkeys(phase, 0.0)
+                margin = 2 * allowed + 1e-6  # well above the last bits of a distance
+                over = open_points(centres[phase], margin).persist(StorageLevel.MEMORY_AND_DISK)
+                fixed = total(centres[phase], settled=margin)[:2]
+    finally:
+        if over is not None:
+            over.unpersist()
+    return centres
 
 
 def fit_clusters(points: DataFrame, scaler: Scaler, weight: str, k: int = CLUSTERS,
                  starts: int = STARTS, seed: int = SEED) -> list[list[float]]:
     """Centres of the cheapest of several k-means runs, in ascending order.
 
-    All runs share every pass over the points, and go on until no centre moves. Starts are drawn
-    by hashes of the points, and centres are rounded to nine digits, far coarser than the last
-    bits of a sum that depend on its order: how the points are dealt to tasks does not matter.
+    All runs share every pass over the points, and go on until no centre moves (``settle``). Starts
+    are drawn by hashes of the points, and centres are rounded to nine digits, far coarser than the
+    last bits of a sum that depend on its order: how the points are dealt to tasks does not matter.
     """
     names = [f"v{d}" for d in range(len(FEATURES))]
     scaled = points.select(*[F.round(c, 9).alias(n) for c, n in zip(scaler.columns(), names)],
                            F.col(weight).cast("double").alias("weight"))
     scaled = scaled.withColumn("key", F.xxhash64(*names)).persist(StorageLevel.MEMORY_AND_DISK)
-    draw, total = _passes(scaled, len(names))
+    draw, total, open_points = _passes(scaled, len(names))
     try:
         centres = None
         for _ in range(k):
             centres = draw(centres, starts, seed)
-        while True:
-            weights, held, cost = total(centres)
-            full = weights > 0  # a cluster without points stays where it is
-            moved = np.where(full[..., None], held / np.where(full, weights, 1)[..., None], centres)
-            moved = np.round(moved, 9) + 0.0
-            if np.array_equal(moved, centres):
-                break
-            centres = moved
+        centres = settle(centres, total, open_points)
+        _, _, cost = total(centres)
     finally:
         scaled.unpersist()
     return min((round(float(c), 6), sorted(run.tolist())) for c, run in zip(cost, centres))[1]

@@ -136,3 +136,69 @@ def test_missing_feature_gets_the_defaults(rows, model):
 def test_too_few_rows(rows):
     with pytest.raises(ml.NotEnoughRows):
         ml.fit_priority_model(rows.limit(9))
+
+
+def _plain_total(x):
+    """Sums over points in memory, as a pass returns them."""
+    def total(centres, over=None, masked=None, settled=None):
+        best, far = ml._nearest(centres, x)
+        counted = np.ones(best.shape, bool)
+        if masked is not None:
+            counted = over.near[masked]
+        elif settled is not None:
+            counted = ml._margin(centres, x) > settled
+        runs, k, dims = centres.shape
+        weights, held = np.zeros((runs, k)), np.zeros((runs, k, dims))
+        for r in range(runs):
+            for c in range(k):
+                own = counted[r] & (best[r] == c)
+                weights[r, c], held[r, c] = own.sum(), x[own].sum(0)
+        return weights, held, (far * counted).sum(1)
+    return total
+
+
+class _Open:
+    def __init__(self, near):
+        self.near = near
+
+    def persist(self, level):
+        return self
+
+    def unpersist(self):
+        return self
+
+
+def test_settled_points_change_nothing():
+    random = np.random.default_rng(3)
+    x = np.concatenate([random.normal(m, 1.0, (300, 3)) for m in (0, 2, 5)])
+    read = []
+
+    def open_points(centres, margin):
+        near = ml._margin(centres, x) <= margin
+        read.append(near.any(0).mean())
+        return _Open(near)
+
+    starts = x[random.integers(0, len(x), (4, 4))]
+    found = ml.settle(starts, _plain_total(x), open_points)
+    for start, end in zip(starts, found):
+        here = start
+        while True:
+            best = ((x[:, None] - here[None]) ** 2).sum(-1).argmin(1)
+            moved = np.array([np.round(x[best == c].mean(0), 9) if (best == c).any() else here[c] for c in range(4)])
+            if np.allclose(moved, here, atol=1e-9):
+                break
+            here = moved
+        assert np.allclose(here, end, atol=1e-8)
+    assert len(read) > 1 and min(read) < 0.5  # later phases leave most points unread
+
+
+def test_alternating_sums_end():
+    calls = []
+
+    def total(centres, over=None, masked=None, settled=None):
+        calls.append(1)
+        assert len(calls) < 100
+        side = 1.0 if len(calls) % 2 else 2.0
+        return np.ones(centres.shape[:2]), np.full(centres.shape, side), np.zeros(len(centres))
+
+    ml.settle(np.zeros((2, 3, 2)), total, lambda centres, margin: _Open(None))
