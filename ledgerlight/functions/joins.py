@@ -32,6 +32,10 @@ def best_rows_per(rows: DataFrame, group: Sequence[str], order: Sequence[Column]
     return rows.where(F.col("_place") <= limit).drop("_place")
 
 
+#: Rows of a list that one task may rank.
+SHORT = 100_000
+
+
 def attach_to_best(rows: DataFrame, details: DataFrame, on: Sequence[str],
                    order: Sequence[Column], limit: int | None,
                    details_order: Sequence[Column] = ()) -> DataFrame:
@@ -40,7 +44,7 @@ def attach_to_best(rows: DataFrame, details: DataFrame, on: Sequence[str],
     ``order`` uses columns of ``rows`` alone and a left join drops none of them, so the cut
     comes first and a key with very many details does not multiply the other rows. The limit
     bounds what Spark estimates for the cut: a short list is broadcast to the details, which are
-    then not shuffled, a long one is joined. ``order`` must be total up to identical rows.
+    then not shuffled, a long one is joined and ranked by ranges alone. ``order`` must be total up to identical rows.
 
     The cut is used twice, to find details and to keep rows without any. It ends in an exchange
     and both uses need the same columns of it, so Spark runs it once.
@@ -48,6 +52,9 @@ def attach_to_best(rows: DataFrame, details: DataFrame, on: Sequence[str],
     on = list(on)
     if limit is None:
         return fan_out_left_join(rows, details, on).orderBy(*order, *details_order)
+    if limit > SHORT:
+        best = rows.orderBy(*order).limit(limit)
+        return fan_out_left_join(best, details, on).orderBy(*order, *details_order).limit(limit)
     extra = [c for c in details.columns if c not in on]
     place = F.rank().over(Window.orderBy(*order))
     best = rows.orderBy(*order).limit(limit).withColumn("_place", place).repartition(1)
@@ -101,16 +108,37 @@ def fan_out_left_join(rows: DataFrame, details: DataFrame, on: str | Sequence[st
     """``rows LEFT JOIN details ON on`` where one key may hold very many of the details.
 
     Adaptive execution cannot split the right side of a left join. So the details of a key are
-    dealt to as many parts as it takes to keep ``part_rows`` in each, and its rows are repeated
-    for every part that has details. Keys of one part are not listed anywhere, and how the list
-    of the others travels is left to Spark's size check.
+    dealt to as many parts as it takes to keep ``part_rows`` in each (``dealt_details``), and its rows
+    are repeated for every part that has details. Keys of one part are not listed anywhere, and how
+    the list of the others travels is left to Spark's size check.
     """
     on = [on] if isinstance(on, str) else list(on)
+    spread = dealt_details(details, on, part_rows)
+    filled = spread.where("_hot").select(*on, "_part").distinct()
+    repeated = rows.join(filled, on, "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
+    joined = repeated.join(spread.drop("_hot"), [*on, "_part"], "left")
+    each = F.explode(F.array_repeat(F.lit(True), F.coalesce("_copies", F.lit(1))))
+    return joined.withColumn("_each", each).drop("_part", "_copies", "_each")
+
+
+def dealt_details(details: DataFrame, on: Sequence[str], part_rows: int) -> DataFrame:
+    """The details with _hot (their key has more than a part), _part and _copies.
+
+    Equal rows of a hot key are one row with the number of copies, cut at ``part_rows``; the pieces
+    go round the parts one after another, other rows by their hash. All of it follows from the rows
+    alone, so a task that runs again deals alike.
+    """
     parts = F.ceil(F.col("_n") / part_rows).cast("int")
     large = details.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > part_rows).select(
         *on, parts.alias("_parts"))
-    dealt = F.pmod(F.xxhash64(*details.columns), F.coalesce("_parts", F.lit(1))).cast("int")
-    spread = details.join(large, on, "left").withColumn("_part", dealt)
-    filled = spread.where("_parts IS NOT NULL").select(*on, "_part").distinct()
-    repeated = rows.join(filled, on, "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
-    return repeated.join(spread.drop("_parts"), [*on, "_part"], "left").drop("_part")
+    marked = details.join(large, on, "left")
+    cold = marked.where("_parts IS NULL").select(
+        *details.columns, F.lit(False).alias("_hot"), F.lit(0).alias("_part"), F.lit(1).alias("_copies"))
+    hot = marked.where("_parts IS NOT NULL").groupBy(*details.columns, "_parts").agg(F.count("*").alias("_n"))
+    pieces = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / part_rows) - 1)
+    hot = hot.withColumn("_piece", F.explode(pieces))
+    hot = hot.select(
+        *details.columns, F.lit(True).alias("_hot"),
+        F.pmod(F.xxhash64(*details.columns) + F.col("_piece"), F.col("_parts")).cast("int").alias("_part"),
+        F.least(F.lit(part_rows), F.col("_n") - F.col("_piece") * part_rows).cast("int").alias("_copies"))
+    return cold.unionByName(hot)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import numeric as N, rules as R
 from ledgerlight.functions.joins import best_rows, best_rows_per
+from ledgerlight.functions.quantiles import grouped_quantiles
 
 HISTOGRAM_BINS = 30
 
@@ -131,18 +132,26 @@ def indicator_stats(sectors: DataFrame, columns: Mapping[str, str] = R.SECTOR_CO
                     key: str = "setor") -> DataFrame:
     """Mean, median, sample deviation, maximum and outer deciles over the listed sectors.
 
-    One value per sector and indicator: ``percentile`` holds a sector list, not a table.
+    Quantiles are found by counting (``grouped_quantiles``); no task holds an indicator's values.
     """
     value = F.col("valor")
-    outer = F.percentile(value, F.array(F.lit(0.1), F.lit(0.9)))
-    return _long(sectors, columns, key).groupBy("indicador").agg(
+    values = _long(sectors, columns, key)
+    found = _quantile_table(values, {"mediana": 0.5, "p10": 0.1, "p90": 0.9})
+    means = values.groupBy("indicador").agg(
         F.avg(value).alias("media"),
-        F.median(value).alias("mediana"),
         F.stddev_samp(value).alias("desvio_padrao"),
         F.max(value).alias("maximo"),
-        outer.getItem(0).alias("p10"),
-        outer.getItem(1).alias("p90"),
     )
+    return means.join(F.broadcast(found), "indicador", "left").select(  # a row for each given column
+        "indicador", "media", "mediana", "desvio_padrao", "maximo", "p10", "p90")
+
+
+def _quantile_table(values: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """indicador and a column for each share; one row for each indicator with a value."""
+    found = grouped_quantiles(values, "indicador", "valor", list(shares.values()))
+    rows = [(name, *some) for name, some in sorted(found.items())]
+    return values.sparkSession.createDataFrame(
+        rows, ", ".join(["indicador string", *(f"{c} double" for c in shares)]))
 
 
 def indicator_histogram(sectors: DataFrame, columns: Mapping[str, str] = R.SECTOR_COLUMNS,
@@ -170,16 +179,15 @@ def indicator_box(sectors: DataFrame, columns: Mapping[str, str] = R.SECTOR_COLU
                   key: str = "setor") -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers and number of outliers per indicator."""
     values = _long(sectors, columns, key).withColumn("valor", _or_zero(F.col("valor")))
-    quarters = F.percentile("valor", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    q = F.col("q")
-    boxes = values.groupBy("indicador").agg(quarters.alias("q")).select(
-        "indicador", q[0].alias("q1"), q[1].alias("mediana"), q[2].alias("q3"),
-        (q[0] - (q[2] - q[0]) * 1.5).alias("cerca_inferior"),
-        (q[2] + (q[2] - q[0]) * 1.5).alias("cerca_superior"),
+    q1, q3 = F.col("q1"), F.col("q3")
+    boxes = _quantile_table(values, {"q1": 0.25, "mediana": 0.5, "q3": 0.75}).select(
+        "indicador", "q1", "mediana", "q3",
+        (q1 - (q3 - q1) * 1.5).alias("cerca_inferior"),
+        (q3 + (q3 - q1) * 1.5).alias("cerca_superior"),
     )
     inside = F.col("valor").between(F.col("cerca_inferior"), F.col("cerca_superior"))
     names = ["indicador", "q1", "mediana", "q3", "cerca_inferior", "cerca_superior"]
-    return values.join(boxes, "indicador").groupBy(*names).agg(
+    return values.join(F.broadcast(boxes), "indicador").groupBy(*names).agg(
         F.min(F.when(inside, F.col("valor"))).alias("minimo"),
         F.max(F.when(inside, F.col("valor"))).alias("maximo"),
         F.count_if(~inside).alias("atipicos"),

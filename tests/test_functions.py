@@ -204,3 +204,50 @@ def test_group_cuts_reach_the_map_side(spark):
         plan = cut.select("g")._jdf.queryExecution().executedPlan().toString()
         before = plan[plan.index("Exchange hashpartitioning"):]
         assert "WindowGroupLimit" in before
+
+
+def test_grouped_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from ledgerlight.functions.quantiles import grouped_quantiles
+    random = np.random.default_rng(2)
+    groups = {"a": random.normal(size=5000), "b": np.array([3.0]), "c": np.repeat([1.0, 2.0, 1e300], 700),
+              "d": random.integers(-5, 6, 999).astype(float), "e": 1e-12 * random.normal(size=400) + 7}
+    rows = [(g, float(v)) for g, some in groups.items() for v in some] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = grouped_quantiles(df, "k", "v", shares)
+    assert set(found) == set(groups)
+    spark_own = {r[0]: r[1] for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares)))).collect()}
+    for g, values in groups.items():
+        assert np.allclose(found[g], np.quantile(values, shares), rtol=1e-12)
+        assert found[g] == list(spark_own[g])
+    assert grouped_quantiles(df.where("k = 'none'"), "k", "v", [0.5]) == {}
+
+
+def test_equal_details_of_a_hot_key_spread_evenly(spark):
+    from ledgerlight.functions.joins import dealt_details, fan_out_left_join
+    details = spark.range(20_000).select(F.lit("hot").alias("k"), F.lit(1).alias("x"))
+    details = details.unionByName(spark.createDataFrame([("cold", 2), ("cold", 3), (None, 4)], "k string, x int"))
+    parts = {r[0]: r[1] for r in dealt_details(details, ["k"], 1000).where("_hot").groupBy("_part").agg(
+        F.sum("_copies")).collect()}
+    assert parts == {p: 1000 for p in range(20)}
+    rows = spark.createDataFrame([("hot", 1), ("cold", 2), ("other", 3), (None, 4)], "k string, y int")
+    found = fan_out_left_join(rows, details, "k", 1000)
+    want = rows.join(details, "k", "left")
+    assert found.columns == want.columns
+    assert sorted(map(repr, found.groupBy(*found.columns).count().collect())) == sorted(
+        map(repr, want.groupBy(*want.columns).count().collect()))
+
+
+def test_long_lists_are_not_ranked_in_one_task(spark, monkeypatch):
+    from ledgerlight.functions import joins
+    rows = spark.range(50).select("id", (F.col("id") % 7).alias("k"))
+    details = spark.range(30).select((F.col("id") % 5).alias("k"), F.col("id").alias("d"))
+    args = (rows, details, ["k"], [F.desc("k"), F.asc("id")], 40, [F.asc("d")])
+    short = joins.attach_to_best(*args).collect()
+    monkeypatch.setattr(joins, "SHORT", 10)
+    long = joins.attach_to_best(*args)
+    assert [tuple(r) for r in long.select(*short[0].asDict()).collect()] == [tuple(r) for r in short]
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
