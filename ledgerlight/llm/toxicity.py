@@ -1,15 +1,17 @@
 """Toxicity by a weighted grammar of small finite-state transducers.
 
-Words become symbols: insult, threat, target, negation, reported speech, or none. Three window
-transducers run over a clause side by side with the one that accepts insults and threats; their
-states at a match say whether a target stands near, whether a negation precedes, whether the
-clause reports what another said. Their composition emits one label for each match, and a
-document is scored by the matched clauses it holds: a logistic weight for each label, learned
-from labelled documents. A word alone, outside what the grammar accepts, weighs nothing.
+Words become symbols: insult, threat, target, negation, reported speech, intent, death, or none.
+Window transducers remember a target, a negation, reported speech and an intent within a clause.
+The grammar is their product with the machine that accepts a match: an insult, a threatening verb,
+or a phrase of an intent or wish, a target and a word of death, such as "hope you die", where no
+word is a threat alone. Each match emits one label, made of its kind and the states of the product,
+and a document is scored by its matched clauses: a logistic weight for each label, learned from
+labelled documents. A word outside what the grammar accepts weighs nothing.
 
 Insults in general use are listed. Further ones are learned as words and as stems: those that
 stand in toxic documents, in many different contexts, and next to never in others. Contexts are
-counted instead of documents so that copies of one text teach nothing.
+counted instead of documents so that copies of one text teach nothing. A stem needs several words
+of its own; words that clean documents hold too are spared, in learning it and in reading.
 """
 
 import math
@@ -29,12 +31,19 @@ SAMPLE = 4000
 #: Twice the log-likelihood ratio a learned term must reach, and its least share in toxic text.
 EVIDENCE = 24.0
 PRECISION = 0.9
+#: The same for the contexts of a stem, whose matches have a weight of their own.
+STEM_PRECISION = 0.8
 STEMS = (4, 5, 6)
+#: Words of its own that a stem needs, and clean documents that spare a word from stems.
+FAMILY = 3
+SPARED = 2
 REMEMBERED = 200_000
 THRESHOLD = 0.3
 
-NONE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, DEATH = range(8)
 CLAUSE_END = 8
+#: Mark an insult that was learned as a word, or by its stem.
+LEARNED, BY_STEM = 16, 32
 #: Fixed word lists of the grammar, English, German, French, Spanish.
 WORDS = {
     INSULT: """idiot idiots moron morons stupid scum loser losers trash worthless pathetic clown
@@ -42,10 +51,18 @@ WORDS = {
         idiotisch dummkopf abschaum versager wertlos erbärmlich
         idiote imbécile abruti ordure minable
         idiota imbécil estúpido estúpida escoria inútil""",
-    THREAT: """kill hurt destroy murder strangle die
-        töten umbringen vernichten sterben
-        tuer détruire crever mourir
-        matar destruir matarte morir""",
+    THREAT: """kill hurt destroy murder strangle
+        töten umbringen vernichten
+        tuer détruire
+        matar destruir matarte""",
+    INTENT: """will i'll we'll gonna going shall should must deserve deserves hope wish
+        werde werden wirst sollst sollt hoffe wünsche verdienst
+        vais allons va devrais mérites espère souhaite
+        voy vamos vas debes mereces espero ojalá""",
+    DEATH: """die dies dead suffer bleed rot
+        sterben stirbst tot leiden verrecken
+        mourir meures crever crèves souffrir
+        morir mueras muerto muerta sufras""",
     TARGET: """you your yours yourself he she they him her them his their
         du dich dir dein deine ihr euch euer sie
         tu toi te vous vos votre tes
@@ -60,7 +77,7 @@ WORDS = {
         dijo dice escribió llamó""",
 }
 FIXED = {w: symbol for symbol, words in WORDS.items() for w in words.split()}
-_EDGES = "\"'`.,;:!?()[]{}<>*_-«»“”„…¡¿"
+_EDGES = "\"'`.,;:!?()[]{}<>*_-«»“”„…¡¿#$%&|~^+=/\\@"
 _ENDS = ".!?;:"
 
 
@@ -75,36 +92,58 @@ class Nearby:
         return self.reach if symbol == self.trigger else max(0, state - gap)
 
 
-GRAMMAR = (Nearby(TARGET, 4), Nearby(NEGATION, 3), Nearby(REPORT, 1 << 30))
-KINDS = (INSULT, THREAT)
-#: One label for each kind of match and each outcome of the three windows.
-LABELS = len(KINDS) * 2 ** len(GRAMMAR)
+class Product:
+    """Transducers that read the same word side by side; a state is the tuple of their states."""
+
+    def __init__(self, *machines):
+        self.machines = machines
+        self.start = (0,) * len(machines)
+
+    def step(self, state, symbol, gap):
+        return tuple(m.step(s, symbol, gap) for m, s in zip(self.machines, state))
+
+    @staticmethod
+    def outcome(state):
+        """A bit for each machine that remembers its trigger."""
+        return sum((s > 0) << i for i, s in enumerate(state))
+
+
+GRAMMAR = Product(Nearby(TARGET, 4), Nearby(NEGATION, 3), Nearby(REPORT, 1 << 30), Nearby(INTENT, 5))
+HAS_TARGET, HAS_INTENT = 1, 8
+#: What a match is: a listed insult, a threat, a learned insult, an insult by its stem.
+KINDS = {INSULT: 0, THREAT: 1, DEATH: 1, LEARNED | INSULT: 2, BY_STEM | INSULT: 3}
+#: Symbols without which nothing matches.
+STARTERS = (INSULT, THREAT, DEATH)
+#: One label for each kind of match and each outcome of the windows.
+OUTCOMES = 2 ** len(GRAMMAR.machines)
+LABELS = 4 * OUTCOMES
 
 
 def matches(symbols: np.ndarray) -> list[list[int]]:
     """Labels emitted by each clause that has any. ``symbols``: one for each word."""
-    out, clause, states, at = [], [], [0] * len(GRAMMAR), 0
+    out, clause, state, at = [], [], GRAMMAR.start, 0
     open_target = []  # matches still waiting for a target behind them
     for k in np.flatnonzero(symbols).tolist():
         symbol = int(symbols[k])
         kind, gap = symbol & 7, k - at
         at = k
         if kind:
-            states = [t.step(s, kind, gap) for t, s in zip(GRAMMAR, states)]
+            state = GRAMMAR.step(state, kind, gap)
             if kind == TARGET:
                 for i, where in open_target:
-                    if k - where <= GRAMMAR[0].reach:
-                        clause[i] |= 1
+                    if k - where <= GRAMMAR.machines[0].reach:
+                        clause[i] |= HAS_TARGET
                 open_target = []
-            elif kind in KINDS:
-                seen = sum((s > 0) << i for i, s in enumerate(states))
-                if not seen & 1:
-                    open_target.append((len(clause), k))
-                clause.append(KINDS.index(kind) * 2 ** len(GRAMMAR) + seen)
+            elif kind in STARTERS:
+                seen = GRAMMAR.outcome(state)
+                if kind != DEATH or seen & HAS_TARGET and seen & HAS_INTENT:
+                    if not seen & HAS_TARGET:
+                        open_target.append((len(clause), k))
+                    clause.append(KINDS[symbol & ~CLAUSE_END] * OUTCOMES + seen)
         if symbol & CLAUSE_END:
             if clause:
                 out.append(clause)
-            clause, states, open_target = [], [0] * len(GRAMMAR), []
+            clause, state, open_target = [], GRAMMAR.start, []
     if clause:
         out.append(clause)
     return out
@@ -124,15 +163,16 @@ def features(clauses: list[list[int]]) -> np.ndarray:
 class Reader(dict):
     """The symbol of each raw word: of its listed or learned form, plus the clause's end."""
 
-    def __init__(self, words, stems):
+    def __init__(self, words, stems, spared=()):
         super().__init__()
-        self.words, self.stems = FIXED | dict.fromkeys(words, INSULT), stems
+        self.words, self.stems, self.spared = dict.fromkeys(words, LEARNED | INSULT) | FIXED, stems, spared
 
     def __missing__(self, raw):
         word = raw.strip(_EDGES)
         symbol = self.words.get(word, NONE)
-        if not symbol and self.stems and any(word[:n] in self.stems for n in STEMS if len(word) > n):
-            symbol = INSULT
+        if not symbol and self.stems and word not in self.spared and any(
+                word[:n] in self.stems for n in STEMS if len(word) > n):
+            symbol = BY_STEM | INSULT
         if raw[-1] in _ENDS:
             symbol |= CLAUSE_END
         if len(self) > REMEMBERED:
@@ -157,46 +197,76 @@ def _contexts(text):
     return zip([""] + words[:-1], words, words[1:] + [""])
 
 
-def learn_terms(texts: list[str], toxic: list[int]) -> tuple[set[str], set[str]]:
-    """Words and stems of toxic text. Two passes: by documents, then by contexts."""
-    counts = [Counter(), Counter()]
-    for text, y in zip(texts, toxic):
-        counts[y].update({t for _, w, _ in _contexts(text) if w for t in _terms(w)})
+def learn_terms(texts: list[str], toxic: list[int]) -> tuple[set[str], set[str], set[str]]:
+    """Words and stems of toxic text, and the words of these stems that are spared.
+
+    Three passes: words by documents, terms by documents, likely terms by contexts.
+    """
     n = [max(1, len(toxic) - sum(toxic)), max(1, sum(toxic))]
+
+    def is_likely(clean, bad):
+        return bad / n[1] * (1 - PRECISION) >= clean / n[0] * PRECISION
+
+    words = [Counter(), Counter()]
+    held = [{w for _, w, _ in _contexts(text) if w} for text in texts]
+    for own, y in zip(held, toxic):
+        words[y].update(own)
+    spared = {w for w, c in words[0].items() if c >= SPARED and not is_likely(c, words[1][w])}
+    counts, family = [Counter(), Counter()], Counter()
+    for own, y in zip(held, toxic):
+        counts[y].update({t for w in own for t in _terms(w) if w not in spared})
+    for w in words[1].keys() - spared:
+        family.update(_terms(w))
     likely = {t for t, c in counts[1].items()
-              if c >= 4 and c / n[1] * (1 - PRECISION) >= counts[0][t] / n[0] * PRECISION}
+              if c >= 4 and is_likely(counts[0][t], c) and (not t.endswith("*") or family[t] >= FAMILY)}
     seen = {t: (set(), set()) for t in likely}
     for text, y in zip(texts, toxic):
         for before, w, after in _contexts(text):
-            for t in _terms(w) if w else ():
+            for t in _terms(w) if w and w not in spared else ():
                 if t in seen:
                     seen[t][y].add(hash((before, after)))
     size = [sum(len(x.split()) for x, y in zip(texts, toxic) if y == k) + 1 for k in (0, 1)]
     even = size[1] / sum(size)
 
-    def ratio(clean, bad):
+    def ratio(term, clean, bad):
         share = bad / (bad + clean)
-        if share <= even or share < PRECISION:
+        if share <= even or share < (STEM_PRECISION if term.endswith("*") else PRECISION):
             return 0.0
         return 2 * (bad * math.log(share / even)
                     + (clean * math.log((1 - share) / (1 - even)) if clean else 0))
 
-    found = {t for t, (clean, bad) in seen.items() if ratio(len(clean), len(bad)) >= EVIDENCE}
-    return ({t for t in found if not t.endswith("*")}, {t[:-1] for t in found if t.endswith("*")})
+    found = {t for t, (clean, bad) in seen.items() if ratio(t, len(clean), len(bad)) >= EVIDENCE}
+    stems = {t[:-1] for t in found if t.endswith("*")}
+    return ({t for t in found if not t.endswith("*")}, stems,
+            {w for w in spared if any(w[:k] in stems for k in STEMS if len(w) > k)})
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Logistic weights, the bias last, by Newton's method with a ridge on all but the bias."""
+    """Logistic weights, the bias last, with a ridge on all but the bias.
+
+    Newton's method; a step is halved until the loss falls by enough, so that collinear labels and
+    samples that the labels tell apart whole settle too.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + (penalty * w) @ w / 2
+
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -700, 700)))
         slope = x.T @ (p - y) + penalty * w
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), slope)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        fall = slope @ step
+        size = 1.0
+        while (then := loss(w - size * step)) > now - size * fall / 4 and size > 1e-9:
+            size /= 2
+        w, now = w - size * step, then
+        if fall < 1e-10:
             break
     return w
 
@@ -212,24 +282,24 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = texts_of(rows, first_of(marked, "toxic", "doc_id", sample), ["doc_id"], "text").collect()
     rows = sorted({(r.text, r.toxic) for r in rows})
     texts, y = [t for t, _ in rows], [int(k) for _, k in rows]
-    words, stems = learn_terms(texts, y)
-    reader = Reader(words, stems)
+    words, stems, spared = learn_terms(texts, y)
+    reader = Reader(words, stems, spared)
     x = np.array([features(matches(reader.symbols(t))) for t in texts]).reshape(-1, LABELS + 2)
     weights = fit_weights(x, np.array(y, float)) if texts else np.append(np.zeros(LABELS + 2), -30.0)
-    return {"words": sorted(words), "stems": sorted(stems), "weights": weights}
+    return {"words": sorted(words), "stems": sorted(stems), "spared": sorted(spared), "weights": weights}
 
 
 def _score(held):
     def run(batches):
         model = held.value
-        reader = Reader(model["words"], set(model["stems"]))
+        reader = Reader(model["words"], set(model["stems"]), set(model["spared"]))
         weights = model["weights"]
         for batch in batches:
             for first, texts in text_blocks(batch):
                 scores, clauses = [], []
                 for text in texts:
                     symbols = reader.symbols(text)
-                    found = matches(symbols) if np.isin(symbols & 7, KINDS).any() else []
+                    found = matches(symbols) if np.isin(symbols & 7, STARTERS).any() else []
                     total = features(found) @ weights[:-1] + weights[-1]
                     scores.append(float(1 / (1 + np.exp(-np.clip(total, -30, 30)))))
                     clauses.append(len(found))
@@ -246,7 +316,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     score is next to 0. Null and repeated ids and repeated rows each keep their row. Further
     columns are ignored.
     """
-    # some thousand learned words and stems at most: they come from a bounded sample
+    # some thousand learned words and stems at most, and spared words: they come from a bounded sample
     held = docs.sparkSession.sparkContext.broadcast(model)
     scored = arrow_map(picked(docs, doc_id, text), _score(held), "doc_id *, score double, clauses int")
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn(

@@ -160,8 +160,9 @@ def test_toxicity_of_held_out_rows(spark):
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
     found = [r for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect() if r.held_out]
-    pairs = [(r.predicted, truth[r.doc_id]) for r in found if r.doc_id in truth and lang[r.doc_id] == "en"]
-    assert np.mean([p for p, t in pairs if t]) > 0.6 and np.mean([p for p, t in pairs if not t]) < 0.02
+    for spoken in "en", "de", "fr", "es":
+        pairs = [(r.predicted, truth[r.doc_id]) for r in found if r.doc_id in truth and lang[r.doc_id] == spoken]
+        assert np.mean([p for p, t in pairs if t]) > 0.8 and np.mean([p for p, t in pairs if not t]) < 0.02
 
 
 def test_grammar():
@@ -174,7 +175,13 @@ def test_grammar():
     assert labels("he is not an idiot")[0][0] & 2 and labels("she said what an idiot")[0][0] & 4
     # windows end with the clause
     assert labels("never mind. an idiot") == [[0]] and labels("you. idiot\nyou") == [[0]]
-    assert labels("I will kill you") == [[8 + 1]]
+    threat = toxicity.OUTCOMES
+    assert labels("they kill") == [[threat + toxicity.HAS_TARGET]]
+    assert labels("I will kill you") == [[threat + toxicity.HAS_TARGET + toxicity.HAS_INTENT]]
+    # a word of death is a threat in its phrase alone
+    assert labels("I hope that you die") == labels("ich hoffe du musst sterben") == labels("I will kill you")
+    assert labels("die Katze") == labels("you may die") == labels("I hope. you die") == []
+    assert labels("I hope you never die")[0][0] & 2
     assert labels("you idiot and moron! what scum") == [[1, 1], [0]]
 
 
@@ -190,10 +197,43 @@ def test_learned_terms_need_contexts():
         y.append(i % 2)
     texts += ["copied once and again uniqueword here"] * 60
     y += [1] * 60
-    words, stems = toxicity.learn_terms(texts, y)
+    words, stems, _ = toxicity.learn_terms(texts, y)
     assert "blarg" in stems and "uniqueword" not in words and "uniqu" not in stems
 
 
+def test_words_of_clean_text_are_spared():
+    rng = random.Random(3)
+    texts, y = [], []
+    for i in range(160):
+        words = [f"c{rng.randrange(400)}" for _ in range(40)]
+        if i % 2:
+            words.insert(rng.randrange(40), f"blargh{rng.choice('vwxyz')}")
+        elif i % 4:
+            words.insert(rng.randrange(40), "blarghous")
+        texts.append(" ".join(words))
+        y.append(i % 2)
+    words, stems, spared = toxicity.learn_terms(texts, y)
+    assert "blarg" in stems and spared == {"blarghous"}
+    reader = toxicity.Reader(words, stems, spared)
+    assert toxicity.matches(reader.symbols("blarghous")) == []
+    assert toxicity.matches(reader.symbols("blarghness")) == [[3 * toxicity.OUTCOMES]]
+    # one word does not make a stem
+    one = [" ".join("blarghx" if w.startswith("blargh") and k else w for w in t.split() if k or w != "blarghous")
+           for t, k in zip(texts, y)]
+    words, stems, _ = toxicity.learn_terms(one, y)
+    assert "blarghx" in words and not stems
+
+
+def test_weights_settle_where_labels_tell_all_apart():
+    x = np.zeros((400, 6))
+    x[:40, 0] = x[:40, 4] = x[:40, 5] = np.log1p(np.arange(40) + 1)
+    w = toxicity.fit_weights(x, np.arange(400) < 40)
+    full = np.hstack([x, np.ones((400, 1))])
+    p = 1 / (1 + np.exp(-full @ w))
+    slope = full.T @ (p - (np.arange(400) < 40)) + np.array([0.5] * 6 + [1e-3]) * w
+    assert np.abs(slope).max() < 1e-3 and p[1:40].min() > 0.5 > 0.1 > p[40:].max()
+
+
 def test_toxicity_of_odd_rows(spark, docs, odd_rows):
     rows = docs(odd_rows)
     labels = spark.createDataFrame([(1, 1, 1), (4, 0, 0), (5, 1, 1), (5, 0, 0), (None, 1, 1), (7, None, None)],
