@@ -2,7 +2,8 @@
 
 Records are sorted by id over shards of near equal payload. The id ranges come from exact byte
 sums over id intervals, not from a sample, so the same rows give the same files whatever the
-partitioning. Within a shard, files roll at a compressed size. Every record is a gzip member with
+partitioning. Shards and files grow with the input between fixed bounds; within a shard, files roll
+at a compressed size, so a shard is several files. Every record is a gzip member with
 headers and digests made anew. A file is written under a temporary name in the target folder and
 moved to its own when complete; a task that runs again moves the same bytes to the same names.
 The manifest, written last by Spark's own commit, says which files belong to the archive.
@@ -20,17 +21,21 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlight.llm.common import arrow_map
 
 REVISIT_BYTES = 1000
-#: Payload bytes of a shard, unless that makes more than ``MOST_SHARDS``.
-SHARD_BYTES = 32 << 20
-MOST_SHARDS = 4096
-#: Compressed bytes at which a file is closed.
-ROLL_BYTES = 512 << 20
-INTERVALS = 4096
+#: A shard holds a 1,024th of all payload bytes, but at least and at most so many: tens of shards
+#: for hundreds of megabytes, tens of thousands for 100 TB.
+SHARES = 1024
+LEAST_SHARD = 8 << 20
+MOST_SHARD = 4 << 30
+#: A file is closed at this part of its shard's payload bytes, counted compressed.
+FILES = 16
+#: Id intervals that are summed up for each shard at first, and how finely heavy ones are divided (bits).
+INTERVALS = 8
+DIVIDED = 6
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -151,42 +156,64 @@ def _write(folder, roll, date, level):
     return run
 
 
-def id_ranges(sizes: DataFrame, shard_bytes: int = SHARD_BYTES, most: int = MOST_SHARDS) -> list[int]:
+def shard_size(payload_bytes: int) -> int:
+    return min(MOST_SHARD, max(LEAST_SHARD, payload_bytes // SHARES))
+
+
+def id_ranges(sizes: DataFrame, shard_bytes: int) -> list[int]:
     """First ids of the shards after the first, from exact sums over id intervals.
 
-    ``sizes`` has page_id and bytes. Intervals that hold more than a shard are divided again until
-    they hold less or a single id.
+    ``sizes`` has page_id and bytes. Intervals are ids with the same leading bits. All those that
+    hold more than a shard are divided by one more job, until they hold less or a single id. The
+    driver receives a few sums for each shard.
     """
     whole = sizes.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"),
                       F.sum("bytes").alias("n")).first()
     if whole.a is None or not whole.n:
         return []
-    room = max(shard_bytes, -(-whole.n // most))
-    done, open_ = [], [(whole.a, whole.b, whole.n)]
-    while open_:
-        low, high, n = open_.pop()
-        if n <= room or low == high:
-            done.append((low, n))
-            continue
-        width = -(-(high - low + 1) // INTERVALS)
-        rows = sizes.where(F.col("page_id").between(low, high)).groupBy(
-            F.expr(f"(page_id - ({low})) div {width}").alias("part")).agg(
-            F.sum("bytes").alias("n")).collect()
-        open_ += [(low + r.part * width, min(high, low + (r.part + 1) * width - 1), r.n) for r in rows]
+    shards = -(-whole.n // shard_bytes)
+    bits = max(0, (whole.b - whole.a).bit_length() - (INTERVALS * shards).bit_length())
+    done, open_ = [], sizes.where("page_id IS NOT NULL")
+    while True:
+        sums = open_.groupBy(F.shiftright("page_id", bits).alias("cell")).agg(F.sum("bytes").alias("n")).collect()
+        heavy = [r.cell for r in sums if bits and r.n > shard_bytes]
+        done += [(r.cell << bits, r.n) for r in sums if not bits or r.n <= shard_bytes]
+        if not heavy:
+            break
+        # fewer cells than there are shards: each holds more than a shard's bytes
+        cells = sizes.sparkSession.createDataFrame([(c,) for c in heavy], "cell long")
+        open_ = sizes.withColumn("cell", F.shiftright("page_id", bits)).join(cells, "cell", "left_semi")
+        bits = max(0, bits - DIVIDED)
     starts, held = [], 0
     for low, n in sorted(done):
-        if held and held + n > room:
+        if held and held + n > shard_bytes:
             starts.append(low)
             held = 0
         held += n
     return starts
 
 
+def shard_of(page_id: str, starts: list[int]) -> Column:
+    """How many of the sorted ``starts`` are at most the id, by binary search; 0 for a null id."""
+    if not starts:
+        return F.lit(0)
+    bounds = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")  # one folded literal
+    top = 1 << (len(starts).bit_length() - 1)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(len(starts).bit_length() - 1)),
+                        lambda k: F.call_function("shiftright", F.lit(top), k))
+    found = F.aggregate(steps, F.lit(0), lambda held, step: F.when(
+        F.coalesce(F.get(bounds, held + step - 1) <= F.col(page_id), F.lit(False)), held + step).otherwise(held))
+    return F.when(F.col(page_id).isNull(), 0).otherwise(found)
+
+
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url",
-                   payload: str = "html", shard_bytes: int = SHARD_BYTES,
-                   roll_bytes: int = ROLL_BYTES, date: str = DATE, level: int = LEVEL) -> DataFrame:
+                   payload: str = "html", shard_bytes: int | None = None,
+                   roll_bytes: int | None = None, date: str = DATE, level: int = LEVEL) -> DataFrame:
     """Writes the archive and returns its manifest: file, records, bytes, sha1.
 
+    Without ``shard_bytes`` the size of a shard follows from that of all payloads (``shard_size``),
+    without ``roll_bytes`` the compressed size of a file from the shard's.
+
     A null payload is empty, a null url is marked as such, a null id comes first. Rows with the
     largest id of a repeated payload are all responses, also when the row itself is repeated.
     Repeated payloads whose ids are all null are all responses. Further columns are ignored.
@@ -203,11 +230,11 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     revisits = long_.join(first, "digest").where(
         F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))).where(
         F.col("refers_to").isNotNull()).select("page_id", "digest", "refers_to").distinct()
-    starts = id_ranges(heads.select("page_id", (F.col("bytes") + 1).alias("bytes")), shard_bytes)
-    shard = F.lit(0)
-    if starts:
-        bounds = F.array(*map(F.lit, starts))
-        shard = F.coalesce(F.size(F.filter(bounds, lambda x: x <= F.col("page_id"))), F.lit(0))
+    sizes = heads.select("page_id", (F.col("bytes") + 1).cast("long").alias("bytes"))
+    shard_bytes = shard_bytes or shard_size(sizes.agg(F.sum("bytes")).first()[0] or 0)
+    roll_bytes = roll_bytes or shard_bytes // FILES
+    starts = id_ranges(sizes, shard_bytes)
+    shard = shard_of("page_id", starts)
     order = ["shard", "page_id", "is_page", "digest", "url", "payload", "refers_to"]
     pages_part = rows.withColumn("shard", shard).withColumn("is_page", F.lit(True)).withColumn(
         "refers_to", F.lit(None).cast("long"))

@@ -104,3 +104,35 @@ def test_id_ranges_divide_heavy_intervals(spark):
     loads = [sum(n for i, n in rows if a <= i < b) for a, b in zip(edges, edges[1:])]
     assert starts == sorted(set(starts)) and sum(loads) == sum(n for _, n in rows)
     assert sum(x > 2500 for x in loads) <= 1  # the id that is heavy by itself
+
+
+def test_shards_by_binary_search(spark):
+    for n in (0, 1, 2, 3, 7, 8, 9, 1000):
+        starts = [*range(-50, 10 * n - 50, 10)]
+        ids = [None, -(1 << 63), (1 << 63) - 1, *range(-60, 200)]
+        rows = spark.createDataFrame([(i,) for i in ids], "page_id long").withColumn(
+            "shard", warc.shard_of("page_id", starts)).collect()
+        assert [r.shard for r in rows] == [sum(i is not None and s <= i for s in starts) for i in ids]
+
+
+def test_id_ranges_over_the_whole_width_of_ids(spark):
+    rows = [(-(1 << 63), 10), ((1 << 63) - 1, 10), (None, 9999), *((i, 10) for i in range(500))]
+    starts = warc.id_ranges(spark.createDataFrame(rows, "page_id long, bytes long"), 1000)
+    edges = [-(1 << 63), *starts, 1 << 63]
+    loads = [sum(n for i, n in rows if i is not None and a <= i < b) for a, b in zip(edges, edges[1:])]
+    assert max(loads) <= 1000 and len(loads) < 12
+
+
+def test_shards_of_the_query_roll(spark, tmp_path):
+    """With the production parameters a shard is several files, the same under two partitionings."""
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    for name, parts in (("a", 3), ("b", 7)):
+        warc.write_archives(table.repartition(parts), f"file://{tmp_path}/{name}")
+    held = files(f"{tmp_path}/a")
+    assert held == files(f"{tmp_path}/b") and len({n for n in held if n.startswith("shard-00000-")}) > 1
+
+
+def test_shards_grow_with_the_input():
+    assert warc.shard_size(0) == warc.shard_size(10**9) == warc.LEAST_SHARD
+    assert warc.shard_size(10**14) == warc.MOST_SHARD and 10**14 / warc.shard_size(10**14) < 30_000
+    assert warc.shard_size(10**12) == 10**12 // warc.SHARES
