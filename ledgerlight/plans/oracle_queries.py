@@ -417,6 +417,33 @@ def _given() -> str:
       FROM (SELECT *, [{far}] AS longe FROM risk_all))"""
 
 
+# The trees of the given forest, as conditions; path length over the expected one.
+GIVEN_TREES = [
+    """CASE WHEN score_risco_total < 5 THEN CASE WHEN ativo_milhoes < 100 THEN 0.75 ELSE 0.625 END
+       WHEN liquidez < 1 THEN CASE WHEN endividamento < 0.7::DOUBLE THEN 0.5 ELSE 0.375 END
+       ELSE 0.5625 END""",
+    """CASE WHEN receita_milhoes < 50 THEN CASE WHEN margem_liquida < 0 THEN 0.4375
+         WHEN liquidez < 0.5 THEN 0.5 ELSE 1 END
+       WHEN score_risco_total < 7 THEN 0.625 ELSE 0.25 END""",
+    """CASE WHEN endividamento < 0.5 THEN CASE WHEN score_neaf < 1 THEN 0.625 ELSE 0.4375 END
+       WHEN ativo_milhoes < 0.25 THEN 0.125 WHEN margem_liquida < 10 THEN 0.5625
+       WHEN receita_milhoes < 1000 THEN 0.375 ELSE 0.15625 END""",
+]
+
+
+def _forest_scores() -> str:
+    names = FEATURES.replace("\n", " ").replace(" ", "").split(",")
+    known = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    path = " + ".join(f"CAST({tree} AS DOUBLE)" for tree in GIVEN_TREES)
+    return f"""SELECT cnpj, ano_referencia, periodo_cadastro,
+        CASE WHEN {known} THEN ROUND(pow(2::DOUBLE, -({path}) / 3), 9) END AS score_anomalia
+      FROM risk_all"""
+
+
+def _ordered(table: str, order: str) -> str:
+    return _q(f"SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS posicao FROM {table}")
+
+
 def _view(table: str, **headings: str) -> str:
     shown = ", ".join(f'{c} AS "{h}"' for c, h in headings.items())
     return _q(f"SELECT {shown} FROM {table}")
@@ -670,6 +697,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT cnpj, ano_referencia, periodo_cadastro, {FEATURES} FROM risk_all"""),
         "ml_scaled": _scaled(),
         "given_priority": _q(_given()),
+        "forest_scores": _q(_forest_scores()),
+        "bucketed_variations": _q("SELECT * FROM variation_list"),
+        "ordered_sectors": _ordered("sector_list", "qtd_empresas DESC, setor"),
+        "ordered_high_risk": _ordered("risk_all", """prioridade_fiscalizacao,
+            score_risco_total DESC NULLS FIRST, cnpj, ano_referencia, periodo_cadastro"""),
+        "ordered_equation": _ordered("equation_list", """score_risco_equacao DESC NULLS FIRST,
+            abs(diferenca_absoluta) DESC NULLS FIRST, cnpj, ano_referencia"""),
+        "ordered_variations": _ordered("variation_list", """score_risco_variacao DESC NULLS FIRST,
+            abs(variacao_percentual) DESC NULLS FIRST, cnpj, cd_conta, ano_referencia, periodo_cadastro"""),
+        "ordered_neaf": _ordered("neaf_list",
+                                 "score_risco_neaf DESC NULLS FIRST, cnpj, periodo_cadastro"),
         "given_summary": _kpi(f"({_given()})", """
             COUNT(*) FILTER (score_ml_anomalia = 5) AS anomalias,
             COUNT(*) FILTER (prioridade_ml = 'Crítica') AS criticas,

@@ -1,16 +1,20 @@
 """Registered queries: every operator over the filing tables derived from an order folder."""
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ledgerlight.functions import numeric as N, rules as R
 from ledgerlight.operators import (
-    benchmark as B, builders, clean, companies as C, ledger as L, ml, neaf, risk as K,
+    benchmark as B, boxes, builders, clean, companies as C, ledger as L, ml, neaf, risk as K,
     sectors as S, stats as A, views,
 )
+from ledgerlight.operators.forest import Forest
+from ledgerlight.operators.ordering import numbered
 from ledgerlight.schemas import SCHEMAS, BENCHMARK
-from ledgerlight.sources import sinks
+from ledgerlight.sources import layout, sinks
 from ledgerlight.sources.orders import OrderFilings, order_filings
 
 YEAR = 1998
@@ -194,6 +198,80 @@ def _given(t):
     return ml.prioritise(_ml_rows(t), GivenModel())
 
 
+#: Trees of a forest that is given instead of fitted: (feature, split, below, not below) or a path
+#: length, with the expected length of each.
+GIVEN_TREES = [
+    (4.0, (0, 5.0, (3, 100.0, 3.0, 2.5), (5, 1.0, (6, 0.7, 2.0, 1.5), 2.25))),
+    (4.0, (4, 50.0, (7, 0.0, 1.75, (5, 0.5, 2.0, 4.0)), (0, 7.0, 2.5, 1.0))),
+    (8.0, (6, 0.5, (2, 1.0, 5.0, 3.5), (3, 0.25, 1.0, (7, 10.0, 4.5, (4, 1000.0, 3.0, 1.25))))),
+]
+
+
+def given_forest() -> Forest:
+    trees = []
+    for _, root in GIVEN_TREES:
+        nodes, pending = [None], [(0, root)]
+        while pending:
+            at, tree = pending.pop()
+            if not isinstance(tree, tuple):
+                nodes[at] = (-1, 0.0, -1, -1, tree)
+                continue
+            feature, split, *sides = tree
+            nodes[at] = (feature, split, len(nodes), len(nodes) + 1, 0.0)
+            pending += [(len(nodes) + k, side) for k, side in enumerate(sides)]
+            nodes += [None, None]
+        trees.append(nodes)
+    most = max(map(len, trees))
+    filled = [nodes + [(-1, 0.0, -1, -1, 0.0)] * (most - len(nodes)) for nodes in trees]
+    kinds = (np.int32, float, np.int32, np.int32, float)
+    return Forest(*(np.array([[n[k] for n in nodes] for nodes in filled], dtype=kind)
+                    for k, kind in enumerate(kinds)), np.array([e for e, _ in GIVEN_TREES]))
+
+
+def _forest_scores(t):
+    rows = _ml_rows(t).select("cnpj", "ano_referencia", "periodo_cadastro", *ml.FEATURES)
+    found = boxes.leaf_boxes(rows.sparkSession, given_forest(), ml.FEATURES)
+    scored = boxes.score_by_boxes(rows, found, ml.FEATURES, len(GIVEN_TREES))
+    return scored.select("cnpj", "ano_referencia", "periodo_cadastro", "score_anomalia")
+
+
+def _by_company(t):
+    """The variations and the registry, laid out by company."""
+    spark = t.registry().sparkSession
+    variations, registry = t.variations(), t.registry()
+    buckets = layout.bucket_count(max(variations.count(), registry.count()))
+    return [layout.write_by_company(df, f"{name}_{uuid.uuid4().hex}", sinks.scratch_path(spark, name), buckets)
+            for name, df in (("variations", variations), ("registry", registry))]
+
+
+def _bucketed_variations(t):
+    return L.variation_anomalies(*_by_company(t), limit=None)
+
+
+def _down(*names):
+    return [F.desc_nulls_first(n) for n in names]
+
+
+def _up(*names):
+    return [F.asc_nulls_last(n) for n in names]
+
+
+#: Whole lists with the place of every row in their displayed order.
+ORDERED = {
+    "sectors": lambda t: numbered(_sectors(t), _down("qtd_empresas") + _up("setor")),
+    "high_risk": lambda t: numbered(
+        _high_risk(t), _up("prioridade_fiscalizacao") + _down("score_risco_total")
+        + _up("cnpj", "ano_referencia", "periodo_cadastro")),
+    "equation": lambda t: numbered(
+        _equation(t), _down("score_risco_equacao") + [F.abs("diferenca_absoluta").desc_nulls_first()]
+        + _up("cnpj", "ano_referencia")),
+    "variations": lambda t: numbered(
+        _variations(t), _down("score_risco_variacao") + [F.abs("variacao_percentual").desc_nulls_first()]
+        + _up("cnpj", "cd_conta", "ano_referencia", "periodo_cadastro")),
+    "neaf": lambda t: numbered(_neaf(t), _down("score_risco_neaf") + _up("cnpj", "periodo_cadastro")),
+}
+
+
 def _ml_anomaly(t):
     rows = _ml_rows(t)
     return ml.fit_anomaly_model(rows).label(rows).select(
@@ -353,6 +431,9 @@ def queries() -> dict[str, Query]:
         "priority_bands": _over(_priority_bands),
         "ml_features": _over(lambda t: ml.ml_features(_ml_rows(t))),
         "ml_scaled": _over(lambda t: ml.ml_scaled(_ml_rows(t)), 6),
+        "forest_scores": _over(_forest_scores, 9),
+        "bucketed_variations": _over(_bucketed_variations),
+        **{f"ordered_{name}": _over(build) for name, build in ORDERED.items()},
         "ml_anomaly": _over(_ml_anomaly),
         "ml_clusters": _over(_ml_clusters),
         "ml_priority": _over(_prioritised),

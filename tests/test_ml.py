@@ -6,7 +6,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import forest, ml
+from ledgerlight.operators import boxes, forest, ml, model_store
 
 
 def company_rows(spark, n=300, outliers=5, copies=0):
@@ -202,3 +202,50 @@ def test_alternating_sums_end():
         return np.ones(centres.shape[:2]), np.full(centres.shape, side), np.zeros(len(centres))
 
     ml.settle(np.zeros((2, 3, 2)), total, lambda centres, margin: _Open(None))
+
+
+def test_boxes_score_as_the_forest(spark, rows, model):
+    fitted = model.anomalies.forest
+    found = boxes.leaf_boxes(spark, fitted, ml.FEATURES)
+    assert found.count() <= 25_600
+    odd = rows.unionByName(rows.limit(3)).unionByName(rows.limit(1).withColumn("liquidez", F.lit(None).cast("double")))
+    odd = odd.unionByName(rows.limit(1).withColumn("liquidez", F.lit(float("nan")))).unionByName(
+        rows.limit(1).withColumn("receita_milhoes", F.lit(float("-inf"))))
+    key = ["cnpj", *ml.FEATURES]
+    want = model.anomalies.label(odd).select(*key, "score_anomalia").collect()
+    got = boxes.score_by_boxes(odd.select(*key), found, ml.FEATURES, len(fitted.feature)).collect()
+    assert len(got) == len(want) == 311
+
+    def listed(scored):
+        return sorted((str(tuple(r)[:-1]), r.score_anomalia) for r in scored)
+
+    for (a, x), (b, y) in zip(listed(want), listed(got)):
+        assert a == b and (x is y is None or x == pytest.approx(y, abs=1e-9))
+
+
+def test_boxes_part_the_space(spark, model):
+    """Every point stands in one box of each tree, also where splits lie outside a node's own box."""
+    fitted = model.anomalies.forest
+    rng = np.random.default_rng(5)
+    points = rng.normal(5, 20, (40, len(ml.FEATURES)))
+    rows = [r.asDict() for r in boxes.leaf_boxes(spark, fitted, ml.FEATURES).where("tree < 5").collect()]
+    for x in points:
+        inside = [b["tree"] for b in rows if all(
+            (b[f"low_{c}"] is None or v >= b[f"low_{c}"]) and (b[f"high_{c}"] is None or v < b[f"high_{c}"])
+            for c, v in zip(ml.FEATURES, x))]
+        assert sorted(inside) == [0, 1, 2, 3, 4]
+
+
+def test_saved_models_come_back_whole(spark, rows, model, tmp_path):
+    folder = str(tmp_path / "models")
+    model_store.save_model(spark, model, folder, 3)
+    again = model_store.load_model(spark, folder, 3)
+    first, second = (ml.prioritise(rows, m) for m in (model, again))
+    assert first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
+    assert again.anomalies.cut == model.anomalies.cut
+    labelled = [m.anomalies.label(rows).select("cnpj", "score_anomalia") for m in (model, again)]
+    assert labelled[0].exceptAll(labelled[1]).isEmpty()
+    with pytest.raises(Exception):  # a version is written once
+        model_store.save_model(spark, model, folder, 3)
+    with pytest.raises(Exception):
+        model_store.load_model(spark, folder, 4)
