@@ -78,12 +78,23 @@ def _nearest(centres: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, np.take_along_axis(far, best[..., None], -1)[..., 0]
 
 
+#: Points that a task of a pass has at least, and that it may have before there are more tasks than cores.
+TASK_POINTS = 4_000
+FULL_TASK_POINTS = 200_000
+
+
+def pass_tasks(points: int, cores: int) -> int:
+    """Tasks of one pass. Starting a task takes longer than reading a few thousand points, and every
+    task of every pass reports to the driver, so their number follows the points alone."""
+    return max(1, -(-points // FULL_TASK_POINTS), min(cores, -(-points // TASK_POINTS)))
+
+
 def _passes(points: DataFrame, dims: int):
     """Two passes over (v0, v1, ..., weight, key): draw a start, and sum up by nearest centre.
 
-    Both handle all runs at once, reduce inside each task and return a few rows a task.
+    Both handle all runs at once, reduce inside each task and return a few rows a task. A pass is
+    one stage: the driver adds up what the tasks return, in the order of the partitions.
     """
-    sums = ", ".join(f"s{d} double" for d in range(dims))
     start = ", ".join(f"v{d} double" for d in range(dims))
 
     def columns(batch):
@@ -148,18 +159,14 @@ def _passes(points: DataFrame, dims: int):
                     cost[r] += np.bincount(best[r], w * far[r], k)
                     for d in range(dims):
                         held[r, :, d] += np.bincount(best[r], w * x[:, d], k)
-            r, c = (a.ravel() for a in np.indices((runs, k)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r), pa.array(c), pa.array(weights.ravel()), pa.array(cost.ravel()),
-                 *(pa.array(held[..., d].ravel()) for d in range(dims))],
-                ["run", "cluster", "weight", "cost", *(f"s{d}" for d in range(dims))])
-
-        rows = over.mapInArrow(run, f"run long, cluster long, weight double, cost double, {sums}")
-        weights, held, cost = np.zeros((runs, k)), np.zeros((runs, k, dims)), np.zeros(runs)
-        for row in rows.groupBy("run", "cluster").sum("weight", "cost", *[f"s{d}" for d in range(dims)]).collect():
-            weights[row[0], row[1]] = row[2]
-            cost[row[0]] += row[3]
-            held[row[0], row[1]] = row[4:]
+            flat = np.concatenate([weights.ravel(), cost.ravel(), held.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], ["sums"])
+
+        flat = np.zeros(runs * k * (dims + 2))
+        for row in over.mapInArrow(run, "sums array<double>").collect():
+            flat += row.sums
+        weights, cost, held = np.split(flat, [runs * k, 2 * runs * k])
+        weights, cost, held = weights.reshape(runs, k), cost.reshape(runs, k).sum(1), held.reshape(runs, k, dims)
         return weights, held, cost
 
     def open_points(centres: np.ndarray, margin: float):
@@ -258,7 +265,9 @@ def fit_clusters(points: DataFrame, scaler: Scaler, weight: str, k: int = CLUSTE
     names = [f"v{d}" for d in range(len(FEATURES))]
     scaled = points.select(*[F.round(c, 9).alias(n) for c, n in zip(scaler.columns(), names)],
                            F.col(weight).cast("double").alias("weight"))
-    scaled = scaled.withColumn("key", F.xxhash64(*names)).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = pass_tasks(points.count(), points.sparkSession.sparkContext.defaultParallelism)
+    scaled = scaled.withColumn("key", F.xxhash64(*names)).repartition(parts, "key")
+    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     draw, total, open_points = _passes(scaled, len(names))
     try:
         centres = None
