@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import boxes, forest, ml, model_store
+from ledgerlight.plans import queries as registered
 
 
 def company_rows(spark, n=300, outliers=5, copies=0):
@@ -249,3 +251,62 @@ def test_saved_models_come_back_whole(spark, rows, model, tmp_path):
         model_store.save_model(spark, model, folder, 3)
     with pytest.raises(Exception):
         model_store.load_model(spark, folder, 4)
+
+
+def test_tasks_of_a_pass_follow_the_points():
+    assert [ml.pass_tasks(n, 12) for n in (0, 1, 4_000, 22_366, 1_000_000, 8_000_000)] == [1, 1, 1, 6, 12, 40]
+
+
+def test_passes_are_dealt_by_the_points(spark, rows, monkeypatch):
+    """Not by the shuffle partitions: a pass over a few points is one task."""
+    found, passes = [], ml._passes
+
+    def noted(points, dims):
+        found.append(points.rdd.getNumPartitions())
+        return passes(points, dims)
+
+    monkeypatch.setattr(ml, "_passes", noted)
+    settings = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        ml.fit_cluster_model(rows)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found == [1]
+
+
+def test_equal_rows_walk_the_trees_once():
+    walked = []
+
+    class Counting(forest.Forest):
+        def score_array(self, x):
+            walked.append(len(x))
+            return super().score_array(x)
+
+    given = registered.given_forest()
+    counting = Counting(*(getattr(given, name) for name in given.__dataclass_fields__))
+    x = np.random.default_rng(2).normal(2, 5, (50, len(ml.FEATURES)))
+    x[3, 2], x[4, 5] = np.nan, -np.inf
+    repeated = np.repeat(x, 7, axis=0)
+    assert (counting.score_distinct(repeated) == given.score_array(repeated)).all() and walked == [50]
+    assert len(counting.score_distinct(x[:0])) == 0
+
+
+@pytest.mark.parametrize("build", ["_prioritised", "_cluster_labels", "_ml_anomaly", "_ml_clusters", "_ml_scaled"])
+def test_rows_of_a_model_are_computed_once(spark, rows, monkeypatch, tmp_path, build):
+    """Not for the fit and then for the labels again: below the rows lie joins of all order tables."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    computed = rows.withColumn("liquidez", counted.asNondeterministic()("liquidez"))
+    monkeypatch.setattr(registered, "_ml_rows", lambda t: computed)
+    monkeypatch.setattr(registered.sinks, "shared_folder", lambda _: str(tmp_path))
+    assert len(getattr(registered, build)(SimpleNamespace()).collect()) == 305
+    assert seen.value == 305
