@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 COMPANY = "cnpj"
-#: Rows that a bucket should hold; the tables of a database need one number of buckets.
-BUCKET_ROWS = 5_000_000
+#: Rows that a bucket should hold; the tables of a database need one number of buckets. A task sorts a
+#: whole bucket, when it is written and when it is joined, and that is what a task holds in memory.
+BUCKET_ROWS = 500_000
 
 
 def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:

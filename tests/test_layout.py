@@ -1,3 +1,4 @@
+import datetime
 import random
 import uuid
 
@@ -6,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerlight.operators import ledger as L
 from ledgerlight.operators.ordering import numbered
+from ledgerlight.plans import queries as registered
 from ledgerlight.schemas import REGISTRY, VARIATIONS
 from ledgerlight.sources import layout
+from ledgerlight.sources.orders import RAW, OrderFilings
 
 
 @pytest.fixture
@@ -99,3 +102,43 @@ def test_places_need_no_task_for_all_rows(spark):
     text = plan(numbered(df, order(), parts=4))
     # the one window without a key runs over a row for each range
     assert text.count("SinglePartition") == 1 and text.index("SinglePartition") > text.index("Window")
+
+
+def test_memory_of_a_bucket_is_bounded():
+    """A task sorts a whole bucket: 24 million rows in 8 of them took gigabytes."""
+    assert 24_000_000 / layout.bucket_count(24_000_000) <= 500_000
+
+
+@pytest.mark.parametrize("build", ["_source_fallback", "_sector_benchmark", "_bucketed_variations"])
+def test_lines_are_added_up_once(spark, monkeypatch, tmp_path, build):
+    """Not once to see or count and again for each list."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    lines = [(order, 1 + k, 1, k, 1.0, 100.0 + 5000 * (order % 3) + k, 0.1, 0.0, "R" if k else "N", "F", None)
+             for order in range(40) for k in range(3)]
+    made = {
+        "region": [(0, "R")], "nation": [(0, "N", 0)], "part": [(1 + k, "p", "b", "t", 1, 1.0) for k in range(3)],
+        "customer": [(c, f"c{c}", 0, 6000.0, "MACHINERY") for c in range(4)],
+        "orders": [(o, o % 4, "FOP"[o % 3], 300.0, datetime.datetime(1997 + o % 3, 5, 1), "1-URGENT") for o in range(40)],
+        "lineitem": lines,
+    }
+
+    class Counted(OrderFilings):
+        def raw(self, name):
+            rows = spark.createDataFrame(made[name], RAW[name])
+            if name == "lineitem":
+                rows = rows.withColumn("l_extendedprice", counted.asNondeterministic()("l_extendedprice"))
+            return rows
+
+    monkeypatch.setattr(registered.sinks, "shared_folder", lambda _: str(tmp_path))
+    try:
+        assert getattr(registered, build)(Counted(spark, "")).collect()
+    finally:
+        for r in spark.sql("SHOW TABLES").collect():
+            spark.sql(f"DROP TABLE IF EXISTS {r.tableName}")
+    assert seen.value == len(lines)
