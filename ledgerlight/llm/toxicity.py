@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlight.llm.common import arrow_map, picked
+from ledgerlight.llm.common import arrow_map, drop, picked, written
 from ledgerlight.llm.langid import held_out
 from ledgerlight.llm.packing import text_blocks
 from ledgerlight.llm.sampling import first_of, texts_of
@@ -37,6 +37,10 @@ STEMS = (4, 5, 6)
 #: Words of its own that a stem needs, and clean documents that spare a word from stems.
 FAMILY = 3
 SPARED = 2
+#: Toxic documents that a term needs.
+LEAST = 4
+#: Parts of the sample.
+PARTS = 32
 REMEMBERED = 200_000
 THRESHOLD = 0.3
 
@@ -197,50 +201,122 @@ def _contexts(text):
     return zip([""] + words[:-1], words, words[1:] + [""])
 
 
-def learn_terms(texts: list[str], toxic: list[int]) -> tuple[set[str], set[str], set[str]]:
-    """Words and stems of toxic text, and the words of these stems that are spared.
+def _word_counts(texts, toxic):
+    """Documents of each word and label; under no word, all words of the label."""
+    counts = Counter()
+    for text, y in zip(texts, toxic):
+        words = [w for _, w, _ in _contexts(text)]
+        counts["", y] += len(words)
+        counts.update((w, y) for w in set(words) if w)
+    return counts
 
-    Three passes: words by documents, terms by documents, likely terms by contexts.
-    """
-    n = [max(1, len(toxic) - sum(toxic)), max(1, sum(toxic))]
 
-    def is_likely(clean, bad):
-        return bad / n[1] * (1 - PRECISION) >= clean / n[0] * PRECISION
-
-    words = [Counter(), Counter()]
-    held = [{w for _, w, _ in _contexts(text) if w} for text in texts]
-    for own, y in zip(held, toxic):
-        words[y].update(own)
-    spared = {w for w, c in words[0].items() if c >= SPARED and not is_likely(c, words[1][w])}
-    counts, family = [Counter(), Counter()], Counter()
-    for own, y in zip(held, toxic):
-        counts[y].update({t for w in own for t in _terms(w) if w not in spared})
-    for w in words[1].keys() - spared:
-        family.update(_terms(w))
-    likely = {t for t, c in counts[1].items()
-              if c >= 4 and is_likely(counts[0][t], c) and (not t.endswith("*") or family[t] >= FAMILY)}
-    seen = {t: (set(), set()) for t in likely}
+def _term_counts(texts, toxic, spared):
+    """Documents of each term and label."""
+    counts = Counter()
     for text, y in zip(texts, toxic):
-        for before, w, after in _contexts(text):
-            for t in _terms(w) if w and w not in spared else ():
-                if t in seen:
-                    seen[t][y].add(hash((before, after)))
-    size = [sum(len(x.split()) for x, y in zip(texts, toxic) if y == k) + 1 for k in (0, 1)]
-    even = size[1] / sum(size)
-
-    def ratio(term, clean, bad):
-        share = bad / (bad + clean)
-        if share <= even or share < (STEM_PRECISION if term.endswith("*") else PRECISION):
-            return 0.0
-        return 2 * (bad * math.log(share / even)
-                    + (clean * math.log((1 - share) / (1 - even)) if clean else 0))
-
-    found = {t for t, (clean, bad) in seen.items() if ratio(t, len(clean), len(bad)) >= EVIDENCE}
+        own = {w for _, w, _ in _contexts(text) if w and w not in spared}
+        counts.update({(t, y) for w in own for t in _terms(w)})
+    return counts
+
+
+def _term_contexts(texts, toxic, spared, likely):
+    """Distinct contexts of each term and label."""
+    return {(t, y, before, after) for text, y in zip(texts, toxic) for before, w, after in _contexts(text)
+            if w and w not in spared for t in _terms(w) if t in likely}
+
+
+def _is_likely(clean, bad, n):
+    """``clean`` and ``bad`` of ``n`` documents of either label; numbers, or columns of Spark."""
+    return bad / n[1] * (1 - PRECISION) >= clean / n[0] * PRECISION
+
+
+def _ratio(term, clean, bad, even):
+    """Twice the log-likelihood ratio of a term's contexts; ``even``: the share of toxic words."""
+    share = bad / (bad + clean)
+    if share <= even or share < (STEM_PRECISION if term.endswith("*") else PRECISION):
+        return 0.0
+    return 2 * (bad * math.log(share / even)
+                + (clean * math.log((1 - share) / (1 - even)) if clean else 0))
+
+
+def _learned(contexts, size, spared):
+    """Words, stems and the words of these that are spared. ``contexts``: term, clean, toxic;
+    ``size``: words in text of either label."""
+    even = (size[1] + 1) / (size[0] + size[1] + 2)
+    found = {t for t, clean, bad in contexts if _ratio(t, clean, bad, even) >= EVIDENCE}
     stems = {t[:-1] for t in found if t.endswith("*")}
     return ({t for t in found if not t.endswith("*")}, stems,
             {w for w in spared if any(w[:k] in stems for k in STEMS if len(w) > k)})
 
 
+def learn_terms(texts: list[str], toxic: list[int]) -> tuple[set[str], set[str], set[str]]:
+    """Words and stems of toxic text, and the words of these stems that are spared.
+
+    Three passes: words by documents, terms by documents, likely terms by contexts. For texts at
+    hand; ``learned_terms`` is the same over a table.
+    """
+    n = [max(1, len(toxic) - sum(toxic)), max(1, sum(toxic))]
+    words = _word_counts(texts, toxic)
+    spared = {w for w, y in words if w and not y and words[w, 0] >= SPARED
+              and not _is_likely(words[w, 0], words[w, 1], n)}
+    family = Counter(t for w, y in words if w and y and w not in spared for t in _terms(w))
+    counts = _term_counts(texts, toxic, spared)
+    likely = {t for t, y in counts if y and counts[t, 1] >= LEAST and _is_likely(counts[t, 0], counts[t, 1], n)
+              and (not t.endswith("*") or family[t] >= FAMILY)}
+    seen = Counter((t, y) for t, y, _, _ in _term_contexts(texts, toxic, spared, likely))
+    return _learned([(t, seen[t, 0], seen[t, 1]) for t in likely], [words["", 0], words["", 1]], spared)
+
+
+def _by_block(find, *held):
+    """Rows of ``find`` for each block of texts; the first column holds their labels."""
+    def run(batches):
+        for batch in batches:
+            labels = batch.column(0).to_pylist()
+            for first, texts in text_blocks(batch):
+                found = find(texts, labels[first:first + len(texts)], *(h.value for h in held))
+                if found:
+                    rows = [(*k, n) for k, n in found.items()] if isinstance(found, Counter) else found
+                    yield pa.RecordBatch.from_arrays(
+                        [*map(pa.array, zip(*rows))], [f"c{i}" for i in range(len(next(iter(rows))))])
+    return run
+
+
+def learned_terms(sample: DataFrame, n: list[int]) -> tuple[set[str], set[str], set[str]]:
+    """``learn_terms`` over a table of label and text with ``n`` rows of either label.
+
+    Tasks count block by block and Spark adds up. The driver holds no text: of the words it gets
+    those that are spared, of the terms those that are likely."""
+    held = sample.sparkSession.sparkContext.broadcast
+    n = [max(1, k) for k in n]
+
+    def counted(find, *sets):
+        parts = arrow_map(sample, _by_block(find, *sets), "c0 string, c1 long, c2 long")
+        return parts.groupBy(F.col("c0").alias("term")).agg(
+            *(F.sum(F.when(F.col("c1") == y, F.col("c2")).otherwise(0)).alias(name)
+              for y, name in enumerate(("clean", "bad"))))
+
+    words = written(counted(_word_counts), "toxicity-words")
+    clean, bad = F.col("clean"), F.col("bad")
+    size = words.where("term = ''").select("clean", "bad").first() or (0, 0)
+    is_spared = (clean >= SPARED) & ~_is_likely(clean, bad, n)
+    each = words.where("term != ''")
+    spared = set(each.where(is_spared).select("term").toArrow()["term"].to_pylist())
+    stems = [F.when(F.length("term") > k, F.concat(F.substring("term", 1, k), F.lit("*"))) for k in STEMS]
+    family = each.where((bad > 0) & ~is_spared).select(
+        F.explode(F.array_compact(F.array("term", *stems))).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("family"))
+    known = held(spared)
+    likely = counted(_term_counts, known).where((bad >= LEAST) & _is_likely(clean, bad, n)).join(family, "term").where(
+        ~F.col("term").endswith("*") | (F.col("family") >= FAMILY))
+    likely = held(set(likely.select("term").toArrow()["term"].to_pylist()))
+    seen = arrow_map(sample, _by_block(_term_contexts, known, likely), "c0 string, c1 long, c2 string, c3 string")
+    seen = seen.distinct().groupBy("c0").agg(F.sum(1 - F.col("c1")), F.sum("c1"))
+    found = _learned([tuple(r) for r in seen.collect()], size, spared)
+    drop(words)
+    return found
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     """Logistic weights, the bias last, with a ridge on all but the bias.
 
@@ -279,14 +355,34 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marked = marked.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)
                           & ~held_out(F.col("doc_id")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = texts_of(rows, first_of(marked, "toxic", "doc_id", sample), ["doc_id"], "text").collect()
-    rows = sorted({(r.text, r.toxic) for r in rows})
-    texts, y = [t for t, _ in rows], [int(k) for _, k in rows]
-    words, stems, spared = learn_terms(texts, y)
-    reader = Reader(words, stems, spared)
-    x = np.array([features(matches(reader.symbols(t))) for t in texts]).reshape(-1, LABELS + 2)
-    weights = fit_weights(x, np.array(y, float)) if texts else np.append(np.zeros(LABELS + 2), -30.0)
-    return {"words": sorted(words), "stems": sorted(stems), "spared": sorted(spared), "weights": weights}
+    rows = texts_of(rows, first_of(marked, "toxic", "doc_id", sample), ["doc_id"], "text").select("toxic", "text")
+    rows = written(rows.repartition(PARTS, "toxic", "text").distinct(), "toxicity-sample")
+    n = [0, 0]
+    for y, count in rows.groupBy("toxic").count().collect():
+        n[y] = count
+    words, stems, spared = learned_terms(rows, n)
+    model = {"words": sorted(words), "stems": sorted(stems), "spared": sorted(spared)}
+    # one row for all documents of the same features and label, in an order that no layout changes
+    found = arrow_map(rows, _features(docs.sparkSession.sparkContext.broadcast(model)), "x binary, toxic int")
+    found = sorted((bytes(x), y, k) for x, y, k in found.groupBy("x", "toxic").count().collect())
+    drop(rows)
+    x = np.frombuffer(b"".join(x for x, _, _ in found)).reshape(-1, LABELS + 2)
+    times = [k for _, _, k in found]
+    y = np.repeat(np.array([y for _, y, _ in found], float), times)
+    weights = fit_weights(np.repeat(x, times, axis=0), y) if found else np.append(np.zeros(LABELS + 2), -30.0)
+    return model | {"weights": weights}
+
+
+def _features(held):
+    def run(batches):
+        model = held.value
+        reader = Reader(model["words"], set(model["stems"]), set(model["spared"]))
+        for batch in batches:
+            for first, texts in text_blocks(batch):
+                x = [features(matches(reader.symbols(text))).tobytes() for text in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.binary()), batch.column(0).slice(first, len(texts))], ["x", "toxic"])
+    return run
 
 
 def _score(held):

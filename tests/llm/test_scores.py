@@ -2,6 +2,7 @@ import collections
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -234,6 +235,47 @@ def test_weights_settle_where_labels_tell_all_apart():
     assert np.abs(slope).max() < 1e-3 and p[1:40].min() > 0.5 > 0.1 > p[40:].max()
 
 
+def labelled_texts(n, length, vocabulary):
+    """Rows of id, text and label: every other text toxic, with an invented insult, some of them spared."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        words = [f"c{rng.randrange(vocabulary)}" for _ in range(length)]
+        if i % 2:
+            words.insert(rng.randrange(length), f"blargh{rng.choice('vwxyz')}!")
+        elif i % 4:
+            words.insert(rng.randrange(length), "Blarghous")
+        rows.append((i, " ".join(words), i % 2))
+    return rows + [(n, "", 0), (n + 1, " \n", 1), (n + 2, "ÜBLES übles \u2028 idiot.", 1)]
+
+
+def test_terms_of_a_table_equal_those_of_a_list(spark):
+    rows = labelled_texts(160, 40, 400)
+    sample = spark.createDataFrame([(y, t) for _, t, y in rows], "toxic int, text string").repartition(5)
+    found = toxicity.learned_terms(sample, [81, 82])
+    assert found == toxicity.learn_terms([t for _, t, _ in rows], [y for *_, y in rows])
+    assert "blarg" in found[1] and found[2] == {"blarghous"}
+    # copies of a row and of an id change nothing
+    docs = spark.createDataFrame([r[:2] for r in rows * 2], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    once, twice = (toxicity.learn(d, labels) for d in (docs.distinct(), docs.repartition(7)))
+    assert np.array_equal(once.pop("weights"), twice.pop("weights")) and once == twice
+
+
+def test_learning_holds_no_text_in_the_driver(spark, tmp_path):
+    """Words of the sample are counted by tasks: the driver's memory does not grow with them."""
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(labelled_texts(160, 3000, 10**9), "doc_id long, text string, toxic int").write.parquet(path)
+    rows = spark.read.parquet(path)
+    tracemalloc.start()
+    try:
+        model = toxicity.learn(rows, rows)
+        assert tracemalloc.get_traced_memory()[1] < 10e6
+    finally:
+        tracemalloc.stop()
+    assert "blarg" in model["stems"]
+
+
 def test_toxicity_of_odd_rows(spark, docs, odd_rows):
     rows = docs(odd_rows)
     labels = spark.createDataFrame([(1, 1, 1), (4, 0, 0), (5, 1, 1), (5, 0, 0), (None, 1, 1), (7, None, None)],
