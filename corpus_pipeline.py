@@ -5,30 +5,47 @@ last returns the packed pieces. Filters carry each row whole past the operator,
 joined back by id.
 """
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlight.llm import fertility, jaccard_join, packing, toxicity
-from ledgerlight.llm.common import new_folder, table, written
+from ledgerlight.llm.common import batch_rows, new_folder, table, written
 from ledgerlight.llm.queries import BYTE_BPE, PIECES, piece_digests
 
+#: Rows of a batch between Spark and Python. Executors keep memory from stage to stage, so all stages
+#: take smaller batches than an operator alone; they carry each text twice, too.
+BATCH = 500
+
+
+def _in_small_batches(stage):
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        batch_rows(spark, BATCH)
+        return stage(spark, docs, sf_dir)
+    return run
+
 
 def _with_row(docs: DataFrame) -> DataFrame:
     """The whole row as one column, beside what an operator reads."""
     return docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
 
 
+@_in_small_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the fertility bands keep."""
     judged = fertility.quality(_with_row(docs), PIECES, doc_id="row")
     return judged.where("kept").select("doc_id.*")
 
 
+@_in_small_batches
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar does not score as toxic."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(_with_row(docs), model, doc_id="row").where("predicted = 0").select("doc_id.*")
 
 
+@_in_small_batches
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
@@ -53,10 +70,11 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return once.unionByName(again).select(*docs.columns)
 
 
+@_in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document that is left."""
     # workers hold what earlier stages left of the executor's memory
-    return piece_digests(packing.pack_documents(docs, BYTE_BPE, remembered=200_000))
+    return piece_digests(packing.pack_documents(docs, BYTE_BPE, remembered=50_000, block=1 << 20))
 
 
 STAGES = [

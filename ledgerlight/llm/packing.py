@@ -20,6 +20,8 @@ SEQUENCE = 2048
 END = 1
 #: Distinct chunks a worker remembers before it starts anew.
 REMEMBERED = 600_000
+#: Bytes of text that are tokenised at once.
+BLOCK = 4 << 20
 #: New chunks that go through the tokenizer in one text.
 JOINED = 4000
 PIECES = ("doc_id *, start long, length int, ids binary, doc_tokens long, bucket int")
@@ -131,14 +133,14 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return lengths + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _pieces(path, longest, end, remembered):
+def _pieces(path, longest, end, remembered, block):
     def run(batches):
         tokenizer = loaded(ChunkTokenizer, path)
         mark = array("I", [end]).tobytes()
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             _, offsets = utf8(texts)
-            for first, stop in row_ranges(offsets, 4 << 20):
+            for first, stop in row_ranges(offsets, block):
                 ids, at = tokenizer.ids(texts.slice(first, stop - first), remembered)
                 raw = ids.tobytes()
                 rows, starts, lengths, parts, totals = [], [], [], [], []
@@ -162,18 +164,19 @@ def _pieces(path, longest, end, remembered):
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end: int = END,
-                   doc_id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+                   doc_id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED,
+                   block: int = BLOCK) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids (little-endian 32-bit), doc_tokens,
     bucket (the length is 2 to its power), sequence_id, offset.
 
     A null or empty text has the end mark alone. Null and repeated ids and repeated rows each keep
     their pieces: a sequence's id comes from the piece's place, not from the document's id.
-    ``longest`` is a power of two; ``remembered`` trades a worker's memory for time and changes
-    nothing else. Further columns are ignored.
+    ``longest`` is a power of two; ``remembered`` and ``block`` trade a worker's memory for time and
+    change nothing else. Further columns are ignored.
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
-    pieces = arrow_map(picked(docs, doc_id, text), _pieces(tokenizer, longest, end, remembered), PIECES)
+    pieces = arrow_map(picked(docs, doc_id, text), _pieces(tokenizer, longest, end, remembered, block), PIECES)
     return pieces.select(
         "*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 

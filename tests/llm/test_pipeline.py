@@ -38,6 +38,20 @@ def test_each_stage_acts_on_what_the_last_kept(spark, tmp_path):
     assert P.run(spark, SF).count() == fourth.count()
 
 
+def test_stages_take_small_batches(spark, docs, monkeypatch):
+    name, asked = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    pack_documents = packing.pack_documents
+    monkeypatch.setattr(packing, "pack_documents", lambda *a, **k: asked.update(k) or pack_documents(*a, **k))
+    before = spark.conf.get(name)
+    try:
+        for own, found in (("10000", "500"), ("2000", "500"), ("700", "700")):
+            spark.conf.set(name, own)
+            assert P.pack(spark, docs([(1, "a b", "en")]), SF).count() and spark.conf.get(name) == found
+    finally:
+        spark.conf.set(name, before)
+    assert asked["block"] <= 1 << 20 and asked["remembered"] <= 50_000
+
+
 def test_odd_rows(spark, docs, odd_rows, tmp_path):
     rows = docs(odd_rows)
     for k, (_, stage) in enumerate(P.STAGES):

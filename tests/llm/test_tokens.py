@@ -95,6 +95,27 @@ def test_pieces_hold_every_token_once(docs, odd_rows, tmp_path):
     assert packing.pack_documents(docs([]), BYTE_BPE).collect() == []
 
 
+def test_blocks_bound_a_worker_and_change_no_piece(monkeypatch):
+    import pyarrow as pa
+    texts = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(40)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42)), pa.array(texts)], ["doc_id", "text"])
+    held, ids = [], packing.ChunkTokenizer.ids
+
+    def seen(self, some, remembered):
+        held.append((some.nbytes, len(self.known)))
+        return ids(self, some, remembered)
+
+    def pieces(remembered, block):
+        packing.loaded(packing.ChunkTokenizer, BYTE_BPE).known.clear()
+        run = packing._pieces(BYTE_BPE, 2048, 1, remembered, block)
+        return pa.Table.from_batches(run([batch])).to_pylist()
+
+    whole = pieces(packing.REMEMBERED, packing.BLOCK)
+    monkeypatch.setattr(packing.ChunkTokenizer, "ids", seen)
+    assert pieces(1000, 8000) == whole
+    assert len(held) > 4 and max(n for n, _ in held) < 9000 and max(n for _, n in held) < 3000
+
+
 def test_longest_must_be_a_power_of_two(docs):
     with pytest.raises(ValueError):
         packing.pack_documents(docs([]), BYTE_BPE, longest=1000)
